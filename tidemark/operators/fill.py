@@ -11,25 +11,27 @@ from ..functions.scalar import epoch_us, null_if_inf
 from .prefix import BUCKET, DEFAULT, Series, bucket_prefix
 
 
-def _when_known(c: str, series: Series) -> Column:
-    return F.when(F.col(c).isNotNull(), F.col(series.order))
-
-
 def _with_neighbours(
     df: DataFrame,
     columns: Sequence[str],
     series: Series,
     back: bool = True,
     ahead: bool = False,
+    own_first: bool = False,
 ) -> DataFrame:
-    """Attach ``_b_<c>`` / ``_a_<c>``: nearest known value outside the bucket."""
+    """Attach ``_b_<c>`` / ``_a_<c>``: nearest known value outside the bucket.
+
+    With ``own_first`` the first known value of the bucket itself counts as
+    lying ahead.
+    """
     rows = series.bucketed(df)
     keys = [*series.keys, BUCKET]
+    when = f"CASE WHEN `{{c}}` IS NOT NULL THEN {series.order} END"
     aggs = []
     if back:
-        aggs += [F.max_by(F.col(c), _when_known(c, series)).alias(f"_b_{c}") for c in columns]
+        aggs += [F.expr(f"max_by(`{c}`, {when.format(c=c)}) AS `_b_{c}`") for c in columns]
     if ahead:
-        aggs += [F.min_by(F.col(c), _when_known(c, series)).alias(f"_a_{c}") for c in columns]
+        aggs += [F.expr(f"min_by(`{c}`, {when.format(c=c)}) AS `_a_{c}`") for c in columns]
     summary = rows.groupBy(*keys).agg(*aggs)
     prefix = bucket_prefix(
         summary,
@@ -37,9 +39,10 @@ def _with_neighbours(
         lasts=[f"_b_{c}" for c in columns] if back else (),
         nexts=[f"_a_{c}" for c in columns] if ahead else (),
     )
-    picked = [F.col(f"_b_{c}__before").alias(f"_b_{c}") for c in columns if back]
-    picked += [F.col(f"_a_{c}__after").alias(f"_a_{c}") for c in columns if ahead]
-    return rows.join(prefix.select(*keys, *picked), keys)
+    later = "coalesce(`_a_{c}`, `_a_{c}__after`)" if own_first else "`_a_{c}__after`"
+    picked = [f"`_b_{c}__before` AS `_b_{c}`" for c in columns if back]
+    picked += [f"{later.format(c=c)} AS `_a_{c}`" for c in columns if ahead]
+    return rows.join(prefix.selectExpr(*keys, *picked), keys)
 
 
 def _replace(df: DataFrame, original: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -129,20 +132,24 @@ def fill_all(
     if mode not in ("reference", "causal"):
         raise ValueError(f"unknown fill mode {mode!r}")
     ahead = mode == "reference"
-    rows = _with_neighbours(df, columns, series, back=True, ahead=ahead)
-    w = series.in_bucket().rowsBetween(Window.unboundedPreceding, 0)
-    whole = series.in_bucket().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the look-ahead is reached only when nothing is known before a row, so the
+    # first known value of its own bucket then lies after it
+    rows = _with_neighbours(df, columns, series, back=True, ahead=ahead, own_first=True)
+    by = ", ".join([*series.keys, BUCKET])
+    running = (
+        f"(PARTITION BY {by} ORDER BY {series.order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    filled = set(columns)
 
-    def value(c: str) -> Column:
-        options = [F.last(c, ignorenulls=True).over(w), F.col(f"_b_{c}")]
-        if ahead:
-            # reached only when nothing is known before this row, so the first
-            # known value of the bucket lies after it
-            options += [F.first(c, ignorenulls=True).over(whole), F.col(f"_a_{c}")]
-        zero = F.lit(0).cast(df.schema[c].dataType)
-        return F.coalesce(*options, zero)
+    def value(c: str) -> str:
+        if c not in filled:
+            return f"`{c}`"
+        later = f"`_a_{c}`, " if ahead else ""
+        zero = f"CAST(0 AS {df.schema[c].dataType.simpleString()})"
+        return f"coalesce(last(`{c}`) IGNORE NULLS OVER {running}, `_b_{c}`, {later}{zero}) AS `{c}`"
 
-    return _replace(rows, df, {c: value(c) for c in columns})
+    return rows.selectExpr(*[value(c) for c in df.columns])
 
 
 def replace_inf(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -59,10 +59,6 @@ class Series:
 DEFAULT = Series()
 
 
-def _known(name: str) -> Column:
-    return F.when(F.col(name).isNotNull(), F.col(BUCKET))
-
-
 def bucket_prefix(
     summary: DataFrame,
     keys: Sequence[str],
@@ -75,42 +71,39 @@ def bucket_prefix(
     ``sums`` gives ``<c>__before`` = sum over earlier buckets, ``lasts`` gives
     ``<c>__before`` = nearest earlier non-null value, ``nexts`` gives
     ``<c>__after`` = nearest later non-null value.
+
+    Expressions are written as SQL text here and in the fills: these plans
+    have a column per feature, and text is one driver call per column.
     """
+    by = ", ".join(keys)
+    known = f"CASE WHEN `{{c}}` IS NOT NULL THEN {BUCKET} END"
     grouped = summary.withColumn(_GROUP, F.floor(F.col(BUCKET) / F.lit(_FANOUT)))
     top = grouped.groupBy(*keys, _GROUP).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(F.col(c), _known(c)).alias(c) for c in lasts],
-        *[F.min_by(F.col(c), _known(c)).alias(f"{c}__first") for c in nexts],
+        *[F.expr(f"sum(`{c}`) AS `{c}`") for c in sums],
+        *[F.expr(f"max_by(`{c}`, {known.format(c=c)}) AS `{c}`") for c in lasts],
+        *[F.expr(f"min_by(`{c}`, {known.format(c=c)}) AS `{c}`") for c in nexts],
     )
 
-    def scans(part, order, suffix):
-        past = Window.partitionBy(*part).orderBy(order)
-        past = past.rowsBetween(Window.unboundedPreceding, -1)
-        future = Window.partitionBy(*part).orderBy(F.desc(order))
-        future = future.rowsBetween(Window.unboundedPreceding, -1)
-        first = "__first" if suffix == "__top" else ""
+    def scans(part: str, order: str, suffix: str) -> list[str]:
+        span = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        part = f"PARTITION BY {part} " if part else ""
+        past = f"({part}ORDER BY {order} {span})"
+        future = f"({part}ORDER BY {order} DESC {span})"
         return (
-            [F.sum(c).over(past).alias(c + suffix) for c in sums]
-            + [F.last(c, ignorenulls=True).over(past).alias(c + suffix) for c in lasts]
-            + [
-                F.last(c + first, ignorenulls=True).over(future).alias(f"{c}__n{suffix}")
-                for c in nexts
-            ]
+            [f"sum(`{c}`) OVER {past} AS `{c}{suffix}`" for c in sums]
+            + [f"last(`{c}`) IGNORE NULLS OVER {past} AS `{c}{suffix}`" for c in lasts]
+            + [f"last(`{c}`) IGNORE NULLS OVER {future} AS `{c}__n{suffix}`" for c in nexts]
         )
 
-    top = top.select(*keys, _GROUP, *scans(tuple(keys), _GROUP, "__top"))
-    local = grouped.select("*", *scans((*keys, _GROUP), BUCKET, "__in"))
+    top = top.selectExpr(*keys, _GROUP, *scans(by, _GROUP, "__top"))
+    within = f"{by}, {_GROUP}" if by else _GROUP
+    local = grouped.selectExpr("*", *scans(within, BUCKET, "__in"))
     joined = local.join(top, [*keys, _GROUP], "left")
-    return joined.select(
-        *summary.columns,
-        *[
-            (F.coalesce(f"{c}__in", F.lit(0)) + F.coalesce(f"{c}__top", F.lit(0))).alias(
-                f"{c}__before"
-            )
-            for c in sums
-        ],
-        *[F.coalesce(f"{c}__in", f"{c}__top").alias(f"{c}__before") for c in lasts],
-        *[F.coalesce(f"{c}__n__in", f"{c}__n__top").alias(f"{c}__after") for c in nexts],
+    return joined.selectExpr(
+        *[f"`{c}`" for c in summary.columns],
+        *[f"coalesce(`{c}__in`, 0) + coalesce(`{c}__top`, 0) AS `{c}__before`" for c in sums],
+        *[f"coalesce(`{c}__in`, `{c}__top`) AS `{c}__before`" for c in lasts],
+        *[f"coalesce(`{c}__n__in`, `{c}__n__top`) AS `{c}__after`" for c in nexts],
     )
 
 

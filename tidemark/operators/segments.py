@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .prefix import BUCKET, DEFAULT, Series, bucket_prefix
@@ -35,32 +35,24 @@ class Segmented:
     series: Series
     block_rows: int
 
-    @property
-    def window(self):
-        return Window.partitionBy(*self.series.keys, SEG).orderBy(BLOCK, self.series.order)
-
-    @property
-    def block_window(self):
-        return Window.partitionBy(*self.series.keys, SEG, BLOCK).orderBy(self.series.order)
-
-    def trailing(self, n: int):
-        return self.window.rowsBetween(-(n - 1), 0)
-
-    def previous(self, n: int):
+    def __post_init__(self) -> None:
+        # one specification object per frame, however many features use it
+        keys = self.series.keys
+        self.window = Window.partitionBy(*keys, SEG).orderBy(BLOCK, self.series.order)
+        block = Window.partitionBy(*keys, SEG, BLOCK).orderBy(self.series.order)
+        self.running = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        self.running_before = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        self.block_running = block.rowsBetween(Window.unboundedPreceding, 0)
+        self._trailing: dict[int, WindowSpec] = {}
+
+    def trailing(self, n: int) -> WindowSpec:
+        if n not in self._trailing:
+            self._trailing[n] = self.window.rowsBetween(-(n - 1), 0)
+        return self._trailing[n]
+
+    def previous(self, n: int) -> WindowSpec:
         return self.window.rowsBetween(-n, -1)
 
-    @property
-    def running(self):
-        return self.window.rowsBetween(Window.unboundedPreceding, 0)
-
-    @property
-    def running_before(self):
-        return self.window.rowsBetween(Window.unboundedPreceding, -1)
-
-    @property
-    def block_running(self):
-        return self.block_window.rowsBetween(Window.unboundedPreceding, 0)
-
     def select(self, *columns: Column | str) -> "Segmented":
         return Segmented(self.df.select(*columns), self.series, self.block_rows)
 
