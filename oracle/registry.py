@@ -6,6 +6,7 @@ from tidemark.plans.families import FAMILIES
 
 from . import features as f
 from .build import feeds
+from .operators import SQL, feature_table_sql
 
 _STEPS = {
     "oi": (f.oi,),
@@ -43,4 +44,5 @@ def family_sql() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    return family_sql()
+    names = sorted({c for _, columns in FAMILIES.values() for c in columns})
+    return {**family_sql(), **SQL, "feature_table": feature_table_sql(names)}

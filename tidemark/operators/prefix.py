@@ -41,19 +41,25 @@ class Series:
     order: str = "ts"
     bucket_seconds: int = 86_400
     segment_rows: int = 16_384
+    reverse: bool = False
 
     def with_(self, **changes) -> "Series":
         return replace(self, **changes)
 
     def bucket(self) -> Column:
         width = self.bucket_seconds * 1_000_000
-        return F.floor(epoch_us(self.order) / F.lit(width)).cast("bigint")
+        number = F.floor(epoch_us(self.order) / F.lit(width)).cast("bigint")
+        return -number if self.reverse else number
+
+    def sort(self) -> Column:
+        """Row order: ascending time, or descending when ``reverse`` is set."""
+        return F.desc(self.order) if self.reverse else F.asc(self.order)
 
     def bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, self.bucket())
 
     def in_bucket(self):
-        return Window.partitionBy(*self.keys, BUCKET).orderBy(self.order)
+        return Window.partitionBy(*self.keys, BUCKET).orderBy(self.sort())
 
 
 DEFAULT = Series()
@@ -65,12 +71,14 @@ def bucket_prefix(
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
     nexts: Sequence[str] = (),
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Exclusive prefixes over bucket summaries.
 
     ``sums`` gives ``<c>__before`` = sum over earlier buckets, ``lasts`` gives
     ``<c>__before`` = nearest earlier non-null value, ``nexts`` gives
-    ``<c>__after`` = nearest later non-null value.
+    ``<c>__after`` = nearest later non-null value.  ``totals``, a part of
+    ``sums``, also gives ``<c>__total`` over the whole series.
 
     Expressions are written as SQL text here and in the fills: these plans
     have a column per feature, and text is one driver call per column.
@@ -95,7 +103,13 @@ def bucket_prefix(
             + [f"last(`{c}`) IGNORE NULLS OVER {future} AS `{c}__n{suffix}`" for c in nexts]
         )
 
-    top = top.selectExpr(*keys, _GROUP, *scans(by, _GROUP, "__top"))
+    all_rows = f"(PARTITION BY {by})" if by else "()"
+    top = top.selectExpr(
+        *keys,
+        _GROUP,
+        *scans(by, _GROUP, "__top"),
+        *[f"sum(`{c}`) OVER {all_rows} AS `{c}__total`" for c in totals],
+    )
     within = f"{by}, {_GROUP}" if by else _GROUP
     local = grouped.selectExpr("*", *scans(within, BUCKET, "__in"))
     joined = local.join(top, [*keys, _GROUP], "left")
@@ -104,24 +118,31 @@ def bucket_prefix(
         *[f"coalesce(`{c}__in`, 0) + coalesce(`{c}__top`, 0) AS `{c}__before`" for c in sums],
         *[f"coalesce(`{c}__in`, `{c}__top`) AS `{c}__before`" for c in lasts],
         *[f"coalesce(`{c}__n__in`, `{c}__n__top`) AS `{c}__after`" for c in nexts],
+        *[f"`{c}__total`" for c in totals],
     )
 
 
-def row_index(df: DataFrame, series: Series = DEFAULT, name: str = "rn") -> DataFrame:
-    """Exact 0-based position of every row inside its series."""
-    rows = series.bucketed(df)
+def row_index(
+    df: DataFrame,
+    series: Series = DEFAULT,
+    name: str = "rn",
+    size: str | None = None,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Exact 0-based position of every row inside its series.
+
+    ``size`` also adds the number of rows of the series.  ``bucket`` replaces
+    the time bucket for tables ordered by something else.
+    """
+    rows = df.withColumn(BUCKET, bucket) if bucket is not None else series.bucketed(df)
     counts = rows.groupBy(*series.keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = bucket_prefix(counts, series.keys, sums=["_n"]).drop("_n")
+    totals = ["_n"] if size else []
+    offsets = bucket_prefix(counts, series.keys, sums=["_n"], totals=totals).drop("_n")
     position = F.row_number().over(series.in_bucket()) - 1 + F.col("_n__before")
-    return (
-        rows.join(offsets, [*series.keys, BUCKET])
-        .withColumn(name, position.cast("bigint"))
-        .drop(BUCKET, "_n__before")
-    )
-
-
-def series_size(df: DataFrame, series: Series = DEFAULT, name: str = "n") -> DataFrame:
-    return df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias(name))
+    added = [position.cast("bigint").alias(name)]
+    if size:
+        added.append(F.col("_n__total").cast("bigint").alias(size))
+    return rows.join(offsets, [*series.keys, BUCKET]).select(*df.columns, *added)
 
 
 def running_sum(

@@ -38,8 +38,8 @@ class Segmented:
     def __post_init__(self) -> None:
         # one specification object per frame, however many features use it
         keys = self.series.keys
-        self.window = Window.partitionBy(*keys, SEG).orderBy(BLOCK, self.series.order)
-        block = Window.partitionBy(*keys, SEG, BLOCK).orderBy(self.series.order)
+        self.window = Window.partitionBy(*keys, SEG).orderBy(BLOCK, self.series.sort())
+        block = Window.partitionBy(*keys, SEG, BLOCK).orderBy(self.series.sort())
         self.running = self.window.rowsBetween(Window.unboundedPreceding, 0)
         self.running_before = self.window.rowsBetween(Window.unboundedPreceding, -1)
         self.block_running = block.rowsBetween(Window.unboundedPreceding, 0)
@@ -85,6 +85,8 @@ def segment(
     supplies further ``<c>__before`` columns per (symbol, bucket).
     """
     sums = sums or {}
+    if series.reverse and lasts:
+        raise ValueError("carried values need a forward series")
     keys = list(series.keys)
     rows = series.bucketed(df)
     known = lambda c: F.when(F.col(c).isNotNull(), F.col(series.order))
@@ -115,7 +117,7 @@ def segment(
         .withColumn(SEG, F.explode(F.sequence("_home", "_reach")))
         .withColumn(OWN, F.col(SEG) == F.col("_home"))
     )
-    order = Window.partitionBy(*keys, SEG).orderBy(series.order)
+    order = Window.partitionBy(*keys, SEG).orderBy(series.sort())
     first = order.rowsBetween(Window.unboundedPreceding, 0)
     numbered = spread.select(
         *df.columns,
