@@ -188,8 +188,8 @@ FEEDS = [
 ]
 DAILY = (
     "SELECT l_returnflag AS symbol, l_shipdate AS ts, "
-    "arg_min(round(l_extendedprice / l_quantity, 4), k) AS open, max(round(l_extendedprice / l_quantity, 4)) AS high, "
-    "min(round(l_extendedprice / l_quantity, 4)) AS low, arg_max(round(l_extendedprice / l_quantity, 4), k) AS close, "
+    "arg_min(l_extendedprice, k) AS open, max(l_extendedprice) AS high, "
+    "min(l_extendedprice) AS low, arg_max(l_extendedprice, k) AS close, "
     "sum(l_quantity) AS volume FROM (SELECT *, row(l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS k FROM lineitem) GROUP BY 1, 2"
 )
 

@@ -111,10 +111,10 @@ class Feeds:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of order lines: symbol = return flag, price = unit price."""
+    """Daily bars of order lines: symbol = return flag, price = line price."""
     lines = table(spark, sf_dir, "lineitem")
     seq = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    px = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    px = F.col("l_extendedprice")
     return (
         lines.select(
             F.col("l_returnflag").alias("symbol"),
