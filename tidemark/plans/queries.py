@@ -8,16 +8,27 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fdiv, tidy
-from ..operators import align, balance, fill, indicators, metrics, quality, scaling, splits, stats
-from ..operators import targets
+from ..operators import align, balance, fill, importance, indicators, metrics, quality
+from ..operators import scaling, splits, stats, targets
 from ..operators.ewm import ewm
 from ..operators.features import feature_names
+from ..operators.models import (
+    BoostedClassifier,
+    BoostedRegressor,
+    ForestClassifier,
+    StackedClassifier,
+    StackedRegressor,
+    assemble,
+    fold_summary,
+    search,
+    walk_forward,
+)
 from ..session import shared_dir, stored
 from ..sources import store as fs
 from ..sources.artifacts import class_counts, split_metadata
@@ -26,6 +37,7 @@ from ..streaming.bars import bar_stream, liquidation_stream, maintain_store
 from .derived import DAILY, HOUR, Feeds, daily_bars, latest, table
 from .families import FAMILIES, family, show, stamp
 from .feature_table import engineer_all
+from .pipeline import train
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -931,10 +943,137 @@ def _family(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return family(spark, sf_dir, name)
 
 
+# -------------------------------------------------------------------- models
+# Small ensembles: these runs check behaviour over the whole tables.
+def _model_rows(spark, sf_dir) -> DataFrame:
+    df = targets.classification_target(_numbers(spark, sf_dir), 4, 0.5)
+    df = df.withColumn("label", F.col("target").cast("double")).fillna(0.0)
+    return stored(splits.ratio_split(df), "model-rows")
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    keep = ["symbol", "ts", "split", "label", "future_return"]
+    return stored(assemble(df, DENSE, keep), "vectors")
+
+
+def _fit_score(make: Callable, spark, sf_dir) -> DataFrame:
+    rows = _vectors(_model_rows(spark, sf_dir))
+    rows = rows.withColumn("is_val", F.col("split") == "val")
+    model = make().fit(rows.where("split <> 'test'"), "label")
+    return metrics.accuracy(model.predict(rows.where("split = 'test'")))
+
+
+def _quick_boost(**kw):
+    return BoostedClassifier(max_iter=5, max_depth=3, **kw)
+
+
+def _quick_forest(**kw):
+    return ForestClassifier(trees=10, max_depth=4, **kw)
+
+
+def _quick_regressor(**kw):
+    return BoostedRegressor(max_iter=5, max_depth=3, **kw)
+
+
+REGISTRY["model_boosted"] = partial(_fit_score, _quick_boost)
+REGISTRY["model_boosted_early"] = partial(_fit_score, partial(_quick_boost, validation="is_val"))
+REGISTRY["model_forest"] = partial(_fit_score, _quick_forest)
+REGISTRY["model_stacked"] = partial(
+    _fit_score, lambda: StackedClassifier([_quick_forest, partial(_quick_forest, seed=7)], folds=3)
+)
+
+
+@register
+def model_regressor(spark, sf_dir):
+    rows = _vectors(_model_rows(spark, sf_dir))
+    model = _quick_regressor().fit(rows.where("split = 'train'"), "future_return")
+    scored = model.predict(rows.where("split = 'test'"))
+    return metrics.regression_metrics(scored, "future_return", "prediction")
+
+
+@register
+def model_stacked_regressor(spark, sf_dir):
+    rows = _vectors(_model_rows(spark, sf_dir))
+    stack = StackedRegressor([_quick_regressor, partial(_quick_regressor, seed=7)], folds=2)
+    model = stack.fit(rows.where("split = 'train'"), "future_return")
+    scored = model.predict(rows.where("split = 'test'"))
+    return metrics.regression_metrics(scored, "future_return", "prediction")
+
+
+@register
+def model_importance(spark, sf_dir):
+    rows = _vectors(_model_rows(spark, sf_dir))
+    model = _quick_boost().fit(rows.where("split = 'train'"), "label")
+    return importance.importance_table(spark, DENSE, model.importance())
+
+
+@register
+def model_walk_forward(spark, sf_dir):
+    folds = splits.series_folds(_model_rows(spark, sf_dir).drop("rn", "n"), 3)
+    rows = stored(assemble(folds, DENSE, ["fold", "role", "label"]), "folds")
+    return fold_summary(walk_forward(_quick_forest, rows))
+
+
+@register
+def model_search(spark, sf_dir):
+    rows = _vectors(_model_rows(spark, sf_dir))
+    space = {"trees": (5, 20), "max_depth": (2, 5)}
+    fit_on, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    found = search(ForestClassifier, space, fit_on, val, trials=4)
+    p = F.col("params")
+    return found.select("trial", "score", p["trees"].alias("trees"), p["max_depth"].alias("depth"))
+
+
+@register
+def importance_forest(spark, sf_dir):
+    return importance.forest_importance(
+        _model_rows(spark, sf_dir), DENSE, "label", trees=10, depth=4
+    )
+
+
+@register
+def importance_summary(spark, sf_dir):
+    return importance.importance_summary(
+        _model_rows(spark, sf_dir), DENSE, "label", repeats=3, trees=10, depth=4
+    )
+
+
+@register
+def importance_shapley(spark, sf_dir):
+    rows = _vectors(_model_rows(spark, sf_dir))
+    model = _quick_forest().fit(rows.where("split = 'train'"), "label")
+    return importance.shapley_importance(model, rows, DENSE, max_rows=200, permutations=2)
+
+
+@register
+def select_combined(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir)
+    return importance.select_combined(rows, DENSE, "label", 5, trees=10, depth=4)[1]
+
+
+@register
+def feature_report(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir)
+    report = importance.feature_report(rows, DENSE, "label", trees=10, depth=4)
+    parts = [t.agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(n)) for n, t in report.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def train_pipeline(spark, sf_dir):
+    rows = _model_rows(spark, sf_dir).withColumn("target_return", F.col("future_return"))
+    result = train(
+        rows,
+        DENSE,
+        "label",
+        classifiers={"forest": _quick_forest, "boosted": _quick_boost},
+        regressor=_quick_regressor,
+        stack_folds=2,
+    )
+    return result.scores
+
+
 def all_queries() -> dict[str, Query]:
     out = {name: partial(_family, name) for name in FAMILIES}
     out.update(REGISTRY)
     return out
-
-
-
