@@ -6,6 +6,8 @@ window holds ``n`` non-null values, hence the count guard.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,39 @@ from ..operators.segments import RN, Segmented
 from .scalar import col, fdiv, sign
 
 class Rolling:
-    """Expression factory bound to one segmented frame specification."""
+    """Expression factory bound to one segmented frame specification.
+
+    Columns named in ``tracked`` get their count guard from a running column
+    (see :meth:`runs`) instead of a count in every sliding frame, and sums over
+    long frames from running totals: a sliding frame costs its length per row,
+    a running one does not.
+    """
 
-    def __init__(self, seg: Segmented):
+    def __init__(self, seg: Segmented, tracked: Iterable[str] = ()):
         self.seg = seg
+        self.tracked = set(tracked)
+        self.used_runs: set[str] = set()
+        self.used_totals: set[str] = set()
+
+    def runs(self) -> dict[str, Column]:
+        """``_run_<x>``: consecutive known values ending at this row."""
+        return {
+            f"_run_{x}": F.row_number().over(self.seg.window)
+            - F.coalesce(
+                F.last(F.when(col(x).isNull(), F.col("_at")), ignorenulls=True).over(
+                    self.seg.running
+                ),
+                F.lit(0),
+            )
+            for x in sorted(self.used_runs)
+        }
+
+    def totals(self) -> dict[str, Column]:
+        """``_tot_<x>``: running total inside the segment."""
+        return {
+            f"_tot_{x}": F.coalesce(F.sum(col(x).cast("double")).over(self.seg.running), F.lit(0.0))
+            for x in sorted(self.used_totals)
+        }
 
     # -- offsets ---------------------------------------------------------
     def lag(self, x: Column | str, k: int = 1) -> Column:
@@ -39,8 +70,23 @@ class Rolling:
 
     # -- trailing aggregates ---------------------------------------------
     def _full(self, x: Column | str, n: int, value: Column) -> Column:
+        if isinstance(x, str) and x in self.tracked:
+            self.used_runs.add(x)
+            return F.when(F.col(f"_run_{x}") >= n, value)
         return F.when(F.count(col(x)).over(self.seg.trailing(n)) == n, value)
 
+    def long_sum(self, x: str, n: int) -> Column:
+        """Sum over a long frame as a difference of running totals.
+
+        For columns whose rounding in the last bits is harmless; a frame of
+        zeros still gives exactly 0."""
+        self.used_totals.add(x)
+        total = F.col(f"_tot_{x}")
+        return self._full(x, n, total - F.coalesce(self.lag(total, n), F.lit(0.0)))
+
+    def long_mean(self, x: str, n: int) -> Column:
+        return self.long_sum(x, n) / F.lit(float(n))
+
     def mean(self, x: Column | str, n: int) -> Column:
         return self._full(x, n, F.avg(col(x)).over(self.seg.trailing(n)))
 
@@ -68,9 +114,10 @@ class Rolling:
         fit = F.regr_r2(x, F.col(RN).cast("double")).over(frame)
         return self._full(x, n, F.when(flat, F.lit(0.0)).otherwise(fit))
 
-    def corr(self, x: Column | str, y: Column | str, n: int) -> Column:
+    def corr(self, x: str, y: str, n: int) -> Column:
         """Rolling Pearson correlation; NULL when either side is constant."""
         frame = self.seg.trailing(n)
+        x_name, y_name = x, y
         x, y = col(x).cast("double"), col(y).cast("double")
         both = x.isNotNull() & y.isNotNull()
         px, py = F.when(both, x), F.when(both, y)
@@ -81,7 +128,11 @@ class Rolling:
         flat = (F.min(px).over(frame) == F.max(px).over(frame)) | (
             F.min(py).over(frame) == F.max(py).over(frame)
         )
-        return F.when(F.count(px).over(frame) == n, F.when(~flat, value))
+        whole = F.count(px).over(frame) == n
+        if {x_name, y_name} <= self.tracked:
+            self.used_runs |= {x_name, y_name}
+            whole = (F.col(f"_run_{x_name}") >= n) & (F.col(f"_run_{y_name}") >= n)
+        return F.when(whole, F.when(~flat, value))
 
     def percentile_rank(self, x: Column | str, n: int) -> Column:
         """Average-tie percentile rank of the current value in its window.
@@ -98,9 +149,11 @@ class Rolling:
 
 
 def _rank_in(values: Column, x: Column, n: int) -> Column:
-    below = F.size(F.filter(values, lambda v: v < x))
-    equal = F.size(F.filter(values, lambda v: v == x))
-    return F.when(F.size(values) == n, (below + (equal + 1) / F.lit(2.0)) / F.lit(float(n)))
+    # twice the number below plus the number equal, in one pass over the list
+    score = F.aggregate(
+        values, F.lit(0), lambda acc, v: acc + F.when(v < x, 2).when(v == x, 1).otherwise(0)
+    )
+    return F.when(F.size(values) == n, (score + 1) / F.lit(2.0 * n))
 
 
 def divergence(d1: Column, d2: Column) -> Column:

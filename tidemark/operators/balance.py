@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .prefix import Series, row_index
 
-_BITS = 12
+_BITS = 20  # a million buckets: one stays small up to 10^12 rows
 
 
 def hash_rank(

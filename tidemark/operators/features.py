@@ -36,6 +36,29 @@ BASE_COLUMNS = (
     "longShortRatio",
 )
 
+# columns that exist before the first layer of sliding frames
+_TRACKED = (
+    "open_interest",
+    "close",
+    "high",
+    "low",
+    "volume",
+    "funding_rate",
+    "liq_volume",
+    "liq_count",
+    "net_liquidation",
+    "log_return_1",
+    "_ratio",
+    "_gain",
+    "_loss",
+    "_tr",
+    "_plus_dm",
+    "_minus_dm",
+    "_mfv",
+    "_flow_in",
+    "_flow_out",
+)
+
 # rows of history behind the longest window (672) plus its own lag
 HALO = 704
 _EWM_BLOCK = memory(26)
@@ -65,7 +88,7 @@ def _obv_before(df: DataFrame, series: Series) -> DataFrame:
         F.min_by(F.struct("close", "volume"), t).alias("_head"),
         F.max_by(F.struct("close"), t).alias("_tail"),
     )
-    edges = bucket_prefix(edges, series.keys, lasts=["_tail"])
+    edges = bucket_prefix(edges, series.keys, lasts=["_tail"], bounded=series.bounded)
     came_from = F.col("_tail__before")
     entry = F.coalesce(sign(F.col("_head.close") - came_from["close"]), F.lit(0.0))
     entering = F.when(came_from.isNull(), F.col("_head.volume")).otherwise(
@@ -77,7 +100,8 @@ def _obv_before(df: DataFrame, series: Series) -> DataFrame:
         (F.coalesce("_inner", F.lit(0.0)) + F.coalesce(entering, F.lit(0.0))).alias("_obv"),
         came_from["close"].alias("_close__before"),
     )
-    return bucket_prefix(totals, series.keys, sums=["_obv"]).drop("_obv")
+    before = bucket_prefix(totals, series.keys, sums=["_obv"], bounded=series.bounded)
+    return before.drop("_obv")
 
 
 class _Layers:
@@ -129,19 +153,21 @@ def feature_frame(
     ewm1: dict[str, tuple[str, int]] = {}
     ewm2: dict[str, tuple[str, int]] = {}
     given = set(base.columns)
-    roll = Rolling(seg)
+    roll = Rolling(seg, _TRACKED)
     names: list[str] = []
     for group in GROUPS:
         if group in wanted:
             built = _BUILDERS[group](roll, layers, ewm1, ewm2, wanted)
             names += [n for n in built if n not in given]
 
-    seg = seg.add(layers.get("inputs"))
+    at = F.row_number().over(seg.window)  # position inside the segment
+    seg = seg.add({"_at": at, **layers.get("inputs")})
     seg = seg.add(layers.get("lags"))
     seg = seg.add(layers.get("steps"))
     first = {o: v for o, v in ewm1.items() if o not in given}
     if first:
         seg = add_ewm(seg, first)
+    seg = seg.add(roll.runs() | roll.totals())
     seg = seg.add(layers.get("windows"))
     seg = seg.add(layers.get("level1"))
     if ewm2:
@@ -178,7 +204,8 @@ def _oi(r: Rolling, layers: _Layers, ewm1, ewm2, wanted) -> list[str]:
     for k in (20, 48, 288):
         changes[f"oi_price_divergence_{k}"] = divergence(r.diff(x, k), r.diff("close", k))
     ewm1.update({"oi_ema_12": (x, 12), "oi_ema_26": (x, 26)})
-    windows = {f"oi_sma_{n}": r.mean(x, n) for n in (20, 50, 200)}
+    windows = {f"oi_sma_{n}": r.mean(x, n) for n in (20, 50)}
+    windows["oi_sma_200"] = r.long_mean(x, 200)
     windows |= {f"oi_trend_slope_{n}": r.slope(x, n) for n in (20, 50)}
     windows |= {f"oi_std_{n}": r.std(x, n) for n in (20, 50)}
     windows["oi_r_squared_20"] = r.r_squared(x, 20)
@@ -220,9 +247,10 @@ def _price(r: Rolling, layers: _Layers, ewm1, ewm2, wanted) -> list[str]:
     layers.put("lags", **changes)
     layers.put("steps", **ind.directional_moves())
     ewm1.update({"ema_12": ("close", 12), "ema_26": ("close", 26), "_ema_20": ("close", 20)})
-    windows = {f"sma_{n}": r.mean("close", n) for n in (10, 20, 50, 200)}
+    windows = {f"sma_{n}": r.mean("close", n) for n in (10, 20)}
+    windows |= {f"sma_{n}": r.long_mean("close", n) for n in (50, 200)}
     windows |= {f"rsi_{n}": ind.rsi_from_moves(r, n) for n in (14, 50)}
-    windows |= {f"atr_{n}": r.mean("_tr", n) for n in (14, 50)}
+    windows |= {"atr_14": r.mean("_tr", 14), "atr_50": r.long_mean("_tr", 50)}
     windows["willr_14"] = ind.willr(r, 14)
     windows["market_structure"] = ind.market_structure(r, 20)
     windows["realized_vol_20"] = r.std("log_return_1", 20) * math.sqrt(288)
@@ -298,7 +326,7 @@ def _volume(r: Rolling, layers: _Layers, ewm1, ewm2, wanted) -> list[str]:
 
     windows = {
         "volume_sma_20": r.mean("volume", 20),
-        "volume_sma_50": r.mean("volume", 50),
+        "volume_sma_50": r.long_mean("volume", 50),
         "volume_trend_20": r.slope("volume", 20),
         "volume_std_20": r.std("volume", 20),
         "obv": total("_obv_step", "_obv__carry"),
@@ -335,8 +363,8 @@ def _funding(r: Rolling, layers: _Layers, ewm1, ewm2, wanted) -> list[str]:
     changes = {"funding_change": r.diff(x), "funding_change_24h": r.diff(x, 288)}
     layers.put("lags", **changes)
     windows = {
-        "cumulative_funding_7d": r.sum(x, 168),
-        "cumulative_funding_30d": r.sum(x, 672),
+        "cumulative_funding_7d": r.long_sum(x, 168),
+        "cumulative_funding_30d": r.long_sum(x, 672),
         "funding_mean_100": r.mean(x, 100),
         "funding_std_100": r.std(x, 100),
         "funding_percentile": r.percentile_rank(x, 100),
@@ -358,7 +386,7 @@ def _liquidation(r: Rolling, layers: _Layers, ewm1, ewm2, wanted) -> list[str]:
     layers.put("lags", liq_momentum=r.pct("liq_volume", 12))
     windows = {
         "liq_volume_1h": r.sum("liq_volume", 12),
-        "liq_volume_4h": r.sum("liq_volume", 48),
+        "liq_volume_4h": r.long_sum("liq_volume", 48),
         "liq_count_1h": r.sum("liq_count", 12),
         "net_liquidation_1h": r.sum("net_liquidation", 12),
         "liq_spike": flag(c("liq_volume") > 2 * r.mean("liq_volume", 24)),

@@ -38,6 +38,7 @@ def _with_neighbours(
         series.keys,
         lasts=[f"_b_{c}" for c in columns] if back else (),
         nexts=[f"_a_{c}" for c in columns] if ahead else (),
+        bounded=series.bounded,
     )
     later = "coalesce(`_a_{c}`, `_a_{c}__after`)" if own_first else "`_a_{c}__after`"
     picked = [f"`_b_{c}__before` AS `_b_{c}`" for c in columns if back]

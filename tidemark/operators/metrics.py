@@ -153,7 +153,8 @@ def roc_points(
     # descending scores: buckets grow as the score falls
     rows = counts.withColumn(BUCKET, F.floor((1 - F.col("score")) * _SCORE_BINS).cast("bigint"))
     sums = rows.groupBy("class", BUCKET).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    before = bucket_prefix(sums, ["class"], sums=["_p", "_n"], totals=["_p", "_n"]).drop("_p", "_n")
+    both = ["_p", "_n"]
+    before = bucket_prefix(sums, ["class"], sums=both, totals=both, bounded=True).drop(*both)
     w = Window.partitionBy("class", BUCKET).orderBy(F.desc("score"))
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(before, ["class", BUCKET])

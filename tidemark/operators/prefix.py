@@ -6,8 +6,9 @@ Everything that looks back without bound (row numbers, running sums, last
 known value) is instead split by time *bucket*:
 
 1. one partial-aggregated summary row per (symbol, bucket);
-2. an exclusive prefix over the summaries, itself done in two levels so that a
-   symbol with very many buckets is spread as well;
+2. an exclusive prefix over the summaries; where their number per symbol is
+   not bounded by the calendar it is done in two levels, so that a symbol with
+   very many buckets is spread as well;
 3. bucket prefix + a window inside (symbol, bucket).
 
 Only step 3 touches full rows, and its partitions are bounded by the bucket.
@@ -51,6 +52,11 @@ class Series:
         number = F.floor(epoch_us(self.order) / F.lit(width)).cast("bigint")
         return -number if self.reverse else number
 
+    @property
+    def bounded(self) -> bool:
+        """Buckets of a day or more: a century is 36 525 summaries a series."""
+        return self.bucket_seconds >= 86_400
+
     def sort(self) -> Column:
         """Row order: ascending time, or descending when ``reverse`` is set."""
         return F.desc(self.order) if self.reverse else F.asc(self.order)
@@ -65,6 +71,26 @@ class Series:
 DEFAULT = Series()
 
 
+def _scans(
+    part: str,
+    order: str,
+    before: str,
+    after: str,
+    sums: Sequence[str],
+    lasts: Sequence[str],
+    nexts: Sequence[str],
+) -> list[tuple[str, str]]:
+    """Exclusive scans of a summary as ``(name, SQL)``."""
+    span = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    part = f"PARTITION BY {part} " if part else ""
+    past = f"({part}ORDER BY {order} {span})"
+    future = f"({part}ORDER BY {order} DESC {span})"
+    out = [(f"{c}{before}", f"coalesce(sum(`{c}`) OVER {past}, 0)") for c in sums]
+    out += [(f"{c}{before}", f"last(`{c}`) IGNORE NULLS OVER {past}") for c in lasts]
+    out += [(f"{c}{after}", f"last(`{c}`) IGNORE NULLS OVER {future}") for c in nexts]
+    return [(name, f"{sql} AS `{name}`") for name, sql in out]
+
+
 def bucket_prefix(
     summary: DataFrame,
     keys: Sequence[str],
@@ -72,18 +98,28 @@ def bucket_prefix(
     lasts: Sequence[str] = (),
     nexts: Sequence[str] = (),
     totals: Sequence[str] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """Exclusive prefixes over bucket summaries.
 
     ``sums`` gives ``<c>__before`` = sum over earlier buckets, ``lasts`` gives
     ``<c>__before`` = nearest earlier non-null value, ``nexts`` gives
     ``<c>__after`` = nearest later non-null value.  ``totals``, a part of
-    ``sums``, also gives ``<c>__total`` over the whole series.
+    ``sums``, also gives ``<c>__total`` over the whole series.  ``bounded``
+    states that a series has few buckets whatever its rows, so that one window
+    over its summaries is enough; else the prefix is taken in two levels.
 
     Expressions are written as SQL text here and in the fills: these plans
     have a column per feature, and text is one driver call per column.
     """
     by = ", ".join(keys)
+    all_rows = f"(PARTITION BY {by})" if by else "()"
+    if bounded:
+        return summary.selectExpr(
+            *[f"`{c}`" for c in summary.columns],
+            *[e for _, e in _scans(by, BUCKET, "__before", "__after", sums, lasts, nexts)],
+            *[f"sum(`{c}`) OVER {all_rows} AS `{c}__total`" for c in totals],
+        )
     known = f"CASE WHEN `{{c}}` IS NOT NULL THEN {BUCKET} END"
     grouped = summary.withColumn(_GROUP, F.floor(F.col(BUCKET) / F.lit(_FANOUT)))
     top = grouped.groupBy(*keys, _GROUP).agg(
@@ -93,17 +129,8 @@ def bucket_prefix(
     )
 
     def scans(part: str, order: str, suffix: str) -> list[str]:
-        span = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-        part = f"PARTITION BY {part} " if part else ""
-        past = f"({part}ORDER BY {order} {span})"
-        future = f"({part}ORDER BY {order} DESC {span})"
-        return (
-            [f"sum(`{c}`) OVER {past} AS `{c}{suffix}`" for c in sums]
-            + [f"last(`{c}`) IGNORE NULLS OVER {past} AS `{c}{suffix}`" for c in lasts]
-            + [f"last(`{c}`) IGNORE NULLS OVER {future} AS `{c}__n{suffix}`" for c in nexts]
-        )
+        return [e for _, e in _scans(part, order, suffix, "__n" + suffix, sums, lasts, nexts)]
 
-    all_rows = f"(PARTITION BY {by})" if by else "()"
     top = top.selectExpr(
         *keys,
         _GROUP,
@@ -128,16 +155,20 @@ def row_index(
     name: str = "rn",
     size: str | None = None,
     bucket: Column | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact 0-based position of every row inside its series.
 
     ``size`` also adds the number of rows of the series.  ``bucket`` replaces
-    the time bucket for tables ordered by something else.
+    the time bucket for tables ordered by something else; ``bounded`` then says
+    whether their number is.
     """
     rows = df.withColumn(BUCKET, bucket) if bucket is not None else series.bucketed(df)
     counts = rows.groupBy(*series.keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     totals = ["_n"] if size else []
-    offsets = bucket_prefix(counts, series.keys, sums=["_n"], totals=totals).drop("_n")
+    few = bounded if bucket is not None else series.bounded
+    offsets = bucket_prefix(counts, series.keys, sums=["_n"], totals=totals, bounded=few)
+    offsets = offsets.drop("_n")
     position = F.row_number().over(series.in_bucket()) - 1 + F.col("_n__before")
     added = [position.cast("bigint").alias(name)]
     if size:
@@ -154,7 +185,7 @@ def running_sum(
         *[F.sum(src).alias(f"_s_{out}") for out, src in columns.items()]
     )
     sums = [f"_s_{out}" for out in columns]
-    before = bucket_prefix(totals, series.keys, sums=sums).drop(*sums)
+    before = bucket_prefix(totals, series.keys, sums=sums, bounded=series.bounded).drop(*sums)
     window = series.in_bucket().rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(before, [*series.keys, BUCKET])
     return joined.select(

@@ -68,6 +68,14 @@ class Segmented:
         return own.select(*columns) if columns else own.drop(SEG, OWN, RN, BLOCK)
 
 
+def fitted_rows(series: Series, rows: int, tasks: int, halo: int) -> Series:
+    """Smaller segments where a table is too small to occupy every task.
+
+    Never below twice the halo, so history is at most half of the work."""
+    even = max(rows // max(2 * tasks, 1), 2 * halo)
+    return series.with_(segment_rows=min(series.segment_rows, even))
+
+
 def segment(
     df: DataFrame,
     halo: int,
@@ -95,7 +103,9 @@ def segment(
         *[F.max_by(F.col(c), known(c)).alias(c) for c in lasts],
         *[F.sum(e).alias(c) for c, e in sums.items()],
     )
-    prefix = bucket_prefix(summary, keys, sums=["_n", *sums], lasts=lasts)
+    prefix = bucket_prefix(
+        summary, keys, sums=["_n", *sums], lasts=lasts, bounded=series.bounded
+    )
     size = F.lit(series.segment_rows)
     own = F.floor(F.col("_n__before") / size)
     # last segment whose history reaches back into this bucket
@@ -112,10 +122,14 @@ def segment(
         F.greatest(own, reach).alias("_reach"),
         *carries,
     )
+    # window work is heavy per byte, so the partition count is stated: adaptive
+    # coalescing by size would put many segments into one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = (
         rows.join(plan, [*keys, BUCKET])
         .withColumn(SEG, F.explode(F.sequence("_home", "_reach")))
         .withColumn(OWN, F.col(SEG) == F.col("_home"))
+        .repartition(tasks, *keys, SEG)
     )
     order = Window.partitionBy(*keys, SEG).orderBy(series.sort())
     first = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -140,11 +140,11 @@ def dense_rank_table(df: DataFrame, column: str) -> DataFrame:
     and numbered within; a cut that repeats a value is simply empty.
     """
     values = df.select(F.col(column).cast("double").alias("_x")).distinct()
-    cuts = values.approxQuantile("_x", [i / 64 for i in range(1, 64)], 0.01)
+    cuts = values.approxQuantile("_x", [i / 256 for i in range(1, 256)], 0.002)
     edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))] or [F.lit(0.0)])
     bucket = F.size(F.filter(edges, lambda e: e <= F.col("_x"))).cast("bigint")
     order = Series(keys=(), order="_x")
-    return row_index(values, order, "_r", bucket=bucket)
+    return row_index(values, order, "_r", bucket=bucket, bounded=True)
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.align import join_all
 from ..operators.ewm import ewm
-from ..operators.features import feature_frame, feature_names
+from ..operators.features import HALO, feature_frame, feature_names
 from ..operators.fill import fill_all, replace_inf
 from ..operators.prefix import DEFAULT, Series
+from ..operators.segments import fitted_rows
 from ..session import stored
 
 
@@ -62,7 +63,10 @@ def engineer_all(
     turns infinities into missing values before it (A12).
     """
     frame = join_all(ohlcv, open_interest, funding, liquidations, ls_ratio, series, seq)
-    features = features_unfilled(stored(frame, "joined"), series)
+    frame = stored(frame, "joined")
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = fitted_rows(series, frame.count(), tasks, HALO)
+    features = features_unfilled(frame, series)
     if clean_inf:
         doubles = {f.name for f in features.schema if f.dataType.typeName() == "double"}
         features = replace_inf(features, [c for c in features.columns if c in doubles])
