@@ -2,6 +2,97 @@
 
 from __future__ import annotations
 
+import math
+
+from .license_scan import PHRASES, TEMPLATES
+from .mixing import WEIGHTS
+
+BLANKS = r"[\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+EXACT_DEDUP = rf"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{BLANKS}', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+def license_scan(threshold: float = 0.8) -> str:
+    """Every line against every template, by the definition."""
+    gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{UPPER}', '{LOWER}'), '{gap}')"
+    places = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+        places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
+    templates = ", ".join(
+        f"({sorted(set(t.split()))!r}, '{label}', {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))})"
+        for t, label in TEMPLATES.items()
+    )
+    return rf"""
+WITH split AS (SELECT doc_id, text, {words('text')} AS w FROM documents),
+base AS (SELECT doc_id, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS p FROM split),
+templates(words, label, need) AS (VALUES {templates}),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+sets AS (SELECT doc_id, list_distinct({words('line')}) AS held FROM lines),
+met AS (
+  SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS part
+  FROM sets, templates WHERE len(list_intersect(held, words)) >= need),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(part) AS most FROM met GROUP BY doc_id)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word,
+  list_max(list_transform(p, lambda x: x.at)) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(labels, [])))), ','), '') AS labels,
+  greatest(coalesce(most, 0.0), CASE WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM base LEFT JOIN found USING (doc_id)
+"""
+
+
+def mixing(epochs: int = 3, seed: str = "mix-1") -> str:
+    weights = ", ".join(f"{w}::DOUBLE" for w in WEIGHTS)
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat('{seed}', doc_id)) AS hash FROM documents),
+named AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size)::DOUBLE * {epochs} AS cap,
+    [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight
+  FROM docs GROUP BY source),
+ordered AS (
+  SELECT *, row_number() OVER o AS place,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharing,
+    sum(source_size) OVER () AS total
+  FROM named WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+level AS (
+  SELECT place AS first_place, (total - clamped) / sharing AS level FROM ordered
+  WHERE cap >= weight * ((total - clamped) / sharing) ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN place < first_place THEN cap ELSE least(cap, weight * level) END AS target
+  FROM ordered, level),
+plan AS (
+  SELECT *, least(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END, {epochs})::BIGINT AS whole FROM targets),
+running AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.doc_id ROWS UNBOUNDED PRECEDING) AS seen
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+gaps AS (
+  SELECT *, seen <= rest AS drawn,
+    rest - coalesce(max(CASE WHEN seen <= rest THEN seen END) OVER (PARTITION BY source), 0) AS gap FROM running),
+best AS (
+  SELECT doc_id, 1 AS extra FROM gaps WHERE NOT drawn AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), hash) = 1)
+SELECT doc_id, size, source_size, target, least(whole + drawn::INT + coalesce(extra, 0), {epochs})::BIGINT AS times,
+  (least(whole + drawn::INT + coalesce(extra, 0), {epochs}) * size)::BIGINT AS taken
+FROM gaps LEFT JOIN best USING (doc_id)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_dedup": EXACT_DEDUP,
+        "op8_license_scan": license_scan(),
+        "op9_source_mixing": mixing(),
+    }
