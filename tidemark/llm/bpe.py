@@ -35,7 +35,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
 NO_PAIR = np.int32(2**31 - 1)
 WIDTHS = (8, 16, 32, 64)
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 250_000
 LONGEST_KEPT = 64
 
 
@@ -51,10 +51,8 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = piece_pattern(pattern)
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
-            self.tokens[rank] = token
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
@@ -215,9 +213,6 @@ class ByteBPE:
             return [b"".join(map(get, chunks)) for chunks in cut]
         return [b"".join(once[c] if c in once else get(c) for c in chunks) for chunks in cut]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> ByteBPE:
@@ -225,13 +220,21 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each token id of a rank file."""
+    with open(path, "rb") as file:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 def default_files() -> tuple[str, str]:
     import public_tokenizers as public
 
     return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes, one row at least."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, most)))
     for at in range(0, batch.num_rows, rows):
@@ -267,21 +270,20 @@ def encode(
 
 
 def decode(
-    docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None
+    docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None
 ) -> DataFrame:
     """Add ``out``, the bytes that the ids stand for, as binary; null ids give no bytes."""
-    known = default_files()
-    path, pattern = path or known[0], pattern or known[1]
+    path = path or default_files()[0]
     rest = replace_column(docs, out)
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        get = token_bytes(path).__getitem__
         for whole in batches:
             for batch in _slices(whole):
                 lists = batch.column(ids)
                 values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                data = [bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                data = [b"".join(map(get, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
                 column = pa.array(data, pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
 
