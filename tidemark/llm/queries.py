@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, sharding, simhash, token_counts
+from . import bpe, exact_dedup, langid, license_scan, mixing, sharding, simhash, token_counts
+
+from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +52,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    model = langid.train(docs.where(~F.col("held_out")))
+    found = langid.predict(docs.select("doc_id", "held_out", "text"), model, score="score")
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
