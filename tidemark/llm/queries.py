@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, license_scan, mixing, sharding, simhash, token_counts
+from . import bpe, exact_dedup, langid, license_scan, mixing, ngram_lm, sharding, simhash, token_counts
 
 from .common import crc_mod
 
@@ -75,6 +75,23 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 7) == 2
+    shared, tries = ngram_lm.train(docs.where(~held_out))
+    scored = ngram_lm.score(docs, shared, tries)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(shared.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
