@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, license_scan, mixing, ngram_lm, sharding, simhash, token_counts
+from . import ann, bpe, exact_dedup, langid, license_scan, mixing, ngram_lm, sharding, simhash, token_counts
 
 from .common import crc_mod
 
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth id."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays; every row's group and digest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
