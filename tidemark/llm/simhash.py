@@ -8,9 +8,6 @@ two linked fingerprints agree on that whole mask: they collide for certain in
 one of the ``2^(radius + 1) - 1`` tables, and no link is missed.  A mask of 64
 bits at radius 3 keeps 32 to 36 of them, so chance collisions are rare.
 
-A larger radius is reached by parts: of ``parts * (r + 1) - 1`` differing bits,
-one of ``parts`` equal parts of the fingerprint has at most ``r``.
-
 Rows with one fingerprint are one node.  In a bucket of two the pair is compared
 as it is; members of a larger one are compared with numpy, in blocks of bounded
 size when the bucket is large (every pair of blocks meets, whatever the number),
@@ -87,15 +84,13 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, make: Callable[[str],
 
 
 # --------------------------------------------------------------- the links
-def covering_masks(radius: int = 3, parts: int = 1) -> list[int]:
+def covering_masks(radius: int = 3) -> list[int]:
     """Masks of all tables as signed 64-bit integers."""
-    vectors, width = 1 << (radius + 1), 64 // parts
+    vectors = 1 << (radius + 1)
     out = []
-    for part in range(parts):
-        for v in range(1, vectors):
-            bits = [i for i in range(width) if ((i % (vectors - 1) + 1) & v).bit_count() % 2]
-            mask = sum(1 << (part * width + i) for i in bits)
-            out.append(mask - (1 << 64) if mask >> 63 else mask)
+    for v in range(1, vectors):
+        mask = sum(1 << i for i in range(64) if ((i % (vectors - 1) + 1) & v).bit_count() % 2)
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
 
@@ -136,20 +131,15 @@ def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.n
     return i[kept], j[kept], far[kept]
 
 
-def links(points: DataFrame, most: int, radius: int = 3, parts: int = 1, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links of at most ``most`` bits that connect the fingerprints ``fp`` as all such links do.
-
-    ``most`` is at most ``parts * (radius + 1) - 1``, which the tables guarantee.
-    """
-    if most > parts * (radius + 1) - 1:
-        raise ValueError("the tables do not cover this radius")
-    masks = covering_masks(radius, parts)
+def links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links of at most ``radius`` bits that connect the fingerprints ``fp`` as all such links do."""
+    masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
     rows = points.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
     buckets = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     buckets = stored(buckets.where("n > 1"), "buckets")
     pairs = buckets.where("n = 2").select("a", "b").distinct()
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
+    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
     large = rows.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
     number = F.ceil(F.col("n") / block).cast("int")
@@ -168,7 +158,7 @@ def links(points: DataFrame, most: int, radius: int = 3, parts: int = 1, block:
                 members = np.unique(values[a:b])
                 name = (len(members), *members[:8].tolist(), *members[-8:].tolist()) if len(members) <= 16 else None
                 if name is None or name not in seen:  # small groups meet again in other tables
-                    found.update(closest_links(members.view(np.uint64), most))
+                    found.update(closest_links(members.view(np.uint64), radius))
                     if name and len(seen) < 200_000:
                         seen.add(name)
             a, b = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
@@ -189,7 +179,7 @@ def near_duplicates(
     """
     marked = stored(fingerprints(docs, doc_id, text, of_shingles(shingle)), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    labels = components(links(nodes.select("fp"), radius, radius))
+    labels = components(links(nodes.select("fp"), radius))
     labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     labelled = labelled.select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -197,3 +187,83 @@ def near_duplicates(
     return marked.join(by_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# ------------------------------------------------- near copies, verified
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``key, held``: sorted 32-bit hashes of the distinct word shingles."""
+    schema = "key long, held array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for batch in _slices(full):
+                held = []
+                for t in batch.column(1).to_pylist():
+                    names = set(shingles(t.encode().lower().split(), size))
+                    hashes = np.fromiter(map(xxhash.xxh32_intdigest, names), dtype=np.uint32, count=len(names))
+                    held.append(np.unique(hashes).view(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(held, pa.list_(pa.int32()))], ["key", "held"]
+                )
+
+    return docs.select(key, whole(text).alias("__text")).mapInArrow(run, schema)
+
+
+def among(docs: DataFrame, keys: DataFrame, coarse_keys: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that may have a ``key`` of ``keys``, and rows that have none.
+
+    Decided by the key modulo ``coarse_keys``: that many integers at most are
+    broadcast, whatever the number of keys, so the second part needs no shuffle.
+    """
+    coarse = F.pmod("key", F.lit(coarse_keys)).alias("__coarse")
+    few = F.broadcast(keys.select(coarse).distinct())
+    marked = docs.withColumn("__coarse", coarse)
+    return marked.join(few, "__coarse", "left_semi").drop("__coarse"), marked.join(few, "__coarse", "left_anti").drop("__coarse")
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    threshold: float = 0.8,
+    radius: int = 5,
+) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies.
+
+    Near copies have a Jaccard similarity of ``threshold`` or more between their
+    sets of ``shingle``-word runs.  Candidates are texts whose fingerprints of
+    distinct words differ in at most ``radius`` bits, found by covering tables;
+    each is verified on the whole sets before it links, so no text is dropped for
+    its fingerprint alone.  Of a group the row with the smallest id stays, null
+    ids last; rows that repeat id and text are one text and stay or go together.
+    """
+    key = F.xxhash64(F.col(doc_id), whole(text))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
+    told = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key")).alias("who"), text)
+    marked = stored(fingerprints(told, "who", text, of_words).withColumnRenamed("doc_id", "who"), "near-prints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("who").alias("first"), F.count("*").alias("n")), "near-nodes")
+
+    same = marked.join(nodes.where("n > 1"), "fp").select(F.col("who.key").alias("a"), F.col("first.key").alias("b"))
+    near = links(nodes.select("fp"), radius)
+    for side in ("a", "b"):
+        first = nodes.select(F.col("fp").alias(side), F.col("first.key").alias(f"{side}_key"))
+        near = near.join(first, side)
+    pairs = same.union(near.select("a_key", "b_key")).where("a <> b").distinct()
+    pairs = stored(pairs, "near-pairs")
+
+    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), involved)
+    sets = stored(shingle_sets(texts.dropDuplicates(["key"]), "key", "text", shingle), "near-sets")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("held").alias(f"held_{side}")), side)
+    common = F.size(F.array_intersect("held_a", "held_b"))
+    alike = common >= threshold * (F.size("held_a") + F.size("held_b") - common) - 1e-9
+    groups = components(pairs.where(alike).select("a", "b")).withColumnRenamed("node", "key")
+
+    members = marked.select(F.col("who.key").alias("key"), "who").distinct().join(groups, "key")
+    kept = members.groupBy("label").agg(F.min("who").alias("kept"))
+    dropped = members.join(kept, "label").where(F.col("key") != F.col("kept.key")).select("key").distinct()
+    dropped = stored(dropped, "near-dropped")
+    suspects, others = among(keyed, dropped)
+    return suspects.join(dropped, "key", "left_anti").union(others.select("key", "doc")).select("doc.*")
