@@ -45,7 +45,7 @@ from .elias_fano import Trie, from_file, to_bytes
 #: No words: they contain a space.
 END, START = b" end", b" start"
 FLUSH_TOKENS, FLUSH_DOCS, WINDOW = 2_500_000, 60_000, 1_000_000
-MESSAGE = "shard int, model binary, keys binary, words binary, runs binary, contexts binary, counts binary, docs binary"
+MESSAGE = "shard int, flush long, model binary, keys binary, words binary, runs binary, contexts binary, counts binary, docs binary"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,6 +150,7 @@ def _messages(
     order = np.argsort(shard, kind="stable")
     shard, word, before = shard[order], word[order], before[order]
     bounds = np.searchsorted(shard, np.arange(shards + 1))
+    flush = None if keys is None else xxhash.xxh64_intdigest(keys.tobytes()) >> 1
     for s in range(shards):
         a, b = bounds[s], bounds[s + 1]
         if a == b:
@@ -168,13 +169,13 @@ def _messages(
         }
         if doc is not None:
             at, local = np.unique(doc[order[a:b]], return_inverse=True)
-            out |= {"keys": keys[at].tobytes(), "docs": local.astype(np.uint16).tobytes()}
+            out |= {"flush": flush, "keys": keys[at].tobytes(), "docs": local.astype(np.uint16).tobytes()}
         yield out
 
 
 def _record(rows: list[dict[str, object]]) -> pa.RecordBatch:
     names = [f.split()[0] for f in MESSAGE.split(", ")]
-    kinds = [pa.int32()] + [pa.binary()] * (len(names) - 1)
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(names) - 2)
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names)
 
 
@@ -302,7 +303,11 @@ def _mapped(blob: bytes | None) -> Trie | None:
     return trie
 
 
-def _scored(row: dict, trie: Trie | None, shared: Counts) -> pa.RecordBatch:
+#: Sums over the tokens of a document; the last two are of doubles.
+SUMS = (("tokens", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64))
+
+
+def _scored(row: dict, trie: Trie | None, shared: Counts) -> list[np.ndarray]:
     """Sums over one message's tokens, for each of its documents."""
     words = np.frombuffer(row["words"], dtype=np.uint64)
     runs = np.frombuffer(row["runs"], dtype=np.uint32)
@@ -316,17 +321,11 @@ def _scored(row: dict, trie: Trie | None, shared: Counts) -> pa.RecordBatch:
     pair = np.where(np.isnan(value), unseen[of_pair], value) - np.log10(counts + shared.mu)[of_pair]
     of_token = np.repeat(np.arange(len(of_pair)), np.frombuffer(row["counts"], dtype=np.uint32))
     docs = np.frombuffer(row["docs"], dtype=np.uint16)
-    keys = np.frombuffer(row["keys"], dtype=np.int64)
+    n = len(row["keys"]) // 8
     token_count = counts[of_pair][of_token]
-    total = lambda w: np.bincount(docs, weights=w, minlength=len(keys))
-    columns = [
-        pa.array(keys),
-        pa.array(np.bincount(docs, minlength=len(keys)).astype(np.int64)),
-        pa.array(total(token_count > 0).astype(np.int64)),
-        pa.array(total(np.log10((token_count + 1) / shared.z))),
-        pa.array(total(pair[of_token])),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["key", "tokens", "known", "base", "score"])
+    total = lambda w: np.bincount(docs, weights=w, minlength=n)
+    each = np.bincount(docs, minlength=n), total(token_count > 0), total(np.log10((token_count + 1) / shared.z)), total(pair[of_token])
+    return [x.astype(kind) for x, (_, kind) in zip(each, SUMS)]
 
 
 def score(docs: DataFrame, shared: Counts, tries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,13 +347,30 @@ def score(docs: DataFrame, shared: Counts, tries: DataFrame, doc_id: str = "doc_
             trie = _mapped(next((r["model"] for r in rows if r["model"] is not None), None))
             for row in rows:
                 if row["words"] is not None:
-                    yield _scored(row, trie, shared)
+                    data = [[row["keys"]], *([x.tobytes()] for x in _scored(row, trie, shared))]
+                    columns = [pa.array([row["flush"]], pa.int64()), *(pa.array(d, pa.binary()) for d in data)]
+                    yield pa.RecordBatch.from_arrays(columns, ["flush", "key", *(name for name, _ in SUMS)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What all shards say of the documents of a flush, together."""
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        if rows:
+            keys = np.concatenate([np.frombuffer(r["key"], dtype=np.int64) for r in rows])
+            keys, at = np.unique(keys, return_inverse=True)
+            columns = [pa.array(keys)]
+            for name, kind in SUMS:
+                parts = np.concatenate([np.frombuffer(r[name], dtype=kind) for r in rows])
+                columns.append(pa.array(np.bincount(at, weights=parts).astype(kind)))
+            yield pa.RecordBatch.from_arrays(columns, ["key", *(name for name, _ in SUMS)])
 
     sent = data.mapInArrow(send, MESSAGE).unionByName(tries, allowMissingColumns=True)
     answers = to_shards(sent, shared.shards).mapInArrow(
-        answer, "key long, tokens long, known long, base double, score double"
+        answer, "flush long, key binary, tokens binary, known binary, base binary, score binary"
+    )
+    answers = answers.repartition(shared.shards, "flush").mapInArrow(
+        add, "key long, tokens long, known long, base double, score double"
     )
-    sums = answers.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
+    sums = answers.groupBy("key").agg(*[F.sum(name).alias(name) for name, _ in SUMS])
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     sums = sums.join(copies, "key")
