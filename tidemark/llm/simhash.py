@@ -17,6 +17,7 @@ for each member, never all pairs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,17 +45,13 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
-def majority(features: list[bytes], weights: np.ndarray | None = None) -> int:
-    """A bit is 1 if it is set in over half of the features' hashes (by weight)."""
+def majority(features: list[bytes]) -> int:
+    """A bit is 1 if it is set in over half of the features' hashes."""
     if not features:
         return 0
     hashes = np.fromiter((xxhash.xxh64_intdigest(f, SEED) for f in features), dtype=np.uint64, count=len(features))
     bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
-    if weights is None:
-        ones, half = bits.sum(0, dtype=np.int64), len(features)
-    else:
-        ones, half = weights @ bits, weights.sum()
-    return int(np.packbits(2 * ones > half).view(">u8")[0])
+    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(features)).view(">u8")[0])
 
 
 def of_shingles(size: int) -> Callable[[str], int]:
@@ -62,12 +59,6 @@ def of_shingles(size: int) -> Callable[[str], int]:
     return lambda text: majority(shingles(text.encode().lower().split(), size))
 
 
-def of_words(text: str) -> int:
-    """Fingerprint of the distinct words, each weighing its squared length: frequent words are short."""
-    words = list(dict.fromkeys(text.encode().lower().split()))
-    return majority(words, np.array([len(w) ** 2 for w in words], dtype=np.float64))
-
-
 def fingerprints(docs: DataFrame, doc_id: str, text: str, make: Callable[[str], int]) -> DataFrame:
     """``doc_id, fp`` of every row, ``fp`` as signed 64-bit integer; null and empty texts give 0."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
@@ -134,18 +125,18 @@ def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.n
 def links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """``a, b``: links of at most ``radius`` bits that connect the fingerprints ``fp`` as all such links do."""
     masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-    rows = points.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    buckets = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    rows = points.select("fp", F.explode(tables).alias("key"))  # a bucket of its own for each table and masked value
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     buckets = stored(buckets.where("n > 1"), "buckets")
     pairs = buckets.where("n = 2").select("a", "b").distinct()
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
-    large = rows.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
+    large = rows.join(buckets.where("n > 2").select("key", "n"), "key")
     number = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), number).cast("int")
-    large = large.select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
-    groups = large.groupBy("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = large.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
+    groups = large.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = groups.agg(F.collect_list("fp").alias("members"))  # of two blocks at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,21 +181,45 @@ def near_duplicates(
 
 
 # ------------------------------------------------- near copies, verified
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key, held``: sorted 32-bit hashes of the distinct word shingles."""
-    schema = "key long, held array<int>"
+def word_prints(docs: DataFrame, who: str, text: str) -> DataFrame:
+    """``who, fps``: two fingerprints of the words, as signed integers.
+
+    They are the halves of 128-bit hashes.  A word weighs its length times the
+    root of its count: frequent words are short, and no single word decides much.
+    """
+    schema = T.StructType([docs.schema[who], T.StructField("fps", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for batch in _slices(full):
+                out = []
+                for t in batch.column(1).to_pylist():
+                    words = Counter(t.encode().lower().split())
+                    weights = np.array([len(w) * n**0.5 for w, n in words.items()])
+                    data = b"".join(map(xxhash.xxh128_digest, words))
+                    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 16), axis=1)
+                    out.append(np.packbits(2 * (weights @ bits) > weights.sum()).view(">i8").astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [who, "fps"])
+
+    return docs.select(who, whole(text).alias("__text")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int, mins: int) -> DataFrame:
+    """``key, held, mins``: sorted 32-bit hashes of the distinct word shingles, and the smallest under ``mins`` orders."""
+    schema = "key long, held array<int>, mins array<int>"
+    orders = np.random.default_rng(SEED).integers(1, 1 << 32, size=mins, dtype=np.uint32) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
             for batch in _slices(full):
-                held = []
+                held, least = [], []
                 for t in batch.column(1).to_pylist():
-                    names = set(shingles(t.encode().lower().split(), size))
+                    names = set(shingles(t.encode().lower().split(), size)) or {b""}
                     hashes = np.fromiter(map(xxhash.xxh32_intdigest, names), dtype=np.uint32, count=len(names))
                     held.append(np.unique(hashes).view(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(held, pa.list_(pa.int32()))], ["key", "held"]
-                )
+                    least.append((hashes[:, None] * orders).min(0).view(np.int32))
+                lists = (pa.array(x, pa.list_(pa.int32())) for x in (held, least))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "held", "mins"])
 
     return docs.select(key, whole(text).alias("__text")).mapInArrow(run, schema)
 
@@ -228,42 +243,50 @@ def drop_near_copies(
     shingle: int = 5,
     threshold: float = 0.8,
     radius: int = 5,
+    mins: int = 4,
 ) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies.
 
     Near copies have a Jaccard similarity of ``threshold`` or more between their
-    sets of ``shingle``-word runs.  Candidates are texts whose fingerprints of
-    distinct words differ in at most ``radius`` bits, found by covering tables;
-    each is verified on the whole sets before it links, so no text is dropped for
-    its fingerprint alone.  Of a group the row with the smallest id stays, null
-    ids last; rows that repeat id and text are one text and stay or go together.
+    sets of ``shingle``-word runs.  Texts of which one of two word fingerprints
+    differs in at most ``radius`` bits are brought together by covering tables.
+    Within such a group, texts with one smallest shingle under one of ``mins``
+    orders are compared with the first of them, on the whole sets, so the number
+    of comparisons grows with the texts and no text goes for its fingerprint
+    alone.  Of verified links the row with the smallest id stays, null ids last;
+    rows that repeat id and text are one text and stay or go together.
     """
     key = F.xxhash64(F.col(doc_id), whole(text))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
-    told = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key")).alias("who"), text)
-    marked = stored(fingerprints(told, "who", text, of_words).withColumnRenamed("doc_id", "who"), "near-prints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("who").alias("first"), F.count("*").alias("n")), "near-nodes")
-
-    same = marked.join(nodes.where("n > 1"), "fp").select(F.col("who.key").alias("a"), F.col("first.key").alias("b"))
-    near = links(nodes.select("fp"), radius)
-    for side in ("a", "b"):
-        first = nodes.select(F.col("fp").alias(side), F.col("first.key").alias(f"{side}_key"))
-        near = near.join(first, side)
-    pairs = same.union(near.select("a_key", "b_key")).where("a <> b").distinct()
-    pairs = stored(pairs, "near-pairs")
-
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), involved)
-    sets = stored(shingle_sets(texts.dropDuplicates(["key"]), "key", "text", shingle), "near-sets")
+    who = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key"))
+    told = docs.select(who.alias("who"), F.col(text).alias("text"))
+    prints = stored(word_prints(told, "who", "text"), "near-prints")
+    parts = []
+    for half in range(2):
+        marked = prints.select("who", F.col("who.key").alias("key"), F.get("fps", F.lit(half)).alias("fp"))
+        nodes = stored(marked.groupBy("fp").agg(F.countDistinct("key").alias("n")), "near-nodes")
+        labels = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+        labelled = nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"))
+        groups = labelled.groupBy("label").agg(F.sum("n").alias("texts")).where("texts > 1").select("label")
+        groups = labelled.join(groups, "label").select("fp", F.struct(F.lit(half).alias("half"), "label").alias("label"))
+        parts.append(marked.join(groups, "fp").select("who", "key", "label").distinct())
+    members = stored(parts[0].union(parts[1]), "near-members")
+
+    texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), members.select("key"))
+    sets = stored(shingle_sets(texts, "key", "text", shingle, mins).dropDuplicates(["key"]), "near-sets")
+    met = members.join(sets.select("key", F.posexplode("mins").alias("order", "least")), "key")
+    first = met.groupBy("label", "order", "least").agg(F.min("who").alias("first"), F.count("*").alias("n"))
+    pairs = met.join(first.where("n > 1"), ["label", "order", "least"])
+    pairs = pairs.select(F.col("key").alias("a"), F.col("first.key").alias("b")).where("a <> b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("held").alias(f"held_{side}")), side)
     common = F.size(F.array_intersect("held_a", "held_b"))
     alike = common >= threshold * (F.size("held_a") + F.size("held_b") - common) - 1e-9
-    groups = components(pairs.where(alike).select("a", "b")).withColumnRenamed("node", "key")
+    found = components(pairs.where(alike).select("a", "b")).select(F.col("node").alias("key"), F.col("label").alias("copy_of"))
 
-    members = marked.select(F.col("who.key").alias("key"), "who").distinct().join(groups, "key")
-    kept = members.groupBy("label").agg(F.min("who").alias("kept"))
-    dropped = members.join(kept, "label").where(F.col("key") != F.col("kept.key")).select("key").distinct()
+    linked = members.select("key", "who").distinct().join(found, "key")
+    kept = linked.groupBy("copy_of").agg(F.min("who").alias("kept"))
+    dropped = linked.join(kept, "copy_of").where(F.col("key") != F.col("kept.key")).select("key")
     dropped = stored(dropped, "near-dropped")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
     suspects, others = among(keyed, dropped)
-    return suspects.join(dropped, "key", "left_anti").union(others.select("key", "doc")).select("doc.*")
+    return suspects.join(dropped, "key", "left_anti").select("doc.*").union(others.select("doc.*"))
