@@ -132,7 +132,8 @@ def links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     pairs = buckets.where("n = 2").select("a", "b").distinct()
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
-    large = rows.join(buckets.where("n > 2").select("key", "n"), "key")
+    # sizes are estimated without the tables' factor: never broadcast the exploded side
+    large = rows.hint("merge").join(buckets.where("n > 2").select("key", "n"), "key")
     number = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), number).cast("int")
     large = large.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
