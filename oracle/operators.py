@@ -449,8 +449,8 @@ SQL["variance_filter"] = raw.sql(
 )
 _pairs = " UNION ALL ".join(
     f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS c FROM raw"
-    for i, a in enumerate(DENSE)
-    for b in DENSE[i + 1 :]
+    for i, a in enumerate(STAT)
+    for b in STAT[i + 1 :]
 )
 SQL["corr_pairs"] = raw.sql(
     f"SELECT feature_1, feature_2, {tidy('c')} AS correlation FROM ({_pairs})"
@@ -461,16 +461,16 @@ SQL["corr_report"] = raw.sql(
 SQL["corr_filter"] = raw.sql(
     f"SELECT DISTINCT feature_2 AS feature FROM ({_pairs}) WHERE abs(c) > 0.7"
 )
-_rk = raw.cte(
-    "rk",
-    "SELECT "
-    + ", ".join(
-        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in DENSE
-    )
-    + " FROM raw",
+_spearman = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr(x, y) AS c FROM (SELECT "
+    f"rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, "
+    f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y "
+    f"FROM raw WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    for i, a in enumerate(STAT)
+    for b in STAT[i + 1 :]
 )
-SQL["corr_spearman"] = _rk.sql(
-    f"SELECT feature_1, feature_2, {tidy('c')} AS correlation FROM ({_pairs.replace('FROM raw', 'FROM rk')})"
+SQL["corr_spearman"] = raw.sql(
+    f"SELECT feature_1, feature_2, {tidy('c')} AS correlation FROM ({_spearman})"
 )
 _K = ["close", "volume", "liq_count"]
 SQL["corr_kendall"] = raw.sql(
@@ -681,7 +681,7 @@ def _reg(fc: str) -> str:
     )
 
 
-SQL["metric_regression"] = _p.cte("rg", "SELECT actual, coalesce(forecast, 0) AS fc FROM pp").sql(
+SQL["metric_regression"] = _p.cte("rg", "SELECT actual, forecast AS fc FROM pp WHERE actual IS NOT NULL AND forecast IS NOT NULL").sql(
     f"SELECT count(*) AS n, {_reg('fc')}, {tidy('1 - sum(power(actual - fc, 2)) / (var_pop(actual) * count(*))')} AS r2, "
     f"{tidy('corr(actual, fc)')} AS correlation FROM rg"
 )

@@ -113,7 +113,7 @@ def shapley_importance(
     df: DataFrame,
     columns: Sequence[str],
     key: Sequence[str] = ("symbol", "ts"),
-    max_rows: int = 1000,
+    max_rows: int | None = None,
     permutations: int = 4,
     seed: int = 42,
     output: str = "probabilities",
@@ -122,11 +122,13 @@ def shapley_importance(
 
     Features enter in a random order, replacing those of a random background
     row; each step's change of the output belongs to the entering feature.
-    ``max_rows`` is the operator's sample size.
+    All rows are explained; ``max_rows`` asks for a seeded sample of them.
     """
     k = len(columns)
-    base = cap_rows(df.select(*key, vector_to_array("features").alias("_x")), max_rows, key, seed)
-    rows = _shuffled(base, key, permutations, seed, max_rows)
+    base = df.select(*key, vector_to_array("features").alias("_x"))
+    if max_rows is not None:
+        base = cap_rows(base, max_rows, key, seed)
+    rows = _shuffled(base, key, permutations, seed, base.count())
     indices = F.sequence(F.lit(0), F.lit(k - 1))
     order = F.transform(
         F.array_sort(

@@ -199,7 +199,8 @@ def weighted_auc(auc: DataFrame) -> DataFrame:
 def regression_metrics(
     df: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """Error, fit, direction and correlation in one pass."""
+    """Error, fit, direction and correlation in one pass, over the rows that know both."""
+    df = df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull())
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     e = y - p
     n = F.count(e)

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .quantiles import exact_quantiles
+
 METHODS = ("standard", "minmax", "robust")
 
 
@@ -27,8 +30,21 @@ def fit_scaler(
         center, scale = "avg({x})", "stddev_pop({x})"
     elif method == "minmax":
         center, scale = "min({x})", "max({x}) - min({x})"
+    elif method == "robust" and exact:
+        by = ["symbol"] if per_symbol else []
+        q = exact_quantiles(train, columns, [0.25, 0.5, 0.75], by)
+        spread = F.col("q")[0.75] - F.col("q")[0.25]
+        symbol = F.col("symbol") if per_symbol else F.lit(None).cast("string").alias("symbol")
+        fitted = q.select(
+            symbol, "feature", F.col("q")[0.5].alias("center"), F.when(spread == 0, F.lit(1.0)).otherwise(spread).alias("scale")
+        )
+        # a feature without a known value has no statistics, but a row
+        groups = train.select(*by).distinct() if per_symbol else train.sparkSession.range(1).select(symbol)
+        every = groups.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+        same = F.col("e.symbol").eqNullSafe(F.col("f.symbol")) & (F.col("e.feature") == F.col("f.feature"))
+        return every.alias("e").join(fitted.alias("f"), same, "left").select("e.symbol", "e.feature", "center", "scale")
     elif method == "robust":
-        q = "percentile({{x}}, {p})" if exact else "percentile_approx({{x}}, {p}, 10000)"
+        q = "percentile_approx({{x}}, {p}, 10000)"
         center = q.format(p=0.5)
         scale = f"{q.format(p=0.75)} - {q.format(p=0.25)}"
     else:
@@ -54,7 +70,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> Da
     statistics are joined as one row per symbol; they are as many as there are
     symbols, so the join strategy is left to the optimizer's size check.
     """
-    wanted = scaler.where(F.col("feature").isin(list(columns)))
+    wanted = stored(scaler.where(F.col("feature").isin(list(columns))), "scaler")
     first = wanted.agg(F.min("symbol")).first()[0]
     base = wanted.where(F.col("symbol").isNull() if first is None else F.col("symbol") == first)
     default = {r["feature"]: (r["center"], r["scale"]) for r in base.collect()}

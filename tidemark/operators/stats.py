@@ -6,15 +6,17 @@ row to one row per feature on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fdiv
+from ..session import stored
 from .prefix import BUCKET, Series, bucket_prefix, row_index
+from .quantiles import exact_quantiles
 
 
 def per_feature(
@@ -49,29 +51,87 @@ def low_variance(df: DataFrame, columns: Sequence[str], threshold: float = 0.01)
 
 
 # --------------------------------------------------------------- correlation
-def _matrix(df: DataFrame, columns: Sequence[str], method: str) -> list[list[float]]:
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip")
-    vectors = assembler.transform(df.select(*[F.col(c).cast("double") for c in columns]))
-    return Correlation.corr(vectors, "_v", method).first()[0].toArray().tolist()
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, j, r``: Pearson correlation of every column pair over the rows that know both.
+
+    Each task multiplies matrices of its rows (values, squares and which are
+    known), shifted by the column means against cancellation, and sends one row
+    a pair; the sums are added by Spark.
+    """
+    k = len(columns)
+    x = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(*x)
+    means = rows.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    upper = np.triu_indices(k, 1)
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            v = np.where(known > 0, raw - shift, 0.0)
+            square = v * v
+            total += [known.T @ known, v.T @ known, known.T @ v, square.T @ known, known.T @ square, v.T @ v]
+        sums = [pa.array(t[upper]) for t in total]
+        pair = [pa.array(u.astype(np.int32)) for u in upper]
+        yield pa.RecordBatch.from_arrays([*pair, *sums], ["i", "j", *names])
+
+    schema = "i int, j int, " + ", ".join(f"{n} double" for n in names)
+    sums = rows.mapInArrow(multiply, schema).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    cov = F.expr("sxy - sx * sy / n")
+    spread = F.expr("greatest(sxx - sx * sx / n, 0D) * greatest(syy - sy * sy / n, 0D)")
+    # what rounding leaves of a constant column is no spread
+    flat = F.expr("sxx - sx * sx / n <= 1e-13 * sxx OR syy - sy * sy / n <= 1e-13 * syy")
+    r = F.when((F.col("n") > 1) & ~flat, cov / F.sqrt(spread))
+    return sums.select("i", "j", r.alias("r"))
+
+
+def _average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` (no missing values) with each column's ranks, ties at their average."""
+    rows = stored(df.select(*columns, F.monotonically_increasing_id().alias("_row")), "rank-rows")
+    out = rows.select("_row")
+    for c in columns:
+        counts = rows.groupBy(F.col(c).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+        places = dense_rank_table(rows, c).join(counts, "_x")
+        placed = places.withColumn(BUCKET, F.floor(F.col("_r") / 4096))
+        before = bucket_prefix(placed.groupBy(BUCKET).agg(F.sum("_c").alias("_s")), [], sums=["_s"]).drop("_s")
+        inside = Window.partitionBy(BUCKET).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = F.col("_s__before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+        rank = placed.join(before, BUCKET).select("_x", (ahead + (F.col("_c") + 1) / 2).alias(f"r_{c}"))
+        mine = rows.select("_row", F.col(c).cast("double").alias("_x")).join(rank, "_x").drop("_x")
+        out = out.join(mine, "_row")
+    return out.select(*[F.col(f"r_{c}").alias(c) for c in columns])
 
 
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], method: str = "pearson"
 ) -> DataFrame:
-    """All (i < j) pairs with their correlation.
+    """All (i < j) pairs with their correlation over the rows that know both values.
 
-    The matrix is features x features: its size does not grow with the rows.
-    Rows with a missing value are left out.
+    Spearman ranks belong to a pair's rows: columns without a missing value
+    share their ranks, other pairs are ranked each on its own.
     """
     if method == "kendall":
         return kendall_pairs(df, columns)
-    m = _matrix(df, columns, method)
     k = len(columns)
-    pairs = [
-        (i, j, columns[i], columns[j], None if m[i][j] != m[i][j] else m[i][j])
-        for i in range(k)
-        for j in range(i + 1, k)
-    ]
+    if method == "pearson":
+        found = {(r["i"], r["j"]): r["r"] for r in _moments(df, columns).collect()}
+    elif method == "spearman":
+        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+        full = [i for i, c in enumerate(columns) if not missing[c]]
+        sets = [full] if len(full) > 1 else []
+        sets += [[i, j] for i in range(k) for j in range(i + 1, k) if i not in full or j not in full]
+        found = {}
+        for members in sets:
+            names = [columns[i] for i in members]
+            ranks = _average_ranks(df.select(*names).dropna(), names)
+            for r in _moments(ranks, names).collect():
+                found[members[r["i"]], members[r["j"]]] = r["r"]
+    else:
+        raise ValueError(f"unknown correlation method {method!r}")
+    pairs = [(i, j, columns[i], columns[j], found.get((i, j))) for i in range(k) for j in range(i + 1, k)]
     schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
     return df.sparkSession.createDataFrame(pairs, schema)
 
@@ -216,7 +276,7 @@ def distributions(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     Skewness and kurtosis are bias-corrected from the population moments.
     ``exact=False`` uses a bounded sketch for the median.
     """
-    median = "percentile({c}, 0.5)" if exact else "percentile_approx({c}, 0.5, 10000)"
+    median = "CAST(NULL AS DOUBLE)" if exact else "percentile_approx({c}, 0.5, 10000)"
     x = lambda c: f"CAST(`{c}` AS DOUBLE)"
     stats = per_feature(
         df,
@@ -234,6 +294,9 @@ def distributions(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
             "_zero": lambda c: f"count_if(`{c}` = 0)",
         },
     )
+    if exact:
+        middle = exact_quantiles(df, columns, [0.5]).select("feature", F.col("q")[0.5].alias("median"))
+        stats = stats.drop("median").join(middle, "feature", "left")
     n = F.col("_n").cast("double")
     flat = F.col("min") == F.col("max")
     skew = F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2) * F.col("_g1")
@@ -274,16 +337,19 @@ def outliers(
     deviations.  Two passes: bounds (two numbers per feature), then counts."""
     x = lambda c: f"CAST(`{c}` AS DOUBLE)"
     if method == "iqr":
-        q = "percentile({c}, {p})" if exact else "percentile_approx({c}, {p}, 10000)"
         pair = {
-            "a": lambda c: q.format(c=x(c), p=0.25),
-            "b": lambda c: q.format(c=x(c), p=0.75),
+            "a": lambda c: f"percentile_approx({x(c)}, 0.25, 10000)",
+            "b": lambda c: f"percentile_approx({x(c)}, 0.75, 10000)",
         }
     elif method == "zscore":
         pair = {"a": lambda c: f"avg({x(c)})", "b": lambda c: f"stddev_samp({x(c)})"}
     else:
         raise ValueError(f"unknown outlier method {method!r}")
-    limits = {r["feature"]: (r["a"], r["b"]) for r in per_feature(df, columns, pair).collect()}
+    if method == "iqr" and exact:
+        quartiles = {r["feature"]: r["q"] for r in exact_quantiles(df, columns, [0.25, 0.75]).collect()}
+        limits = {c: (quartiles[c][0.25], quartiles[c][0.75]) if c in quartiles else (None, None) for c in columns}
+    else:
+        limits = {r["feature"]: (r["a"], r["b"]) for r in per_feature(df, columns, pair).collect()}
 
     def outside(c: str) -> str:
         a, b = limits[c]

@@ -564,25 +564,25 @@ def variance_filter(spark, sf_dir):
 
 @register
 def corr_pairs(spark, sf_dir):
-    p = stats.correlation_pairs(_numbers(spark, sf_dir), DENSE)
+    p = stats.correlation_pairs(_numbers(spark, sf_dir), STAT_COLUMNS)
     return p.select("feature_1", "feature_2", tidy("correlation").alias("correlation"))
 
 
 @register
 def corr_report(spark, sf_dir):
-    p = stats.correlation_report(_numbers(spark, sf_dir), DENSE, 0.5)
+    p = stats.correlation_report(_numbers(spark, sf_dir), STAT_COLUMNS, 0.5)
     return p.select("feature_1", "feature_2", tidy("correlation").alias("correlation"))
 
 
 @register
 def corr_filter(spark, sf_dir):
-    dropped = stats.highly_correlated(_numbers(spark, sf_dir), DENSE, 0.7)
+    dropped = stats.highly_correlated(_numbers(spark, sf_dir), STAT_COLUMNS, 0.7)
     return spark.createDataFrame([(c,) for c in dropped], "feature string")
 
 
 @register
 def corr_spearman(spark, sf_dir):
-    p = stats.correlation_pairs(_numbers(spark, sf_dir), DENSE, "spearman")
+    p = stats.correlation_pairs(_numbers(spark, sf_dir), STAT_COLUMNS, "spearman")
     return p.select("feature_1", "feature_2", tidy("correlation").alias("correlation"))
 
 
@@ -771,8 +771,7 @@ _REG = ("mse", "rmse", "mae", "r2", "directional_accuracy", "correlation")
 
 @register
 def metric_regression(spark, sf_dir):
-    df = _predicted(spark, sf_dir).fillna(0.0, subset=["forecast"])
-    r = metrics.regression_metrics(df, "actual", "forecast")
+    r = metrics.regression_metrics(_predicted(spark, sf_dir), "actual", "forecast")
     return r.select("n", *[tidy(c).alias(c) for c in _REG])
 
 
@@ -1042,7 +1041,7 @@ def importance_summary(spark, sf_dir):
 def importance_shapley(spark, sf_dir):
     rows = _vectors(_model_rows(spark, sf_dir))
     model = _quick_forest().fit(rows.where("split = 'train'"), "label")
-    return importance.shapley_importance(model, rows, DENSE, max_rows=200, permutations=2)
+    return importance.shapley_importance(model, rows, DENSE, permutations=2)
 
 
 @register

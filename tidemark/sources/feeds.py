@@ -57,8 +57,8 @@ class MarketSource:
     """Reads the five feeds from one place.
 
     ``parquet``: ``location`` is a folder with one table per relation.
-    ``jdbc``: ``options`` are Spark's JDBC options; for a parallel read give
-    ``partitionColumn`` = timestamp, its bounds and ``numPartitions``.
+    ``jdbc``: ``options`` are Spark's JDBC options; ``partitionColumn`` (say,
+    the timestamp), its bounds and ``numPartitions`` are demanded.
     """
 
     spark: SparkSession
@@ -69,6 +69,9 @@ class MarketSource:
     def table(self, feed: str) -> DataFrame:
         relation, _ = FEEDS[feed]
         if self.format == "jdbc":
+            ranged = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+            if missing := sorted(ranged - self.options.keys()):
+                raise ValueError(f"a JDBC feed would be read by one task; options {missing} are missing")
             return self.spark.read.format("jdbc").options(dbtable=relation, **self.options).load()
         return self.spark.read.format(self.format).options(**self.options).load(
             f"{self.location}/{relation}"
