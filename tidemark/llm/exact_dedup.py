@@ -87,16 +87,18 @@ def exact_dedup(
     )
     rows = stored(rows, "dedup-rows")  # fixes __row, and hashes once
 
+    shared = rows.where(F.col("__full").isNotNull())
     groups = (
-        rows.where(F.col("__full").isNotNull())
-        .groupBy("__full")
+        shared.groupBy("__full")
         .agg(
             F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("__first"),
             F.count("*").alias("__n"),
         )
         .where("__n > 1")
     )
-    out = rows.join(groups, "__full", "left")
+    # rows that were told apart before their content was read take no part in the join
+    rest = rows.where(F.col("__full").isNull())
+    out = shared.join(groups, "__full", "left").unionByName(rest, allowMissingColumns=True)
     alone = F.col("__n").isNull()
     return out.select(
         *carry,
