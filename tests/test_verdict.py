@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import metrics, quantiles, stats
+from tidemark.operators.indicators import macd
+from tidemark.plans.feature_table import features_unfilled
 from tidemark.sources.feeds import MarketSource
 
 
@@ -52,3 +54,32 @@ def test_regression_metrics_use_known_pairs(spark):
 def test_unbounded_jdbc_read_is_refused(spark):
     with pytest.raises(ValueError, match="one task"):
         MarketSource(spark, format="jdbc", options={"url": "jdbc:none"}).table("ohlcv")
+
+
+def test_averages_of_columns_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    close = 100 + rng.normal(0, 1, n).cumsum()
+    frame = pd.DataFrame({
+        "symbol": "A",
+        "ts": pd.date_range("2024-01-01", periods=n, freq="h"),
+        "open": close, "high": close + 1, "low": close - 1, "close": close, "volume": rng.uniform(1, 9, n),
+    })
+    frame.loc[[50, 51, 52, 200], "close"] = None
+    frame.loc[[3, 80, 81, 300], "volume"] = None
+    schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+    rows = [(a, t.to_pydatetime(), *[None if np.isnan(x) else x for x in rest]) for a, t, *rest in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, schema)
+    ewm = lambda x, span: x.ewm(span=span, adjust=False).mean()
+    fast, slow = ewm(frame["close"], 12), ewm(frame["close"], 26)
+    signal = ewm(fast - slow, 9)
+
+    out = features_unfilled(df).orderBy("ts").toPandas()
+    assert "_ema_20" not in out.columns
+    for name, want in (("ema_12", fast), ("ema_26", slow), ("MACD_12_26_9", fast - slow), ("MACDs_12_26_9", signal),
+                       ("volume_ema_20", ewm(frame["volume"], 20))):
+        assert np.allclose(out[name].astype(float), want, equal_nan=True), name
+    single = macd(df).orderBy("ts").toPandas()
+    assert np.allclose(single["MACDs_12_26_9"].astype(float), signal, equal_nan=True)
+    plain = features_unfilled(df.fillna(5.0)).columns
+    assert sorted(plain) == sorted(out.columns)

@@ -134,10 +134,24 @@ def macd(
     slow: int = 26,
     signal: int = 9,
     series: Series = DEFAULT,
+    gaps: bool | None = None,
 ):
-    """MACD line, signal and histogram of a column without interior gaps."""
-    seg, _ = _start(df, series, memory(slow) + memory(signal), (fast, slow, signal))
-    seg = add_ewm(seg, {"_fast": (column, fast), "_slow": (column, slow)})
+    """MACD line, signal and histogram.
+
+    A column with interior gaps (looked up, unless ``gaps`` says so) takes its
+    two averages from the gap-aware scan.  They are carried over gaps, so the
+    signal's input has none.
+    """
+    if gaps is None:
+        t, x = F.col(series.order), F.col(column)
+        spans = df.groupBy(*series.keys).agg(
+            F.min(F.when(x.isNotNull(), t)).alias("_from"), F.max(F.when(x.isNull(), t)).alias("_miss")
+        )
+        gaps = not spans.where(F.col("_miss") > F.col("_from")).isEmpty()
+    source = ewm(df, {"_fast": (column, fast), "_slow": (column, slow)}, series) if gaps else df
+    seg, _ = _start(source, series, memory(slow) + memory(signal), (fast, slow, signal))
+    if not gaps:
+        seg = add_ewm(seg, {"_fast": (column, fast), "_slow": (column, slow)})
     seg = seg.add({"_macd": F.col("_fast") - F.col("_slow")})
     seg = add_ewm(seg, {"_signal": ("_macd", signal)})
     seg = seg.add({"_hist": F.col("_macd") - F.col("_signal")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,31 @@ from ..operators.segments import fitted_rows
 from ..session import stored
 
 
+#: Exponential averages of a column that are taken straight from it.
+AVERAGES = {
+    "open_interest": {"oi_ema_12": 12, "oi_ema_26": 26},
+    "close": {"ema_12": 12, "ema_26": 26, "_ema_20": 20},
+    "volume": {"volume_ema_20": 20},
+}
+
+
 def has_gaps(frame: DataFrame, column: str, series: Series = DEFAULT) -> bool:
-    """Whether a column has a missing value after its first known one.
+    """Whether a column has a missing value after its first known one."""
+    return column in gap_columns(frame, [column], series)
+
+
+def gap_columns(frame: DataFrame, columns: Sequence[str], series: Series = DEFAULT) -> list[str]:
+    """The columns with a missing value after their first known one, in one pass.
 
-    Two numbers per series reach the planner, like any size check.
+    One number per column reaches the planner, like any size check.
     """
-    t, x = F.col(series.order), F.col(column)
+    t = F.col(series.order)
     spans = frame.groupBy(*series.keys).agg(
-        F.min(F.when(x.isNotNull(), t)).alias("_from"),
-        F.max(F.when(x.isNull(), t)).alias("_miss"),
+        *[F.min(F.when(F.col(c).isNotNull(), t)).alias(f"_from_{c}") for c in columns],
+        *[F.max(F.when(F.col(c).isNull(), t)).alias(f"_miss_{c}") for c in columns],
     )
-    return not spans.where(F.col("_miss") > F.col("_from")).isEmpty()
+    found = spans.agg(*[F.count_if(F.col(f"_miss_{c}") > F.col(f"_from_{c}")).alias(c) for c in columns]).first()
+    return [c for c in columns if found[c]]
 
 
 def features_unfilled(
@@ -32,16 +48,17 @@ def features_unfilled(
 ) -> DataFrame:
     """Features of a joined frame (read twice, so pass a stored table).
 
-    A gap in open interest changes the weights of its exponential averages;
-    only then they are computed by the gap-aware scan and joined in.
+    A gap decays the weights of exponential averages.  Averages of a column
+    that has one come from the gap-aware scan and are joined in; what is built
+    on them follows.  ``gaps=False`` promises that there is none.
     """
-    if "open_interest" in frame.columns:
-        if gaps is None:
-            gaps = has_gaps(frame, "open_interest", series)
-        if gaps:
-            spans = {f"oi_ema_{s}": ("open_interest", s) for s in (12, 26)}
-            frame = stored(ewm(frame, spans, series), "oi-averages")
-    return feature_frame(frame, series=series)
+    columns = [c for c in AVERAGES if c in frame.columns]
+    found = columns if gaps else [] if gaps is False else gap_columns(frame, columns, series)
+    if not found:
+        return feature_frame(frame, series=series)
+    spans = {name: (c, span) for c in found for name, span in AVERAGES[c].items()}
+    frame = stored(ewm(frame, spans, series), "averages")
+    return feature_frame(frame, series=series).drop("_ema_20")
 
 
 def engineer_all(
