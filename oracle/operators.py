@@ -340,6 +340,10 @@ _VF = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 29 FOLLOWING AND 48 FOLLOWI
 SQL["target_volatility"] = _lr.add(
     target_volatility=f"CASE WHEN rn >= 20 AND count(lr) OVER {_VF} = 20 THEN stddev_samp(lr) OVER {_VF} * sqrt(288) END"
 ).rows("target_volatility", where="rn <= n - 68")
+_VL = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING)"
+SQL["target_volatility_long"] = _lr.add(
+    target_volatility=f"CASE WHEN rn >= 20 AND count(lr) OVER {_VL} = 20 THEN stddev_samp(lr) OVER {_VL} * sqrt(288) END"
+).rows("target_volatility", where="rn <= n - 30")
 _m = _b.add(**{f"target_return_{k}h": change("close", h) for k, h in ((1, 12), (4, 48), (8, 96), (24, 288))})
 _m = _m.add(**{f"target_class_{k}h": label(f"target_return_{k}h", 0.005) for k in (1, 4, 8, 24)})
 SQL["target_multi"] = _m.rows(
@@ -722,6 +726,7 @@ SQL["store_delete"] = _up.rows(
 )
 SQL["store_delete_count"] = BARS.sql("SELECT count(*) AS deleted FROM bars WHERE symbol = 'S0'")
 SQL["store_ttl"] = BARS.rows(*_CV, where="ts >= (SELECT max(ts) FROM bars) - INTERVAL 7 DAY")
+SQL["store_purge"] = SQL["store_ttl"]
 SQL["store_info"] = BARS.sql("SELECT symbol, count(*) AS keys FROM bars GROUP BY symbol")
 
 # ----------------------------------------------------------------- streaming

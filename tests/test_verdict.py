@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.operators import metrics, quantiles, stats
+from tidemark.operators import metrics, models, quantiles, stats
 from tidemark.operators.indicators import macd
 from tidemark.plans.feature_table import features_unfilled
 from tidemark.sources.feeds import MarketSource
+from tidemark.sources.model_store import load_trained, save_trained
 
 
 @pytest.mark.parametrize("sorted_, narrow", [(200_000, 0.0004), (50, 0.02), (30, 0.2)])
@@ -83,3 +84,20 @@ def test_averages_of_columns_with_gaps(spark):
     assert np.allclose(single["MACDs_12_26_9"].astype(float), signal, equal_nan=True)
     plain = features_unfilled(df.fillna(5.0)).columns
     assert sorted(plain) == sorted(out.columns)
+
+
+def test_a_loaded_model_predicts_the_same(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [("A", i, float(rng.integers(0, 3)), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "symbol string, ts long, label double, a double, b double")
+    df = models.assemble(df, ["a", "b"], ["symbol", "ts", "label"]).cache()
+    small = lambda: models.BoostedClassifier(max_iter=2, max_depth=2)
+    forest = lambda: models.ForestClassifier(trees=3, max_depth=2)
+    regressor = lambda: models.BoostedRegressor(max_iter=2, max_depth=2)
+    trained = [small(), regressor(), models.StackedClassifier([small, forest], folds=2), models.StackedRegressor([regressor], folds=2)]
+    for i, model in enumerate(trained):
+        model.fit(df)
+        save_trained(spark, model, str(tmp_path / str(i)))
+        again = load_trained(spark, str(tmp_path / str(i)))
+        pick = lambda m: [r["prediction"] for r in m.predict(df).orderBy("ts").collect()]
+        assert type(again) is type(model) and pick(again) == pick(model)

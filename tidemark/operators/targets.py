@@ -83,14 +83,14 @@ def volatility_target(
     """T5: annualised deviation of the log returns of rows
     ``t+horizon-lookback+1 .. t+horizon``; undefined on the first rows."""
     indexed = row_index(df, series, "_pos")
-    step = segment(indexed, halo=1, series=series)
-    step = step.add({"_lr": Rolling(step).log_return("close")}).finish(*indexed.columns, "_lr")
-    seg, _ = _backward(step, horizon, series)
-    frame = seg.window.rowsBetween(-horizon, lookback - 1 - horizon)
-    if lookback > horizon:
-        raise ValueError("lookback must not exceed horizon")
-    known = (F.count("_lr").over(frame) == lookback) & (F.col("_pos") >= lookback - 1)
-    value = F.when(known, F.stddev_samp("_lr").over(frame) * math.sqrt(288))
+    trail = segment(indexed, halo=lookback + 1, series=series)
+    trail = trail.add({"_lr": Rolling(trail).log_return("close")})
+    frame = trail.window.rowsBetween(1 - lookback, 0)
+    full = F.count("_lr").over(frame) == lookback
+    trail = trail.add({"_dev": F.when(full, F.stddev_samp("_lr").over(frame))})
+    seg, r = _backward(trail.finish(*indexed.columns, "_dev"), horizon, series)
+    ahead = F.lag("_dev", horizon).over(seg.window)
+    value = F.when(F.col("_pos") >= lookback - 1, ahead * math.sqrt(288))
     out = seg.add({"target_volatility": value})
     cut = Segmented(out.df.where(F.col(RN) >= horizon + lookback), out.series, out.block_rows)
     return cut.finish(*df.columns, "target_volatility")

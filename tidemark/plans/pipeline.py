@@ -20,8 +20,9 @@ from ..operators.models import (
 )
 from ..operators.prefix import DEFAULT, Series
 from ..session import stored
-from ..sources.artifacts import export_datasets, feature_set_record, save_feature_set, save_model
+from ..sources.artifacts import export_datasets, feature_set_record, save_feature_set
 from ..sources.artifacts import save_comparison
+from ..sources.model_store import save_trained
 from .feature_table import engineer_all
 
 
@@ -92,11 +93,10 @@ def train(
 
 
 def save_models(result: TrainingResult, path: str) -> None:
-    """Native model folders plus the scaler table."""
-    for name, m in result.models.items():
-        inner = getattr(m, "models", None) or [getattr(m, "model", None) or m.meta]
-        for i, part in enumerate(inner):
-            save_model(part, f"{path}/{name}/{i}")
+    """Every model whole (a stack with its bases) and the scaler table."""
+    spark = result.scores.sparkSession
+    for name, model in result.models.items():
+        save_trained(spark, model, f"{path}/{name}")
     scaling.save_scaler(result.scaler, f"{path}/scaler")
 
 

@@ -423,6 +423,13 @@ def target_volatility(spark, sf_dir):
     return show(targets.volatility_target(_bars(spark, sf_dir)), "target_volatility")
 
 
+@register
+def target_volatility_long(spark, sf_dir):
+    """A lookback that reaches behind the row itself."""
+    out = targets.volatility_target(_bars(spark, sf_dir), horizon=10, lookback=20)
+    return show(out, "target_volatility")
+
+
 @register
 def target_multi(spark, sf_dir):
     out = targets.multi_horizon_targets(_bars(spark, sf_dir))
@@ -872,6 +879,19 @@ def store_ttl(spark, sf_dir):
     return _flat(fs.expire(_map_rows(spark, sf_dir), 7))
 
 
+@register
+def store_purge(spark, sf_dir):
+    store = fs.FeatureStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.save(_map_rows(spark, sf_dir))
+    store.purge(7)
+    return _flat(store.read())
+
+
+@register
+def store_latest_of_symbol(spark, sf_dir):
+    return _flat(_store(spark, sf_dir).latest("S1"))
+
+
 @register
 def store_info(spark, sf_dir):
     return fs.storage_info(_map_rows(spark, sf_dir))

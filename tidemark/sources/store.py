@@ -160,11 +160,26 @@ class FeatureStore:
         new = newest(rows, "write_seq").withColumn("date", F.to_date("ts"))
         merged = new
         if self.exists():
+            new = stored(new, "upsert-new")
             touched = new.select("symbol", "date").distinct()
-            kept = self.read().join(touched, ["symbol", "date"], "left_semi")
+            known = self.read().where(self._span(touched))
+            kept = known.join(touched, ["symbol", "date"], "left_semi")
             merged = newest(kept.unionByName(new), "write_seq")
         self._replace(stored(merged, "upsert"))
 
+    @staticmethod
+    def _span(touched: DataFrame, most: int = 1000) -> Column:
+        """A partition filter known before the scan: dates of each symbol, or of all if they are many."""
+        days = touched.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+        spans = days.limit(most + 1).collect()
+        if len(spans) > most:
+            a, b = touched.agg(F.min("date"), F.max("date")).first()
+            return F.col("date").between(F.lit(a), F.lit(b))
+        out = F.lit(False)
+        for r in spans:
+            out = out | ((F.col("symbol") == r["symbol"]) & F.col("date").between(F.lit(r["a"]), F.lit(r["b"])))
+        return out
+
     def _replace(self, rows: DataFrame) -> None:
         out = rows.repartition("symbol", "date").write.partitionBy("symbol", "date")
         out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._rows)
@@ -173,7 +188,20 @@ class FeatureStore:
         return get(self._pruned(symbol, ts, ts), symbol, ts)
 
     def latest(self, symbol: str | None = None) -> DataFrame:
-        return get_latest(self.read().drop("date"), symbol)
+        """E3; of one symbol only its newest day is read, found among the folders."""
+        rows = self.read()
+        if symbol is not None and (dates := self._dates(symbol)):
+            rows = rows.where((F.col("symbol") == symbol) & (F.col("date") == F.lit(dates[-1]).cast("date")))
+        return get_latest(rows.drop("date"), symbol)
+
+    def _dates(self, symbol: str) -> list[str]:
+        """The dates a symbol has rows of, in order: names of folders."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._rows}/symbol={symbol}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(n.removeprefix("date=") for n in names if n.startswith("date="))
 
     def range(self, symbol: str, start: str, end: str) -> DataFrame:
         return get_range(self._pruned(symbol, start, end), symbol, start, end)
@@ -207,7 +235,32 @@ class FeatureStore:
             p.getFileSystem(conf).delete(p, True)
 
     def expire(self, days: int = 7, now: str | None = None) -> DataFrame:
-        return expire(self.read().drop("date"), days, now)
+        """The rows :meth:`purge` would leave; days before the limit are not read."""
+        limit = self._limit(days, now)
+        rows = self.read().where(F.col("date") >= F.lit(limit).cast("date"))
+        return rows.where(F.col("ts") >= F.lit(limit)).drop("date")
+
+    def purge(self, days: int = 7, now: str | None = None) -> None:
+        """Delete rows older than ``days`` before ``now`` (default: the newest row).
+
+        Folders of earlier days go whole; only the day of the limit is rewritten.
+        """
+        limit = self._limit(days, now)
+        day = F.lit(limit).cast("date")
+        parts = self.read().select("symbol", "date").distinct()
+        edge = stored(self.read().where(F.col("date") == day), "purge")
+        kept = edge.where(F.col("ts") >= F.lit(limit))
+        emptied = edge.select("symbol", "date").distinct().exceptAll(kept.select("symbol", "date").distinct())
+        gone = stored(parts.where(F.col("date") < day).unionByName(emptied), "purge-folders")
+        self._drop_partitions(gone)
+        if not kept.isEmpty():
+            self._replace(kept)
+
+    def _limit(self, days: int, now: str | None):
+        newest_day = self.read().agg(F.max("date")).first()[0]
+        last = self.read().where(F.col("date") == F.lit(newest_day)).agg(F.max("ts")).first()[0] if now is None else now
+        value = F.lit(last).cast("timestamp") - F.make_dt_interval(F.lit(days))
+        return self.spark.range(1).select(value).first()[0]
 
     def info(self) -> DataFrame:
         return storage_info(self.read())
