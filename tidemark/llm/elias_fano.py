@@ -90,10 +90,10 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(U64)
         return high << U64(self.low_bits) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Places of the first values that are at least ``x``; the size where there is none."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first values that are at least ``x``, and whether they equal it."""
         if not self.size or not len(x):
-            return np.zeros(len(x), dtype=np.int64)
+            return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
         x = x.astype(U64)
         high = (x >> U64(self.low_bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1  # high parts beyond the largest have no values
@@ -108,15 +108,18 @@ class EliasFano:
             less = open_ & (self._lows(np.minimum(mid, self.size - 1)) < want)
             low = np.where(less, mid + 1, low)
             stop = np.where(open_ & ~less, mid, stop)
-        return np.where(beyond, self.size, low)
+        # a value of the same high part that equals in the low part is the same
+        same = (low < end) & ~beyond & (self._lows(np.minimum(low, self.size - 1)) == want)
+        return np.where(beyond, self.size, low), same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Places of the first values that are at least ``x``; the size where there is none."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Places of the values equal to ``x``, -1 where there is none."""
-        at = self.successor(x)
-        safe = np.minimum(at, self.size - 1)
-        if not self.size:
-            return np.full(len(x), -1, dtype=np.int64)
-        return np.where((at < self.size) & (self.access(safe) == x.astype(U64)), at, -1)
+        at, same = self._search(x)
+        return np.where(same, at, -1)
 
 
 class Trie:
@@ -160,21 +163,19 @@ class Trie:
         held = self.counts.access(at + 1) - self.counts.access(at)
         return np.where(word_at >= 0, held.astype(np.int64), 0)
 
-    def value(self, word_at: np.ndarray, context_at: np.ndarray) -> np.ndarray:
-        """Values of (word, context) by their places, NaN where the pair is not in the trie."""
-        out = np.full(len(word_at), np.nan)
-        rows = np.flatnonzero((word_at >= 0) & (context_at >= 0))
-        if not len(rows):
+    def value(self, word_at: np.ndarray, runs: np.ndarray, context_at: np.ndarray) -> np.ndarray:
+        """Values of pairs: words at these places, each with its run of contexts; NaN for pairs not in the trie."""
+        out = np.full(len(context_at), np.nan)
+        if not self.words.size:
             return out
-        word, context = word_at[rows], context_at[rows].astype(np.int64)
-        start = self.pointers.access(word).astype(np.int64)
-        end = self.pointers.access(word + 1).astype(np.int64)
+        at = np.maximum(word_at, 0)
+        start = self.pointers.access(at).astype(np.int64)
+        end = self.pointers.access(at + 1).astype(np.int64)
         before = np.where(start > 0, self.pairs.access(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
-        sought = (before + context).astype(U64)
-        at = self.pairs.successor(sought)
-        safe = np.minimum(at, self.pairs.size - 1)
-        found = (at < end) & (self.pairs.access(safe) == sought)
-        out[rows[found]] = self.least + self.step * self.codes[safe[found]]
+        rows = np.flatnonzero(np.repeat(word_at >= 0, runs) & (context_at >= 0))
+        place, same = self.pairs._search((np.repeat(before, runs)[rows] + context_at[rows]).astype(U64))
+        found = same & (place < np.repeat(end, runs)[rows])
+        out[rows[found]] = self.least + self.step * self.codes[place[found]]
         return out
 
 

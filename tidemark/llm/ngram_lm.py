@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import Counter as Tally
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +67,14 @@ class Tokens:
 
     def __init__(self, parts: list[list[bytes]]):
         flat = list(chain.from_iterable(parts))
-        names = dict.fromkeys(flat)
-        hashes = np.fromiter(map(word_hash, names), dtype=np.uint64, count=len(names))
-        self.hashes = np.sort(hashes)
-        numbers = dict(zip(names, np.searchsorted(self.hashes, hashes).tolist()))
-        ids = np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat))
+        met = defaultdict(count().__next__)  # numbers words as they come, one look-up a token
+        ids = np.fromiter(map(met.__getitem__, flat), dtype=np.int64, count=len(flat))
+        hashes = np.fromiter(map(word_hash, met), dtype=np.uint64, count=len(met))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        ids = place[ids]
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         is_token = np.ones(len(flat), dtype=bool)
         is_token[np.cumsum(sizes) - sizes] = False  # what only stands in front of a token
@@ -147,7 +152,7 @@ def _messages(
     if is_hot.any():
         mixed = t.hashes[word[is_hot]] ^ (t.hashes[before[is_hot]] * SPREAD)
         shard[is_hot] = _shard_of(mixed, shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     shard, word, before = shard[order], word[order], before[order]
     bounds = np.searchsorted(shard, np.arange(shards + 1))
     flush = None if keys is None else xxhash.xxh64_intdigest(keys.tobytes()) >> 1
@@ -168,8 +173,12 @@ def _messages(
             "counts": tokens.astype(np.uint32).tobytes(),
         }
         if doc is not None:
-            at, local = np.unique(doc[order[a:b]], return_inverse=True)
-            out |= {"flush": flush, "keys": keys[at].tobytes(), "docs": local.astype(np.uint16).tobytes()}
+            mine = doc[order[a:b]]
+            number = np.zeros(len(keys), dtype=np.int64)
+            number[mine] = 1
+            at = np.flatnonzero(number)
+            number[at] = np.arange(len(at))
+            out |= {"flush": flush, "keys": keys[at].tobytes(), "docs": number[mine].astype(np.uint16).tobytes()}
         yield out
 
 
@@ -221,9 +230,9 @@ def count_words(docs: DataFrame, text: str, tokens_per_shard: int, mu: float) ->
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, _ in _flushes(batches):
-            t = Tokens(parts)
-            n = np.bincount(t.word, minlength=len(t.hashes))
-            hashes, n = t.hashes[n > 0], n[n > 0].astype(np.uint32)
+            found = Tally(chain.from_iterable(islice(p, 1, None) for p in parts))  # not what stands in front
+            hashes = np.fromiter(map(word_hash, found), dtype=np.uint64, count=len(found))
+            n = np.fromiter(found.values(), dtype=np.uint32, count=len(found))
             shard = _shard_of(hashes, shards)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -315,16 +324,17 @@ def _scored(row: dict, trie: Trie | None, shared: Counts) -> list[np.ndarray]:
     word_at = trie.words.find(words) if trie else np.full(len(words), -1)
     context_at = trie.contexts.find(contexts) if trie else np.full(len(contexts), -1)
     counts = shared.of_words(words, trie.count(word_at) if trie else np.zeros(len(words), dtype=np.int64))
-    of_pair = np.repeat(np.arange(len(words)), runs)
-    value = trie.value(word_at[of_pair], context_at[at]) if trie else np.full(len(of_pair), np.nan)
-    unseen = np.log10(shared.mu * (counts + 1) / shared.z)
-    pair = np.where(np.isnan(value), unseen[of_pair], value) - np.log10(counts + shared.mu)[of_pair]
-    of_token = np.repeat(np.arange(len(of_pair)), np.frombuffer(row["counts"], dtype=np.uint32))
+    context_of_pair = context_at[at]
+    value = trie.value(word_at, runs, context_of_pair) if trie else np.full(len(context_of_pair), np.nan)
+    unseen, ahead = np.log10(shared.mu * (counts + 1) / shared.z), np.log10(counts + shared.mu)
+    pair = np.where(np.isnan(value), np.repeat(unseen, runs), value) - np.repeat(ahead, runs)
+    repeats = np.frombuffer(row["counts"], dtype=np.uint32)
     docs = np.frombuffer(row["docs"], dtype=np.uint16)
     n = len(row["keys"]) // 8
-    token_count = counts[of_pair][of_token]
+    of_token = np.repeat(np.repeat(np.arange(len(words)), runs), repeats)
     total = lambda w: np.bincount(docs, weights=w, minlength=n)
-    each = np.bincount(docs, minlength=n), total(token_count > 0), total(np.log10((token_count + 1) / shared.z)), total(pair[of_token])
+    base = np.log10((counts + 1) / shared.z)
+    each = np.bincount(docs, minlength=n), total((counts > 0)[of_token]), total(base[of_token]), total(np.repeat(pair, repeats))
     return [x.astype(kind) for x, (_, kind) in zip(each, SUMS)]
 
 
