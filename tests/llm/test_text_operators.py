@@ -183,7 +183,7 @@ def _brute_lm(train, docs, mu=20.0):
     return out
 
 
-@pytest.mark.parametrize("tokens_per_shard", [8_000_000, 20_000])
+@pytest.mark.parametrize("tokens_per_shard", [8_000_000, 3_000])
 def test_lm_equals_brute_force(spark, sf_dir, tokens_per_shard, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 200").select("doc_id", "text")
     rows = docs.collect()
@@ -204,7 +204,8 @@ def test_lm_of_odd_rows_and_windows(odd_docs, no_docs, monkeypatch):
     want = _brute_lm([t for _, t in rows], [t for _, t in rows])
     ordered = sorted([(i, w[0], w[1], w[2], w[3]) for (i, _), w in zip(rows, want)], key=str)
     assert [g[:3] for g in got] == [w[:3] for w in ordered]
-    assert np.allclose([g[3:] for g in got], [w[3:] for w in ordered], rtol=1e-4)
+    assert np.allclose([g[3] for g in got], [w[3] for w in ordered])
+    assert all(abs(g[4] - w[4]) <= 2e-4 * w[1] for g, w in zip(got, ordered))  # 16-bit probabilities
     text = b"a b c d e f g"
     monkeypatch.setattr(ngram_lm, "WINDOW", 3)
     parts = list(ngram_lm.windows(text))
