@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tidemark.session import stored
 
 from .bpe import _slices
-from .common import whole
+from .common import bit_parts, whole
 from .graph import components
 
 SEED = 42
@@ -122,10 +122,11 @@ def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.n
     return i[kept], j[kept], far[kept]
 
 
-def links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, block: int = BLOCK, prints_per_task: int = 8000) -> DataFrame:
     """``a, b``: links of at most ``radius`` bits that connect the fingerprints ``fp`` as all such links do."""
     masks = covering_masks(radius)
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    points = points.repartition(bit_parts(points.count(), prints_per_task), "fp")  # before each becomes a row a table
     rows = points.select("fp", F.explode(tables).alias("key"))  # a bucket of its own for each table and masked value
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     buckets = stored(buckets.where("n > 1"), "buckets")
