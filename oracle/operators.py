@@ -727,6 +727,9 @@ SQL["store_delete"] = _up.rows(
 SQL["store_delete_count"] = BARS.sql("SELECT count(*) AS deleted FROM bars WHERE symbol = 'S0'")
 SQL["store_ttl"] = BARS.rows(*_CV, where="ts >= (SELECT max(ts) FROM bars) - INTERVAL 7 DAY")
 SQL["store_purge"] = SQL["store_ttl"]
+SQL["store_latest_of_symbol"] = (
+    f"SELECT * FROM ({SQL['store_upsert']}) WHERE symbol = 'S1' QUALIFY row_number() OVER (ORDER BY ts DESC) = 1"
+)
 SQL["store_info"] = BARS.sql("SELECT symbol, count(*) AS keys FROM bars GROUP BY symbol")
 
 # ----------------------------------------------------------------- streaming
