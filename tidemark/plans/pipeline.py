@@ -16,6 +16,7 @@ from ..operators.models import (
     BoostedRegressor,
     ForestClassifier,
     StackedClassifier,
+    StackedRegressor,
     assemble,
 )
 from ..operators.prefix import DEFAULT, Series
@@ -33,6 +34,7 @@ class TrainingResult:
     importance: DataFrame
     scaler: DataFrame
     predictions: dict[str, DataFrame] = field(default_factory=dict)
+    regression: DataFrame | None = None
 
 
 def default_classifiers() -> dict[str, Callable[[], object]]:
@@ -54,7 +56,7 @@ def train(
     stack_folds: int = 5,
     method: str = "standard",
 ) -> TrainingResult:
-    """Scale on train, fit, stack, evaluate on test, rank features.
+    """Scale on train, fit and stack classifiers and regressors, evaluate on test, rank features.
 
     ``df`` carries ``split``.  The scaled and assembled rows are stored once
     and read by every fit.
@@ -84,12 +86,22 @@ def train(
         for n, p in predictions.items()
     ]
     scores = reduce(DataFrame.unionByName, score)
+    regression = None
     if regressor is not None:
-        models["regressor"] = regressor().fit(fit_rows, target)
-        predictions["regressor"] = models["regressor"].predict(test)
+        regressors = {"regressor": regressor().fit(fit_rows, target)}
+        if stack:
+            regressors["stacked_regressor"] = StackedRegressor([regressor], folds=stack_folds).fit(fit_rows, target)
+        forecasts = {name: m.predict(test) for name, m in regressors.items()}
+        models |= regressors
+        predictions |= forecasts
+        fit = [
+            metrics.regression_metrics(p, target, "prediction").withColumn("model", F.lit(n))
+            for n, p in forecasts.items()
+        ]
+        regression = reduce(DataFrame.unionByName, fit)
     first = next(iter(classifiers))
     ranking = importance.importance_table(df.sparkSession, features, models[first].importance())
-    return TrainingResult(models, scores, ranking.orderBy(F.desc("importance")), scaler, predictions)
+    return TrainingResult(models, scores, ranking.orderBy(F.desc("importance")), scaler, predictions, regression)
 
 
 def save_models(result: TrainingResult, path: str) -> None:

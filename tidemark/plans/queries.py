@@ -1092,6 +1092,16 @@ def train_pipeline(spark, sf_dir):
     return result.scores
 
 
+@register
+def train_regressors(spark, sf_dir):
+    """Test metrics of the regressor and of its stack."""
+    rows = _model_rows(spark, sf_dir).withColumn("target_return", F.col("future_return"))
+    result = train(
+        rows, DENSE, "label", classifiers={"forest": _quick_forest}, regressor=_quick_regressor, stack_folds=2
+    )
+    return result.regression.select("model", "n", *[tidy(c).alias(c) for c in _REG])
+
+
 def all_queries() -> dict[str, Query]:
     out = {name: partial(_family, name) for name in FAMILIES}
     out.update(REGISTRY)
