@@ -88,7 +88,7 @@ def volatility_target(
     frame = trail.window.rowsBetween(1 - lookback, 0)
     full = F.count("_lr").over(frame) == lookback
     trail = trail.add({"_dev": F.when(full, F.stddev_samp("_lr").over(frame))})
-    seg, r = _backward(trail.finish(*indexed.columns, "_dev"), horizon, series)
+    seg, _ = _backward(trail.finish(*indexed.columns, "_dev"), horizon, series)
     ahead = F.lag("_dev", horizon).over(seg.window)
     value = F.when(F.col("_pos") >= lookback - 1, ahead * math.sqrt(288))
     out = seg.add({"target_volatility": value})
