@@ -155,6 +155,28 @@ def test_near_copies_are_verified(spark, odd_docs, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 9])
+def test_near_links_connect_families_as_all_pairs_do(spark, block):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(4):  # versions of a text, of which few are near copies of any one of them
+        base = rng.choice(1 << 20, 100, replace=False)
+        for _ in range(60):
+            own = rng.choice(100, rng.integers(0, 22), replace=False)
+            sets.append(set(np.delete(base, own).tolist()) | set(rng.integers(1 << 21, 1 << 30, rng.integers(0, 6)).tolist()))
+    sets += [set(range(i * 10, i * 10 + 100)) for i in range(40)]  # a chain: each one is near the next only
+    met = spark.createDataFrame([(min(i // 60, 4), i) for i in range(len(sets))], "group long, key long")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "key long, held array<int>")
+    found = dict(map(tuple, components(simhash.near_links(met, held, 0.8, block=block)).collect()))
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if min(i // 60, 4) == min(j // 60, 4) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert [found.get(i, i) for i in range(len(sets))] == label and label[-40:] == [240] * 40
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -226,6 +226,74 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int, mins: int) ->
     return docs.select(key, whole(text).alias("__text")).mapInArrow(run, schema)
 
 
+def linked_sets(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of different ``parts`` with a similarity of ``threshold`` that connect what all such pairs connect."""
+    n, sizes = len(sets), np.array(list(map(len, sets)), dtype=np.int64)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = held > 1  # what one set alone holds is in no intersection
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    step = 4096
+    for at in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, (at, at + step))
+        dense = np.zeros((n, step), dtype=np.float32)
+        dense[row[a:b], column[a:b] - at] = 1
+        common += dense @ dense.T
+    i, j = np.nonzero(np.triu(parts[:, None] != parts[None, :], 1))
+    both = common[i, j].astype(np.int64)
+    near = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+    i, j, _ = _forest(i[near], j[near], -both[near], n)
+    return i, j
+
+
+def near_links(met: DataFrame, sets: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """``a, b``: links that connect the keys as all pairs of one ``group`` with a similarity of ``threshold`` do.
+
+    ``met`` has ``group, key``, and ``sets`` has ``key, held``.  First the members
+    of a group are compared with one of them.  Where that leaves a group in
+    several parts, every member outside the largest part is compared with all
+    members of other parts, in blocks of bounded size: work grows with the
+    square of what the first comparisons left over, not of the group.
+    """
+    luck = F.struct(F.xxhash64("key", "group").alias("luck"), "key")  # another one in each group of a family
+    first = met.groupBy("group").agg(F.min(luck).alias("first"), F.count("*").alias("n"))
+    stars = met.join(first.where("n > 1"), "group").where(F.col("key") != F.col("first.key"))
+    pairs = stars.select(F.least("key", "first.key").alias("a"), F.greatest("key", "first.key").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("held").alias(f"held_{side}")), side)
+    common = F.size(F.array_intersect("held_a", "held_b"))
+    alike = common >= threshold * (F.size("held_a") + F.size("held_b") - common) - 1e-9
+    stars = stored(pairs.where(alike).select("a", "b"), "near-stars")
+
+    part = components(stars).select(F.col("node").alias("key"), F.col("label").alias("part"))
+    parts = stored(met.join(part, "key", "left").select("group", "key", F.coalesce("part", "key").alias("part")), "near-parts")
+    sizes = parts.groupBy("group", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("main"))
+    left = parts.join(sizes.where("parts > 1 AND n > 2"), "group")  # the pair of a group of two was compared
+    rest = F.ceil((F.col("n") - F.col("main.n")) / block).cast("int")
+    main = F.ceil(F.col("main.n") / block).cast("int")
+    outside = F.col("part") != F.col("main.part")
+    luck = F.xxhash64("key", F.lit(1))
+    own = F.when(outside, F.pmod(luck, rest)).otherwise(rest + F.pmod(luck, main)).cast("int")
+    other = F.sequence(F.lit(0), F.when(outside, rest + main).otherwise(rest) - 1)
+    left = left.select("group", "key", "part", own.alias("own"), F.explode(other).alias("other"))
+    left = left.select("group", "key", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        held = table.column("held").combine_chunks()
+        values, ends = held.values.to_numpy(), held.offsets.to_numpy()
+        keys, own = table.column("key").to_numpy(), table.column("part").to_numpy()
+        i, j = linked_sets([values[a:b] for a, b in zip(ends[:-1], ends[1:])], own, threshold)
+        return pa.table({"a": pa.array(keys[i], pa.int64()), "b": pa.array(keys[j], pa.int64())})
+
+    crossed = left.join(sets.select("key", "held"), "key").groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
+    return stars.union(crossed)
+
+
 def among(docs: DataFrame, keys: DataFrame, coarse_keys: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` that may have a ``key`` of ``keys``, and rows that have none.
 
@@ -253,9 +321,8 @@ def drop_near_copies(
     sets of ``shingle``-word runs.  Texts of which one of two word fingerprints
     differs in at most ``radius`` bits are brought together by covering tables.
     Within such a group, texts with one smallest shingle under one of ``mins``
-    orders are compared with the first of them, on the whole sets, so the number
-    of comparisons grows with the texts and no text goes for its fingerprint
-    alone.  Of verified links the row with the smallest id stays, null ids last;
+    orders are compared on the whole sets until all their links are found
+    (``near_links``), so no text goes for its fingerprint alone.  Of verified links the row with the smallest id stays, null ids last;
     rows that repeat id and text are one text and stay or go together.
     """
     key = F.xxhash64(F.col(doc_id), whole(text))
@@ -276,14 +343,9 @@ def drop_near_copies(
     texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), members.select("key"))
     sets = stored(shingle_sets(texts, "key", "text", shingle, mins).dropDuplicates(["key"]), "near-sets")
     met = members.join(sets.select("key", F.posexplode("mins").alias("order", "least")), "key")
-    first = met.groupBy("label", "order", "least").agg(F.min("who").alias("first"), F.count("*").alias("n"))
-    pairs = met.join(first.where("n > 1"), ["label", "order", "least"])
-    pairs = pairs.select(F.col("key").alias("a"), F.col("first.key").alias("b")).where("a <> b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("held").alias(f"held_{side}")), side)
-    common = F.size(F.array_intersect("held_a", "held_b"))
-    alike = common >= threshold * (F.size("held_a") + F.size("held_b") - common) - 1e-9
-    found = components(pairs.where(alike).select("a", "b")).select(F.col("node").alias("key"), F.col("label").alias("copy_of"))
+    met = stored(met.select(F.xxhash64("label", "order", "least").alias("group"), "key"), "near-met")
+    found = components(near_links(met, sets, threshold))
+    found = found.select(F.col("node").alias("key"), F.col("label").alias("copy_of"))
 
     linked = members.select("key", "who").distinct().join(found, "key")
     kept = linked.groupBy("copy_of").agg(F.min("who").alias("kept"))
