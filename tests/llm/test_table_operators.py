@@ -155,6 +155,20 @@ def test_near_copies_are_verified(spark, odd_docs, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0
 
 
+def test_near_copies_by_any_edit_are_found(spark):
+    rng = np.random.default_rng(6)
+    rows, lost = [], set()
+    for i in range(100):
+        words = [f"w{w}" for w in rng.integers(0, 5000, int(rng.integers(60, 600)))]
+        more = [f"w{w}" for w in rng.integers(0, 5000, int(0.17 * len(words)))]
+        cut, at = len(more), int(rng.integers(10, 40))
+        kinds = [words + more, more + words, words[cut:], [*words[:at], "changed", *words[at + 1 :]]]
+        rows += [(10 * i + j, " ".join(x)) for j, x in enumerate([words, kinds[i % 4]])]
+        lost.add(10 * i + 1)
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - lost
+
+
 @pytest.mark.parametrize("block", [256, 9])
 def test_near_links_connect_families_as_all_pairs_do(spark, block):
     rng = np.random.default_rng(3)

@@ -17,7 +17,7 @@ for each member, never all pairs.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,47 +183,54 @@ def near_duplicates(
 
 
 # ------------------------------------------------- near copies, verified
-def word_prints(docs: DataFrame, who: str, text: str) -> DataFrame:
-    """``who, fps``: two fingerprints of the words, as signed integers.
+def band_count(threshold: float, rows: int, miss: float) -> int:
+    """How many bands of ``rows`` minima leave a pair at the threshold unmet with a chance of ``miss`` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log(1 - min(threshold, 1 - 1e-6) ** rows)))
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the distinct word shingles; a text without words has the empty one."""
+    names = set(shingles(text.encode().lower().split(), size)) or {b""}
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, names), dtype=np.uint32, count=len(names)))
 
-    They are the halves of 128-bit hashes.  A word weighs its length times the
-    root of its count: frequent words are short, and no single word decides much.
-    """
-    schema = T.StructType([docs.schema[who], T.StructField("fps", T.ArrayType(T.LongType()))])
+
+def shingle_bands(docs: DataFrame, who: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
+    """``who, bands``: a hash of each band, that is of the smallest shingles under ``rows`` orders."""
+    schema = T.StructType([docs.schema[who], T.StructField("bands", T.ArrayType(T.LongType()))])
+    odd = np.random.default_rng(SEED).integers(1, 1 << 32, size=(2, bands * rows), dtype=np.uint32) | np.uint32(1)
+
+    def least(hashes: np.ndarray) -> np.ndarray:
+        out = np.full(bands * rows, 0xFFFFFFFF, dtype=np.uint32)
+        for at in range(0, len(hashes), 2048):
+            mixed = hashes[at : at + 2048, None] * odd[0]
+            mixed ^= mixed >> np.uint32(15)  # products alone would order sets alike
+            mixed *= odd[1]
+            np.minimum(out, mixed.min(0), out=out)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
             for batch in _slices(full):
                 out = []
                 for t in batch.column(1).to_pylist():
-                    words = Counter(t.encode().lower().split())
-                    weights = np.array([len(w) * n**0.5 for w, n in words.items()])
-                    data = b"".join(map(xxhash.xxh128_digest, words))
-                    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 16), axis=1)
-                    out.append(np.packbits(2 * (weights @ bits) > weights.sum()).view(">i8").astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [who, "fps"])
+                    mins = least(shingle_hashes(t, size)).reshape(bands, rows)
+                    keys = [xxhash.xxh64_intdigest(m.tobytes(), b) for b, m in enumerate(mins)]
+                    out.append(np.array(keys, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [who, "bands"])
 
     return docs.select(who, whole(text).alias("__text")).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int, mins: int) -> DataFrame:
-    """``key, held, mins``: sorted 32-bit hashes of the distinct word shingles, and the smallest under ``mins`` orders."""
-    schema = "key long, held array<int>, mins array<int>"
-    orders = np.random.default_rng(SEED).integers(1, 1 << 32, size=mins, dtype=np.uint32) | np.uint32(1)
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``key, held``: sorted 32-bit hashes of the distinct word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
             for batch in _slices(full):
-                held, least = [], []
-                for t in batch.column(1).to_pylist():
-                    names = set(shingles(t.encode().lower().split(), size)) or {b""}
-                    hashes = np.fromiter(map(xxhash.xxh32_intdigest, names), dtype=np.uint32, count=len(names))
-                    held.append(np.unique(hashes).view(np.int32))
-                    least.append((hashes[:, None] * orders).min(0).view(np.int32))
-                lists = (pa.array(x, pa.list_(pa.int32())) for x in (held, least))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "held", "mins"])
+                held = [shingle_hashes(t, size).view(np.int32) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], ["key", "held"])
 
-    return docs.select(key, whole(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(key, whole(text).alias("__text")).mapInArrow(run, "key long, held array<int>")
 
 
 def linked_sets(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -312,42 +319,36 @@ def drop_near_copies(
     text: str = "text",
     shingle: int = 5,
     threshold: float = 0.8,
-    radius: int = 5,
-    mins: int = 4,
+    rows: int = 4,
+    miss: float = 1e-4,
 ) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies.
 
     Near copies have a Jaccard similarity of ``threshold`` or more between their
-    sets of ``shingle``-word runs.  Texts of which one of two word fingerprints
-    differs in at most ``radius`` bits are brought together by covering tables.
-    Within such a group, texts with one smallest shingle under one of ``mins``
-    orders are compared on the whole sets until all their links are found
+    sets of ``shingle``-word runs.  Texts meet if one of several bands of minima
+    of these sets is equal; there are enough bands that a pair at the threshold
+    is not met with a chance of ``miss`` at most, whatever kind of edit made it.
+    Texts of a band are compared on the whole sets until all their links are found
     (``near_links``), so no text goes for its fingerprint alone.  Of verified links the row with the smallest id stays, null ids last;
     rows that repeat id and text are one text and stay or go together.
     """
     key = F.xxhash64(F.col(doc_id), whole(text))
     who = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key"))
     told = docs.select(who.alias("who"), F.col(text).alias("text"))
-    prints = stored(word_prints(told, "who", "text"), "near-prints")
-    parts = []
-    for half in range(2):
-        marked = prints.select("who", F.col("who.key").alias("key"), F.get("fps", F.lit(half)).alias("fp"))
-        nodes = stored(marked.groupBy("fp").agg(F.countDistinct("key").alias("n")), "near-nodes")
-        labels = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-        labelled = nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"))
-        groups = labelled.groupBy("label").agg(F.sum("n").alias("texts")).where("texts > 1").select("label")
-        groups = labelled.join(groups, "label").select("fp", F.struct(F.lit(half).alias("half"), "label").alias("label"))
-        parts.append(marked.join(groups, "fp").select("who", "key", "label").distinct())
-    members = stored(parts[0].union(parts[1]), "near-members")
-
-    texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), members.select("key"))
-    sets = stored(shingle_sets(texts, "key", "text", shingle, mins).dropDuplicates(["key"]), "near-sets")
-    met = members.join(sets.select("key", F.posexplode("mins").alias("order", "least")), "key")
-    met = stored(met.select(F.xxhash64("label", "order", "least").alias("group"), "key"), "near-met")
+    bands = shingle_bands(told, "who", "text", shingle, band_count(threshold, rows, miss), rows)
+    bands = stored(bands.dropDuplicates(["who"]), "near-bands")
+    met = bands.select(F.explode("bands").alias("group"), F.col("who.key").alias("key"))
+    several = met.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    met = stored(met.join(several, "group"), "near-met")
+    members = stored(met.select("key").distinct(), "near-members")
+
+    texts, _ = among(docs.select(key.alias("key"), F.col(text).alias("text")), members)
+    sets = texts.join(members, "key", "left_semi")
+    sets = stored(shingle_sets(sets, "key", "text", shingle).dropDuplicates(["key"]), "near-sets")
     found = components(near_links(met, sets, threshold))
     found = found.select(F.col("node").alias("key"), F.col("label").alias("copy_of"))
 
-    linked = members.select("key", "who").distinct().join(found, "key")
+    linked = bands.select("who", F.col("who.key").alias("key")).join(found, "key")
     kept = linked.groupBy("copy_of").agg(F.min("who").alias("kept"))
     dropped = linked.join(kept, "copy_of").where(F.col("key") != F.col("kept.key")).select("key")
     dropped = stored(dropped, "near-dropped")
