@@ -256,6 +256,21 @@ def test_mix_comes_near_its_targets(spark, sf_dir, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mix_with_one_dominating_document(spark):
+    sizes = {"a": [100] * 500 + [50_000], "b": [100] * 3750, "c": [40] * 5000} 
+    docs = spark.createDataFrame(
+        [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, all_of in sizes.items() for n in all_of)],
+        "doc_id long, text string, source string",
+    )
+    for seed, weights in (("1", (1, 3, 4)), ("2", (1, 8, 8)), ("3", (1, 8, 8)), ("4", (1, 16, 16))):
+        rows = mixing.mix(docs, carry=["source"], weights=weights, seed=seed).collect()
+        taken, target = collections.Counter(), {r["source"]: r["target"] for r in rows}
+        for r in rows:
+            assert r["taken"] == r["times"] * r["size"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items()), (seed, taken, target)
+
+
 # --------------------------------------------------------- nearest neighbours
 def _nearest(rows, k):
     out = {}

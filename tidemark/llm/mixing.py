@@ -9,7 +9,11 @@ read off running sums: the first source that fits its share sets the level.
 A source is then taken ``target / size`` times: the whole part of that ratio is
 so many repetitions of every document.  The rest is a sample: documents in the
 order of a seeded hash, as long as their sizes fit.  The gap that is left is
-closed by the one document whose size comes nearest to it.
+closed by the one document whose size comes nearest to it.  Where the source is
+then still not ``near`` its target, because a large document stopped the draw or
+was all that could close the gap, its sample is drawn anew by size class, the
+largest first and in the seeded order within a class; a document larger than the
+gap is left out and stops nothing.  The better of both samples stays.
 
 Running sums use buckets, prefixes of the hash: sums of the buckets in front,
 then a window inside a bucket.  So no task holds a source, whatever its share.
@@ -61,6 +65,53 @@ def water_levels(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
     return rows.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _by_source(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``others``, which has one row a source."""
+    named = others.withColumnRenamed("source", "__s")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
+
+
+def _best_fit(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``source, miss, row``: the document of ``left`` that fits the gap best, if it makes it smaller."""
+    miss = F.abs(F.col("size") - F.col("gap"))
+    rows = _by_source(left, gaps).where(miss < F.col("gap"))
+    best = rows.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "hash", "row")).alias("best"))
+    return best.select("source", "best.miss", "best.row")
+
+
+def _draw_by_size(rows: DataFrame, gaps: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """``source, row`` of documents that fill the gaps, large before small, and ``source, miss`` that is left.
+
+    Every round leaves out what is larger than the gap and draws at least one
+    document of each source that has any, so the rounds come to an end.
+    """
+    size_class = F.lit(99) - F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")
+    left = rows.where("size > 0").withColumn("place", F.concat(size_class.cast("string"), "hash"))
+    drawn = left.select("source", "row").limit(0)
+    while True:
+        fits = _by_source(left, gaps).where(F.col("size") <= F.col("gap"))
+        fits = fits.withColumn("bucket", F.substring("place", 1, 2 + digits))
+        front = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = fits.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+        buckets = buckets.withColumn("before", F.coalesce(F.sum("held").over(front), F.lit(0)))
+        buckets = buckets.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), "before")
+        inner = Window.partitionBy("source", "bucket").orderBy("place", "row").rowsBetween(Window.unboundedPreceding, 0)
+        running = fits.withColumn("inside", F.sum("size").over(inner))
+        running = running.join(buckets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
+        running = running.withColumn("seen", F.col("before") + F.col("inside")).where(F.col("seen") <= F.col("gap"))
+        now = stored(running.select("source", "row", "seen"), "mix-more")
+        if not now.limit(1).count():
+            break
+        drawn = drawn.union(now.select("source", "row"))
+        got = now.groupBy("source").agg(F.max("seen").alias("seen"))
+        gap = F.col("gap") - F.coalesce("seen", F.lit(0))
+        gaps = stored(_by_source(gaps, got, "left").select("source", gap.alias("gap")), "mix-gaps")
+        left = stored(left.join(now.select("row"), "row", "left_anti"), "mix-left")
+    best = stored(_best_fit(left, gaps), "mix-best")
+    missed = _by_source(gaps, best, "left").select("source", F.coalesce("miss", "gap").alias("miss"))
+    return drawn.union(best.select("source", "row")), missed
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -71,12 +122,14 @@ def mix(
     epochs: int = 3,
     seed: str = "mix-1",
     rows_per_bucket: int = 20_000,
+    near: float = 0.05,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, times, taken`` of every row, and ``carry``.
 
     ``times`` is how often the mix holds the document, ``taken`` its words there.
     Null texts have size 0; a null source is a source; rows that repeat an id
-    count each.  An empty table gives an empty result.
+    count each.  An empty table gives an empty result.  A source further from its
+    target than ``near`` of it is drawn anew by size class.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -112,18 +165,28 @@ def mix(
         "mix-drawn",
     )
 
-    # the document that fits the gap best, if it makes it smaller
-    got = found.groupBy("source").agg(F.max(F.when(F.col("drawn"), F.col("before") + F.col("inside"))).alias("got"))
-    gaps = found.where(~F.col("drawn")).join(
-        got.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))
-    )
-    gap = F.col("rest") - F.coalesce("got", F.lit(0))
-    miss = F.abs(F.col("size") - gap)
-    best = gaps.where(miss < gap).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "hash", "row")).alias("best"))
-    extra = best.select(F.col("best.row").alias("row"), F.lit(1).alias("extra"))
-
-    plan = found.select("row", "source_size", "target", "whole", "drawn").join(extra, "row", "left")
-    repeats = F.col("whole") + F.col("drawn").cast("long") + F.coalesce("extra", F.lit(0))
+    reach = F.max(F.when(F.col("drawn"), F.col("before") + F.col("inside")))
+    got = found.groupBy("source").agg(reach.alias("got"), F.first("rest").alias("rest"), F.first("target").alias("target"))
+    gaps = stored(got.select("source", "target", "rest", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
+    best = stored(_best_fit(found.where(~F.col("drawn")), gaps.select("source", "gap")), "mix-best")
+    reached = _by_source(gaps, best, "left").withColumn("miss", F.coalesce("miss", "gap"))
+    far = stored(reached.where(F.col("miss") > near * F.col("target")), "mix-far")
+
+    sample = found.withColumn("drawn", F.col("drawn").cast("long"))
+    extra = best.select("row", F.lit(1).alias("extra"))
+    if far.limit(1).count():
+        again = _by_source(found.select("row", "source", "size", "hash"), far.select("source"))
+        anew, missed = _draw_by_size(again, far.select("source", F.col("rest").alias("gap")), digits)
+        better = _by_source(far.select("source", F.col("miss").alias("first_miss")), missed)
+        better = stored(better.where("miss < first_miss").select("source", F.lit(True).alias("better")), "mix-better")
+        anew = stored(_by_source(anew, better).select("row", F.lit(1).alias("anew")), "mix-anew")
+        sample = _by_source(sample, better, "left").join(anew, "row", "left")
+        sample = sample.withColumn("drawn", F.when(F.col("better"), F.coalesce("anew", F.lit(0))).otherwise(F.col("drawn")))
+        kept = best.join(better.select(F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s")), "left_anti")
+        extra = kept.select("row", F.lit(1).alias("extra"))
+
+    plan = sample.select("row", "source_size", "target", "whole", "drawn").join(extra, "row", "left")
+    repeats = F.col("whole") + F.col("drawn") + F.coalesce("extra", F.lit(0))
     mixed = rows.join(plan.withColumn("times", F.least(repeats, F.lit(epochs))), "row")
     return mixed.select(
         "doc_id",
