@@ -310,3 +310,44 @@ def test_many_equal_vectors_over_blocks(spark):
     for r in sorted(got, key=lambda r: r["rank"]):
         found[r["query_id"]].append(r["vec_id"])
     assert found == _nearest(rows, 5)
+
+
+def _recall(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    got, stack = collections.defaultdict(list), np.array(vectors)
+    for r in ann.nearest(df).collect():
+        got[r["query_id"]].append(r["score"])
+    out = []
+    for q, i in enumerate(ids):
+        if i % 20 == 0:  # by score: any of several equal vectors will do
+            best = np.sort(np.delete(stack @ stack[q], q))[::-1][:20]
+            assert len(got[i]) == len(best)
+            out.append(np.mean(np.array(got[i]) >= best[-1] - 1e-9) if len(best) else 1.0)
+    return np.array(out)
+
+
+def _unit(n, seed=8):
+    v = np.random.default_rng(seed).standard_normal((n, 64))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("n", [5, 20, 100])
+def test_small_tables_are_searched_whole(spark, n):
+    assert _recall(spark, _unit(n)).min() == 1
+
+
+def test_recall_with_a_third_of_copies(spark):
+    v = _unit(2000)
+    v[::3] = v[0]
+    found = _recall(spark, v)
+    assert found.mean() >= 0.9 and found.min() >= 0.5
+
+
+def test_rare_vector_lengths_have_blocks_of_their_own(spark):
+    df = spark.range(3000).selectExpr(
+        "id AS vec_id", "transform(sequence(1, IF(id % 100 < 99, 3, 4)), x -> rand(7) - 0.5) AS embedding"
+    )
+    rows = ann.nearest(df.selectExpr("IF(vec_id % 100 = 99, 20 * vec_id, vec_id + 60000) AS vec_id", "embedding"), rows_per_block=100)
+    counts = collections.Counter(r["query_id"] for r in rows.where("query_id < 60000 AND query_id % 100 = 80").collect())
+    assert len(counts) == 30 and set(counts.values()) == {20}

@@ -3,8 +3,12 @@
 Every vector gets a long hash string of sign bits in each tree, and a tree is
 the sorted array of the strings.  A query descends in all trees to the longest
 prefix it shares with any string, and then ascends in all trees at once, one bit
-at a time, until the ranges under its prefixes hold enough candidates.  How long
-a prefix is used so depends on how dense the data are around the query.
+at a time, until the ranges under its prefixes hold enough candidates: places in
+all trees together of vectors other than the query's own.  Copies of a vector
+count once a tree, so neither a query that is itself in the index nor a vector
+with many copies ends the ascent; the latter is a candidate of every query.  A small block has no ascent: all of its rows are
+candidates.  How long a prefix
+is used so depends on how dense the data are around the query.
 Candidates are scored exactly, on the original vectors in double precision.
 
 Signs of random projections follow angles.  Largest inner products become
@@ -30,6 +34,8 @@ from tidemark.session import stored
 from .common import bit_parts
 
 BITS = 32
+#: A vector with so many copies is a candidate of every query: to miss it would cost many places.
+REPEATED = 5
 
 
 class Forest:
@@ -43,6 +49,12 @@ class Forest:
         self.order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, axis=0)
         self.by_tree = [vectors[self.order[:, t]] for t in range(trees)]
+        unique, name, copies = np.unique(vectors + 0.0, axis=0, return_inverse=True, return_counts=True)
+        self.name = name.reshape(-1)  # equal vectors have one
+        self.names = {v.tobytes(): i for i, v in enumerate(unique)}
+        self.repeated = np.flatnonzero(copies[self.name] >= REPEATED)
+        some, self.at = np.unique(self.name[self.repeated], return_inverse=True)
+        self.often = unique[some]
 
     def strings(self, vectors: np.ndarray, more: np.ndarray) -> np.ndarray:
         """Hash strings ``[vector, tree]`` as integers, the first bit highest."""
@@ -60,19 +72,34 @@ class Forest:
                 side[:, t] = np.searchsorted(self.sorted[:, t], ends[:, t])
         return sides[0], sides[1]
 
-    def scores(self, queries: np.ndarray, wanted: int) -> np.ndarray:
-        """Inner products ``[query, vector]`` with the candidates of each query, -inf for other vectors."""
+    def places(self, query: np.ndarray, start: np.ndarray, end: np.ndarray) -> int:
+        """Places of different vectors other than the query in its ranges; copies count once a tree."""
+        own = self.names.get((query + 0.0).tobytes(), -1)
+        met = (np.unique(self.name[self.order[a:b, t]]) for t, (a, b) in enumerate(zip(start, end)) if a < b)
+        return sum(len(x) - bool(np.isin(own, x)) for x in met)
+
+    def scores(self, queries: np.ndarray, candidates: float, all_of: int) -> np.ndarray:
+        """Inner products ``[query, vector]`` with the candidates of each query, -inf for other vectors.
+
+        The ascent ends when there are ``candidates`` places for each different
+        vector; it goes to the root if there are no more than ``all_of`` of them.
+        """
         strings = self.strings(queries, np.zeros(len(queries)))
         out = np.full((len(queries), len(self.vectors)), -np.inf)
         waiting = np.arange(len(queries))
-        for depth in range(BITS, -1, -1):  # from the longest prefix upwards, all trees together
+        wanted = candidates * len(self.names)
+        for depth in range(BITS, -1, -1) if len(self.names) > all_of else [0]:  # from the longest prefix upwards, all trees together
             start, end = self.ranges(strings[waiting], depth)
             enough = (end - start).sum(1) >= wanted if depth else np.ones(len(waiting), dtype=bool)
+            for i in np.flatnonzero(enough) if depth else ():
+                enough[i] = self.places(queries[waiting[i]], start[i], end[i]) >= wanted
             if enough.any():
                 self._fill(out, queries, waiting[enough], start[enough], end[enough], depth)
                 waiting = waiting[~enough]
             if not len(waiting):
                 break
+        if len(self.repeated):
+            out[:, self.repeated] = (queries @ self.often.T)[:, self.at.reshape(-1)]
         return out
 
     def _fill(self, out, queries, rows, start, end, depth) -> None:
@@ -107,14 +134,16 @@ def nearest(
     candidates: float = 1.1,
     rows_per_block: int = 8192,
     queries_per_block: int = 2048,
+    all_of: int = 25,
     seed: int = 11,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query.
 
     Queries are the rows whose id is divisible by ``query_every``.  The ranges of
-    all trees together hold at least ``candidates`` times the vectors of a block
-    (some in several trees) before the ascent ends; ``trees`` and ``candidates``
-    set the recall.  Vectors that are null, empty, zero, or hold a null or
+    all trees together hold at least ``candidates`` times the different vectors of
+    a block (some in several trees) before the ascent ends; ``trees`` and
+    ``candidates`` set the recall.  Blocks of ``all_of * k`` different vectors at most
+    are searched whole.  Vectors that are null, empty, zero, or hold a null or
     non-finite component take no part; nor do those of another length than the
     query's.  Ties go to the smaller id.
     """
@@ -122,17 +151,18 @@ def nearest(
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("q"))
     by_dims = {r["dims"]: (r["n"], float(r["q"]) ** 0.5) for r in sizes.collect()}
-    total = sum(n for n, _ in by_dims.values())
-    blocks = bit_parts(total, rows_per_block)
+    # each length of vectors has blocks of its own, however rare it is
+    blocks_of = {d: bit_parts(n, rows_per_block) for d, (n, _) in by_dims.items()} or {0: 1}
+    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in blocks_of.items() for x in pair]), F.size("v"))
     is_query = F.pmod("vec_id", F.lit(query_every)) == 0
     parts = bit_parts(rows.where(is_query).count(), queries_per_block)
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
     part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
     dims = F.size("v").alias("dims")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.select("vec_id", "v", dims, block.alias("block"), all_of(parts).alias("part"))
-    queries = rows.where(is_query).select("vec_id", "v", dims, all_of(blocks).alias("block"), part.alias("part"))
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    index = rows.select("vec_id", "v", dims, block.alias("block"), each_of(F.lit(parts)).alias("part"))
+    queries = rows.where(is_query).select("vec_id", "v", dims, each_of(blocks).alias("block"), part.alias("part"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
@@ -146,7 +176,7 @@ def nearest(
             some = right.iloc[at : at + 128]
             names = some["vec_id"].to_numpy()
             asked = np.stack(some["v"].to_list())
-            scores = forest.scores(asked, int(candidates * len(ids)))
+            scores = forest.scores(asked, candidates, all_of * k)
             scores[names[:, None] == ids[None, :]] = -np.inf
             for name, query, row in zip(names, asked, scores):
                 live = np.flatnonzero(row > -np.inf)
