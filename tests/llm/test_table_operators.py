@@ -225,6 +225,22 @@ def test_blocks_equal_all_pairs(spark):
         assert got == want and want
 
 
+def test_notices_wrapped_over_lines(spark):
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy of",
+        "gpl": "# you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by",
+    }
+    filler = "words of another kind stand here\n" * 20
+    apart = "redistribution and use in source and\n" + filler + "binary forms with or without\n" + filler + "modification are permitted"
+    rows = [(label, filler + t + "\n" + filler) for label, t in texts.items()] + [("", apart)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    assert all(label in got[label]["labels"].split(",") for label in texts) and got[""]["labels"] == ""
+    met = {(r["doc_id"], r["label"]) for r in license_scan.wrapped_notices(docs).collect()}
+    assert met == {(label, label) for label in texts}
+
+
 # -------------------------------------------------------------------- mixing
 def test_water_levels_clamp_and_reshare(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, None: 40, "d": 0}

@@ -15,6 +15,10 @@ without looking at most blocks:
 What passes is verified on the whole sets.  The template index is a constant of
 the caller and is joined as a literal; blocks are only shuffled after the join.
 
+A notice wrapped over lines meets its template in no line.  Texts of several
+lines that hold enough of a template's words somewhere are therefore also looked
+at in all runs of words half as long again as the template, across lines.
+
 Besides, phrases are counted: places where their words stand consecutively.
 """
 
@@ -174,6 +178,39 @@ def matching_blocks(
     )
 
 
+def wrapped_notices(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    templates: Mapping[str, str] | None = None,
+    threshold: float = 0.8,
+) -> DataFrame:
+    """``doc_id, template, label, containment`` of every template met by a run of words, whatever the line breaks.
+
+    A run is half as long again as the template.  Texts of one line are left to
+    ``matching_blocks``, where the line holds all runs.
+    """
+    templates = TEMPLATES if templates is None else templates
+    words = {t: sorted(set(t.split())) for t in templates}
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for ws in words.values() for w in ws})])
+    literal = F.array(*[
+        F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.array(*[F.lit(w) for w in words[t]]).alias("words"),
+                 F.lit(max(1, math.ceil(threshold * len(words[t]) - 1e-9))).alias("need"),
+                 F.lit(math.ceil(1.5 * len(t.split()))).alias("span"))
+        for t, label in templates.items()
+    ])
+    rows = docs.where(F.contains(F.col(text), F.lit("\n"))).select(F.col(doc_id).alias("doc_id"), lower_ascii(F.col(text)).alias("text"))
+    rows = rows.withColumn("held", F.array_intersect(F.split("text", GAP), vocabulary))
+    some = F.filter(literal, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["need"])
+    rows = rows.select("doc_id", "text", F.explode(some).alias("t"))  # few texts hold so much of any template
+    rows = rows.withColumn("all", F.filter(F.split("text", GAP), lambda w: w != ""))
+    starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("t.words", F.get("all", i - 1)))
+    common = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("t.span")), F.col("t.words"))))
+    rows = rows.select("doc_id", "t", F.array_max(common).alias("common")).where(F.col("common") >= F.col("t.need"))
+    part = (F.col("common") / F.size("t.words")).alias("containment")
+    return rows.select("doc_id", "t.template", "t.label", part)
+
+
 def scan_licenses(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -186,11 +223,13 @@ def scan_licenses(
 
     The score is the largest containment of a matched template, 1 where a phrase
     stands, 0 where nothing was found.  Rows that repeat an id share the labels
-    of their blocks.
+    of their blocks and notices.
     """
     base = count_phrases(docs, text, PHRASES if phrases is None else phrases, [doc_id])
     blocks = matching_blocks(docs, doc_id, text, templates, threshold)
-    found = blocks.groupBy(F.col("doc_id").alias("__id")).agg(
+    told = ["doc_id", "label", "containment"]
+    notices = blocks.select(*told).union(wrapped_notices(docs, doc_id, text, templates, threshold).select(*told))
+    found = notices.groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_set("label").alias("__labels"), F.max("containment").alias("__most")
     )
     both = base.join(found, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
