@@ -66,3 +66,13 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove a table that ``stored`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
