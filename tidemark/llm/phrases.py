@@ -20,7 +20,7 @@ phrases.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import stored
+from tidemark.session import drop_stored, stored
 
 from .common import bit_parts
 from .trie import DoubleArray, digits_for
@@ -39,8 +39,10 @@ from .words import Words, kinds, slices
 SIGNS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words or candidates of a broadcast part at most.
 PART = 1 << 20
-#: Hash buckets at most and at least, and buckets of a row of counts, as powers of two.
-MOST_BUCKETS, LEAST_BUCKETS, RANGE = 24, 12, 16
+#: Hash buckets at most and at least, as powers of two.
+MOST_BUCKETS, LEAST_BUCKETS = 24, 12
+#: Counts that a task sends in one row.
+BLOCK = 1 << 16
 #: Positions of a shard, unless one piece is longer.
 SHARD = 1 << 18
 #: Phrases that one task ranks.
@@ -80,28 +82,34 @@ def numbered(rows: DataFrame, keys: list[str], label: str, per_part: int) -> tup
     return rows, [sizes.get(p, 0) for p in range(parts)]
 
 
-def _ids(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), dtype=np.int32)
+def _joined(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Each group with its texts as one, about a megabyte at a time."""
+    for part in slices(batch, "text", 1 << 20):
+        groups = part.column("group").dictionary_encode()
+        for i, group in enumerate(groups.dictionary.to_pylist()):
+            some = part.column("text").filter(pc.equal(groups.indices, i))
+            yield group, b"\n".join(some.cast(pa.binary()).to_pylist())
+
+
+def _cut(ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Shards of the numbers, none longer than need be, that end where a piece does; one 0 is enough."""
+    ids = ids[(ids > 0) | (np.append(0, ids[:-1]) > 0)]
+    ends = np.flatnonzero(ids == 0)
+    at = 0
+    while at < len(ids):
+        cut = np.searchsorted(ends, at + SHARD)
+        until = int(ends[cut]) + 1 if cut < len(ends) else len(ids)
+        yield ids[at:until]
+        at = until
 
 
 def shards_of(texts: DataFrame, vocabulary: DataFrame, sizes: list[int]) -> DataFrame:
     """``ids, live``: the numbers of the frequent words of all texts, as bytes, cut where a piece ends.
 
-    ``live`` has a byte a position, 1 for every frequent word.  The vocabulary is
-    broadcast part by part; beyond one part the texts are passed once for each.
+    ``live`` is null until :func:`mark` sets it.  The vocabulary is broadcast part by
+    part; beyond one part the texts are passed once for each.
     """
-    spark = texts.sparkSession
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                groups = part.column("group").dictionary_encode()
-                for i, group in enumerate(groups.dictionary.to_pylist()):
-                    some = part.column("text").filter(pc.equal(groups.indices, i))
-                    text = pc.binary_join(pa.array([some.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())), b"\n")
-                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.string()), text, pa.nulls(1, pa.binary())], ["group", "text", "ids"])
-
-    rows = texts.mapInArrow(joined, "group string, text binary, ids binary")
+    spark, rows = texts.sparkSession, texts
     for part in range(len(sizes)):
         mine = vocabulary.where(F.col("part") == part).orderBy("group", "place").select("group", "word", "place").toArrow()
         groups = mine.column("group").combine_chunks().dictionary_encode()
@@ -110,42 +118,30 @@ def shards_of(texts: DataFrame, vocabulary: DataFrame, sizes: list[int]) -> Data
             own = mine.filter(pc.equal(groups.indices, i))
             held[group] = own.column("word").combine_chunks(), np.append(0, own.column("place").to_numpy() + sum(sizes[:part]) + 1).astype(np.int32)
         shared = spark.sparkContext.broadcast(held)
+        first, last = part == 0, part + 1 == len(sizes)
 
-        def encode(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def encode(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            nothing = pa.array([], pa.binary()), np.zeros(1, dtype=np.int32)
             for batch in batches:
-                for i, group in enumerate(batch.column("group").to_pylist()):
-                    words = Words(batch.column("text").slice(i, 1), SIGNS)
-                    vocabulary, number = shared.value.get(group, (pa.array([], pa.binary()), np.zeros(1, dtype=np.int32)))
+                source = ((g, t, None) for g, t in _joined(batch)) if first else zip(*(c.to_pylist() for c in batch.columns))
+                for group, text, before in source:
+                    words = Words(pa.array([text], pa.binary()), SIGNS)
+                    vocabulary, number = shared.value.get(group, nothing)
                     ids = number[words.numbers(vocabulary)]
-                    before = batch.column("ids")[i]
                     out = np.zeros(len(ids) + int(words.starts_piece.sum()), dtype=np.int32)
                     out[np.arange(len(ids)) + np.cumsum(words.starts_piece)] = ids
-                    if before.is_valid:
-                        out = np.maximum(out, _ids(before))
-                    coded = pa.array([out.tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("group").slice(i, 1), batch.column("text").slice(i, 1), coded], ["group", "text", "ids"])
-
-        rows = rows.mapInArrow(encode, "group string, text binary, ids binary")
-        if part + 1 < len(sizes):
-            rows = stored(rows, "phrase-texts")
-
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column("ids"):
-                if not value.is_valid:
-                    continue
-                ids = _ids(value)
-                ids = ids[(ids > 0) | (np.append(0, ids[:-1]) > 0)]  # one 0 is enough
-                ends = np.flatnonzero(ids == 0)
-                at = 0
-                while at < len(ids):
-                    cut = np.searchsorted(ends, at + SHARD)
-                    until = int(ends[cut]) + 1 if cut < len(ends) else len(ids)
-                    some, at = ids[at:until], until
-                    columns = [pa.array([some.tobytes()], pa.binary()), pa.array([(some > 0).astype(np.uint8).tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["ids", "live"])
+                    if before is not None:
+                        out = np.maximum(out, np.frombuffer(before, dtype=np.int32))
+                    if last:
+                        for shard in _cut(out):
+                            yield pa.RecordBatch.from_arrays([pa.array([shard.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["ids", "live"])
+                    else:
+                        columns = [pa.array([group], pa.string()), *(pa.array([x], pa.binary()) for x in (text, out.tobytes()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["group", "text", "ids"])
 
-    return stored(rows.select("ids").mapInArrow(compact, "ids binary, live binary"), "phrase-shards")
+        schema = "ids binary, live binary" if last else "group string, text binary, ids binary"
+        rows = stored(rows.mapInArrow(encode, schema), "phrase-shards" if last else "phrase-texts")
+    return rows
 
 
 def positions(ids: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
@@ -167,48 +163,63 @@ def bucket_of(ids: np.ndarray, at: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ids`` and ``live`` of every shard; without marks every word is live."""
     for batch in batches:
         for a, b in zip(batch.column("ids"), batch.column("live")):
-            yield _ids(a), np.frombuffer(b.as_buffer(), dtype=np.uint8)
+            ids = np.frombuffer(a.as_buffer(), dtype=np.int32)
+            yield ids, np.unpackbits(np.frombuffer(b.as_buffer(), dtype=np.uint8), count=len(ids)) if b.is_valid else ids > 0
 
 
-def full_buckets(shards: DataFrame, k: int, least: int, bits: int) -> np.ndarray:
-    """Which hash buckets hold ``least`` occurrences of phrases of ``k`` words, over all shards."""
-    kind = np.uint8 if least < 256 else np.uint32
-    width = 1 << min(RANGE, bits)
+def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counts in rows of ``BLOCK`` neighbours, each in the narrowest integers; blocks of nought are left out."""
+    for at in range(0, len(total), BLOCK):
+        some = total[at : at + BLOCK]
+        if most := int(some.max()):
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+            row = [pa.array([at // BLOCK], pa.int32()), pa.array([kind().itemsize], pa.int32()), pa.array([some.astype(kind).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["at", "wide", "counts"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=kind)
-        for ids, live in _arrays(batches):
-            found, n = np.unique(bucket_of(ids, positions(ids, live, k), k, bits), return_counts=True)
-            total[found] = np.minimum(total[found] + n, least).astype(kind)  # more than the threshold need not be told
-        for at in range(0, len(total), width):
-            if total[at : at + width].any():
-                row = [pa.array([at // width], pa.int32()), pa.array([total[at : at + width].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["at", "counts"])
+
+def summed(shards: DataFrame, count: Callable, cells: int, told: Callable, schema: str) -> DataFrame:
+    """``told(first cell, counts)`` of each block of counts that ``count`` makes of the shards, added over all tasks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
+        at, total = None, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for own, counts in zip(batch.column("at").to_pylist(), batch.column("counts")):
+            for own, wide, counts in zip(batch.column("at").to_pylist(), batch.column("wide").to_pylist(), batch.column("counts")):
+                more = np.frombuffer(counts.as_buffer(), dtype=f"u{wide}").astype(np.int64)
                 if own != at:
                     if at is not None:
-                        yield full(at, total)
-                    at, total = own, np.zeros(width, dtype=np.int64)
-                total += np.frombuffer(counts.as_buffer(), dtype=kind)
+                        yield told(at * BLOCK, total)
+                    at, total = own, more
+                else:
+                    total = total + more
         if at is not None:
-            yield full(at, total)
+            yield told(at * BLOCK, total)
 
-    def full(at: int, total: np.ndarray) -> pa.RecordBatch:
-        bits_of = np.packbits(total >= least).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits_of], pa.binary())], ["at", "full"])
+    rows = shards.mapInArrow(lambda batches: _blocks(count(batches)), "at int, wide int, counts binary")
+    tasks = max(1, min(-(-cells // BLOCK), 64))
+    return rows.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(add, schema)
 
-    ranges = (1 << bits) // width
-    counts = shards.mapInArrow(count, "at int, counts binary").repartition(min(ranges, 64), "at").sortWithinPartitions("at")
-    out = np.zeros((ranges, width), dtype=bool)
-    for r in counts.mapInArrow(add, "at int, full binary").collect():  # a bit a bucket: 2 MB at most
-        out[r["at"]] = np.unpackbits(np.frombuffer(r["full"], dtype=np.uint8))[:width]
-    return out.ravel()
+
+def full_buckets(shards: DataFrame, k: int, least: int, bits: int) -> np.ndarray:
+    """Which hash buckets hold ``least`` occurrences of phrases of ``k`` words, over all shards."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(1 << bits, dtype=np.uint8 if least < 256 else np.uint32)
+        for ids, live in _arrays(batches):
+            found, n = np.unique(bucket_of(ids, positions(ids, live, k), k, bits), return_counts=True)
+            total[found] = np.minimum(total[found] + n, least)  # more than the threshold need not be told
+        return total
+
+    def told(first: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["first", "full"])
+
+    out = np.zeros(1 << bits, dtype=bool)
+    for r in summed(shards, count, 1 << bits, told, "first long, full binary").collect():  # a bit a bucket: 2 MB at most
+        some = np.unpackbits(np.frombuffer(r["full"], dtype=np.uint8))
+        out[r["first"] : r["first"] + BLOCK] = some[: len(out) - r["first"]][:BLOCK]
+    return out
 
 
 def candidates(shards: DataFrame, k: int, full: np.ndarray, bits: int) -> DataFrame:
@@ -239,37 +250,45 @@ def _tries(spark: SparkSession, grams: DataFrame, sizes: list[int], k: int, digi
             yield part, spark.sparkContext.broadcast(DoubleArray(own.flatten().to_numpy().reshape(size, k), digits))
 
 
-def count_accepting(shards: DataFrame, k: int, trie) -> DataFrame:
-    """``place, n`` of the phrases of a trie that occur: accepting states of all positions of all shards."""
+def count_accepting(shards: DataFrame, k: int, trie, size: int, least: int) -> DataFrame:
+    """``place, a`` of the phrases of a trie that occur ``least`` times: accepting states of all positions of all shards."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(trie.value.keys, dtype=np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(size, dtype=np.int64)
         for ids, live in _arrays(batches):
-            _, leaf = trie.value.walk(ids, positions(ids, live, k))
-            total += np.bincount(leaf, minlength=len(total))
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 1 << 16):
-            some = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
-
-    return shards.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("a"))
-
-
-def mark(shards: DataFrame, tries) -> DataFrame:
-    """``shards`` with ``live`` where one of the phrases of the tries begins."""
-    out, first = shards, True
-    for _, trie in tries:
+            total += np.bincount(trie.value.walk(ids, positions(ids, live, k))[1], minlength=size)
+        return total
+
+    def told(first: int, total: np.ndarray) -> pa.RecordBatch:
+        often = np.flatnonzero(total >= least)
+        return pa.RecordBatch.from_arrays([pa.array((first + often).astype(np.int32)), pa.array(total[often])], ["place", "a"])
+
+    return summed(shards, count, size, told, "place int, a long")
+
+
+def mark(shards: DataFrame, tries: Iterator, n: int, k: int) -> DataFrame:
+    """Shards for phrases of ``k`` words: ``live`` where a phrase of the ``n`` tries begins, and no other words than those in reach."""
+    out = shards
+    for i, (_, trie) in enumerate(tries):
+
+        def run(batches, trie=trie, first=i == 0, last=i + 1 == n) -> Iterator[pa.RecordBatch]:
+            for ids, live in _arrays(batches):
+                marks = np.zeros(len(ids), dtype=bool) if first else live > 0
+                marks[trie.value.walk(ids, np.arange(max(len(ids) - trie.value.length + 1, 0)))[0]] = True
+                if last:
+                    reach = np.zeros(len(ids) + 1, dtype=np.int32)
+                    at = positions(ids, marks, k)
+                    reach[at] += 1
+                    np.add.at(reach, at + k, -1)
+                    ids = np.where(np.cumsum(reach[:-1]) > 0, ids, 0)
+                    kept = (ids > 0) | (np.append(0, ids[:-1]) > 0)  # one 0 between runs
+                    ids, marks = ids[kept], marks[kept]
+                if len(ids):
+                    columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids, np.packbits(marks))]
+                    yield pa.RecordBatch.from_arrays(columns, ["ids", "live"])
 
-        def run(batches: Iterator[pa.RecordBatch], trie=trie, first=first) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, (ids, live) in enumerate(_arrays([batch])):
-                    marks = np.zeros(len(ids), dtype=np.uint8) if first else live.copy()
-                    room = np.arange(max(len(ids) - trie.value.length + 1, 0))
-                    marks[trie.value.walk(ids, room)[0]] = 1
-                    row = [batch.column("ids").slice(i, 1), pa.array([marks.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, ["ids", "live"])
-
-        out, first = stored(out.mapInArrow(run, "ids binary, live binary"), "phrase-shards"), False
+        out = stored(out.mapInArrow(run, "ids binary, live binary"), "phrase-shards")
+        trie.unpersist()
     return out
 
 
@@ -284,12 +303,13 @@ def frequent_phrases(shards: DataFrame, words: int, positions_: int, longest: in
             grams, sizes = numbered(found[-1].select("gram"), ["gram"], "phrases", per_part)
             if not sum(sizes):
                 break
-            shards = mark(shards, _tries(spark, grams, sizes, k - 1, digits))
+            before, shards = shards, mark(shards, _tries(spark, grams, sizes, k - 1, digits), sum(map(bool, sizes)), k)
+            drop_stored(before)
         full = full_buckets(shards, k, least, bits)
         grams, sizes = numbered(candidates(shards, k, full, bits), ["gram"], "candidates", per_part)
         level = []
         for part, trie in _tries(spark, grams, sizes, k, digits):
-            counts = count_accepting(shards, k, trie).where(F.col("a") >= least)
+            counts = count_accepting(shards, k, trie, sizes[part], least)
             level.append(stored(grams.where(F.col("part") == part).join(counts, "place").select("gram", "a"), "frequent"))
             trie.unpersist()
         if not level:
