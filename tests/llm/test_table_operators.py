@@ -208,21 +208,38 @@ def test_phrases_that_touch_and_odd_rows(odd_docs, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
-def test_blocks_equal_all_pairs(spark):
+def _blocks(words, threshold):
+    """All blocks that meet a template, by the definition."""
+    met = collections.defaultdict(set)
+    for t in license_scan.TEMPLATES:
+        need, span = set(t.split()), -(-3 * len(t.split()) // 2)
+        least = len(need) if len(need) < 10 else threshold * len(need) - 1e-9
+        for i, w in enumerate(words):
+            if w in need and len(need & set(words[i : i + span])) >= least:
+                met[i].add(t)
+    return {(i, t) for i, ts in met.items() for t in ts if not any(set(t.split()) < set(u.split()) for u in ts)}
+
+
+def test_blocks_equal_all_windows(spark):
     rng = np.random.default_rng(4)
     words = sorted({w for t in license_scan.TEMPLATES for w in t.split()}) + ["zz", "yy"]
-    lines = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(400)] + list(license_scan.TEMPLATES)
-    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id long, text string")
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(400)]
+    for t in license_scan.TEMPLATES:  # notices in any order and with words lost or put in
+        for _ in range(6):
+            own = [w for w in t.split() if rng.random() < 0.95]
+            texts.append(" ".join([*rng.choice(words, 3), *(rng.permutation(own) if rng.random() < 0.3 else own), *rng.choice(words, 5)]))
+    texts = [" ".join(texts[i::40]) for i in range(40)]
+    docs = spark.createDataFrame([(i, re.sub(" ", lambda _: rng.choice([" ", "\n", ", "]), t)) for i, t in enumerate(texts)], "doc_id long, text string")
     for threshold in (0.5, 0.8, 1.0):
-        got = {tuple(r)[:3] for r in license_scan.matching_blocks(docs, threshold=threshold).collect()}
-        want = set()
-        for i in range(40):
-            for b, line in enumerate(lines[i::40]):
-                for t in license_scan.TEMPLATES:
-                    need = set(t.split())
-                    if len(need & set(line.split())) >= threshold * len(need) - 1e-9:
-                        want.add((i, b, t))
-        assert got == want and want
+        got = [tuple(r)[:3] for r in license_scan.matching_blocks(docs, threshold=threshold).collect()]
+        want = {(i, b, t) for i, text in enumerate(texts) for b, t in _blocks(text.split(), threshold)}
+        assert sorted(got) == sorted(want) and len(want) > 50
+
+
+def test_long_texts_without_line_breaks(spark):
+    text = "the terms of this file and the use of it " * 20_000 + "released under the MIT license"
+    rows = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r["n_words"], r["labels"], r["score"]) for r in rows] == [(200_005, "mit", 1.0)]
 
 
 def test_notices_wrapped_over_lines(spark):
@@ -237,7 +254,7 @@ def test_notices_wrapped_over_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
     assert all(label in got[label]["labels"].split(",") for label in texts) and got[""]["labels"] == ""
-    met = {(r["doc_id"], r["label"]) for r in license_scan.wrapped_notices(docs).collect()}
+    met = {(r["doc_id"], r["label"]) for r in license_scan.matching_blocks(docs).collect()}
     assert met == {(label, label) for label in texts}
 
 

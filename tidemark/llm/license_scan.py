@@ -1,23 +1,26 @@
 """License scans by an exact set-similarity join (operator 8).
 
-A text block (a line of a document) meets a template if it holds at least
-``threshold`` of the template's distinct words.  The join finds every such pair
-without looking at most blocks:
+A text block is a run of words that begins at a word of the template and is half as
+long again as it, whatever line breaks are in it.  It meets the template if it holds
+at least ``threshold`` of its distinct words, or all of them if they are fewer than
+ten.  Where a block meets a template, one whose words are a strict part of that
+template's is not met by the block from the same word (a notice of CC BY-NC is none
+of CC BY).  The join finds every such block without looking at most of them:
 
 * words have one global order, rare before frequent, by the number of documents
   that hold them (counted over all documents);
 * *prefix*: a template of ``n`` words that needs ``k`` of them cannot be met by a
-  block that has none of its first ``n - k + 1`` words, so only these are indexed;
-* *length*: a block with fewer than ``k`` words cannot meet it either;
-* *position*: the first word in common, at position ``i`` of the template and
-  ``j`` of the block, leaves at most ``1 + min(n - i - 1, m - j - 1)`` in common.
-
-What passes is verified on the whole sets.  The template index is a constant of
-the caller and is joined as a literal; blocks are only shuffled after the join.
-
-A notice wrapped over lines meets its template in no line.  Texts of several
-lines that hold enough of a template's words somewhere are therefore also looked
-at in all runs of words half as long again as the template, across lines.
+  block that has none of its first ``n - k + 1`` words, so only places of these are
+  looked at, and a block only from the first of them in it;
+* *length*: nor can a place be in a block that meets it if the words in reach of
+  the place hold fewer than ``k`` of the template's;
+* *position*: a block begins at a word of the template that stands in front of the
+  place, at most a block's length and behind the prefix word before it.
+
+What passes is verified on the words themselves.  The template index is a constant
+of the caller and joined as a literal; a place carries the words in its reach only,
+so that the work of a text grows with its length, and nothing is shuffled before
+the places have been verified.
 
 Besides, phrases are counted: places where their words stand consecutively.
 """
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, whole
 
+#: A template of fewer different words is met by all of them only.
+SHORT = 10
 #: What separates words: ASCII signs other than letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,11 +74,6 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(lower_ascii(text), GAP, "  "), F.lit(" "))
 
 
-def word_set(text: Column) -> Column:
-    """The distinct words of a text."""
-    return F.array_distinct(F.filter(F.split(lower_ascii(text), GAP), lambda w: w != ""))
-
-
 def phrase_places(spaced_text: str, phrase: str) -> dict[str, Column]:
     """How often the phrase's words stand consecutively, and the first and last place, in words."""
     words = phrase.split()
@@ -115,11 +115,21 @@ def count_phrases(docs: DataFrame, text: str, phrases: Mapping[str, str], carry:
 def word_order(docs: DataFrame, text: str, words: Sequence[str]) -> list[str]:
     """The template words, those in the fewest documents first; one row a word reaches the driver."""
     vocabulary = F.array(*[F.lit(w) for w in words])
-    held = docs.select(F.explode(F.array_intersect(word_set(whole(text)), vocabulary)).alias("word"))
+    held = docs.select(F.explode_outer(F.array_intersect(F.split(lower_ascii(whole(text)), GAP), vocabulary)).alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
+def needed(words: set[str], threshold: float) -> int:
+    """How many of a template's words a block must hold."""
+    return len(words) if len(words) < SHORT else max(1, math.ceil(threshold * len(words) - 1e-9))
+
+
+def block_length(template: str) -> int:
+    """Words of a block: half as many again as the template has."""
+    return math.ceil(1.5 * len(template.split()))
+
+
 def matching_blocks(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -127,88 +137,75 @@ def matching_blocks(
     templates: Mapping[str, str] | None = None,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """``doc_id, block, template, label, containment`` of every line that meets a template.
+    """``doc_id, block, template, label, containment`` of every block that meets a template.
 
-    ``block`` numbers the lines of a text from 0, empty ones too.  Null and empty
-    texts have no words and meet nothing; a line that meets several templates
-    gives a row for each.
+    ``block`` is the block's first word, counted from 0.  Null and empty texts have
+    no words and meet nothing; a block that meets several templates gives a row for
+    each, but for those that are a part of another.
     """
     templates = TEMPLATES if templates is None else templates
-    words = {t: sorted(set(t.split())) for t in templates}
-    order = word_order(docs, text, sorted({w for ws in words.values() for w in ws}))
-    rank = {w: i for i, w in enumerate(order)}
-    need = {t: max(1, math.ceil(threshold * len(ws) - 1e-9)) for t, ws in words.items()}
-    index = [
-        (order[r], t, templates[t], i, len(words[t]), need[t], sorted(rank[w] for w in words[t]))
-        for t in templates
-        for i, r in enumerate(sorted(rank[w] for w in words[t])[: len(words[t]) - need[t] + 1])
-    ]
-    prefix_words = sorted({row[0] for row in index})
-
-    # a text without any prefix word has no block to look at
-    vocabulary = F.array(*[F.lit(w) for w in order])
-    some = F.rlike(lower_ascii(whole(text)), F.lit("|".join(prefix_words)))
-    lines = docs.where(some).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(whole(text), "\n")).alias("block", "line"))
-    lines = lines.where(F.rlike(lower_ascii(F.col("line")), F.lit("|".join(prefix_words))))
-    lines = lines.select("doc_id", "block", word_set(F.col("line")).alias("held"))
-    ranks = F.array_sort(F.transform(F.array_intersect("held", vocabulary), lambda w: F.array_position(vocabulary, w).cast("int") - 1))
-    lines = lines.select("doc_id", "block", F.size("held").alias("size"), ranks.alias("ranks"))
-
-    entry = "struct<word:int,template:string,label:string,at:int,n:int,need:int,ranks:array<int>>"
-    literal = F.array(*[
-        F.struct(F.lit(rank[w]).alias("word"), F.lit(t).alias("template"), F.lit(label).alias("label"), F.lit(at).alias("at"),
-                 F.lit(n).alias("n"), F.lit(k).alias("need"), F.array(*[F.lit(r) for r in own]).alias("ranks"))
-        for w, t, label, at, n, k, own in index
-    ]).cast(f"array<{entry}>")
-    probes = lines.select("doc_id", "block", "size", "ranks", F.posexplode("ranks").alias("place", "word"))
-    pairs = probes.select(
-        "*", F.explode(F.filter(literal, lambda e: (e["word"] == F.col("word")) & (e["need"] <= F.col("size")))).alias("e")
+    words = {t: set(t.split()) for t in templates}
+    order = word_order(docs, text, sorted(set().union(*words.values())))
+    need = {t: needed(ws, threshold) for t, ws in words.items()}
+    prefix = {t: [w for w in order if w in ws][: len(ws) - need[t] + 1] for t, ws in words.items()}
+    reach = max(map(block_length, templates))
+
+    kept = "n int, need int, span int, words array<string>"
+    part = lambda t: [F.lit(len(words[t])), F.lit(need[t]), F.lit(block_length(t)), _strings(sorted(words[t]))]
+    entry = f"struct<template:string,label:string,prefix:array<string>,own:struct<{kept}>,wider:array<struct<{kept}>>>"
+    index = F.create_map(*[
+        x
+        for w in sorted(set().union(*prefix.values()))
+        for x in (F.lit(w), F.array(*[
+            F.struct(F.lit(t), F.lit(templates[t]), _strings(prefix[t]), F.struct(*part(t)),
+                     F.array(*[F.struct(*part(u)) for u in templates if words[t] < words[u]]).cast(f"array<struct<{kept}>>"))
+            for t in templates if w in prefix[t]
+        ]).cast(f"array<{entry}>"))
+    ])
+
+    # a text without any prefix word has no place to look at
+    sought = sorted(set().union(*prefix.values()))
+    lower = lower_ascii(whole(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
+    rows = rows.where(reduce(lambda a, b: a | b, [F.contains(F.col("text"), F.lit(w)) for w in sought]))
+    rows = rows.select("doc_id", F.filter(F.split("text", GAP), lambda w: w != "").alias("words"))
+    # explode_outer: no filter on the generated rows is derived, which would be pushed into the lambdas
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(sought), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "words", F.explode_outer(places).alias("at")).where(F.col("at").isNotNull())
+    first = F.greatest(F.col("at") - (reach - 1), F.lit(0))
+    rows = rows.select(
+        "doc_id",
+        (F.col("at") - first).alias("ahead"),
+        first.alias("first"),
+        F.slice("words", first + 1, F.lit(2 * reach - 1)).alias("near"),
     )
-    left = F.least(F.col("e.n") - F.col("e.at") - 1, F.size("ranks") - F.col("place") - 1)
-    # only the first word in common counts: no earlier word of either side is in the other
-    earlier = F.size(F.array_intersect(F.slice(F.col("e.ranks"), F.lit(1), F.col("e.at")), F.col("ranks")))
-    pairs = pairs.where((earlier == 0) & (left + 1 >= F.col("e.need")))
-    common = F.size(F.array_intersect(F.col("e.ranks"), F.col("ranks")))
-    return pairs.where(common >= F.col("e.need")).select(
+    pairs = rows.select("*", F.explode_outer(F.element_at(index, F.get("near", F.col("ahead")))).alias("t"))
+
+    def common(start: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(F.slice("near", start, t["span"]), t["words"]))
+
+    own = F.col("t.own")
+    enough = common(F.lit(1), F.struct(F.lit(2 * reach).alias("span"), own["words"].alias("words"))) >= own["need"]
+    begins = F.filter(
+        F.sequence(F.greatest(F.col("ahead") - own["span"] + 2, F.lit(1)), F.col("ahead") + 1),
+        lambda s: F.array_contains(own["words"], F.get("near", s - 1))
+        & (F.size(F.array_intersect(F.slice("near", s, F.col("ahead") + 1 - s), F.col("t.prefix"))) == 0)
+        & (common(s, own) >= own["need"])
+        & ~F.exists("t.wider", lambda u: common(s, u) >= u["need"]),
+    )
+    blocks = pairs.select("doc_id", "first", "near", "t", F.explode_outer(F.when(enough, begins)).alias("start"))
+    blocks = blocks.where(F.col("start").isNotNull())
+    return blocks.select(
         "doc_id",
-        F.col("block").cast("long").alias("block"),
-        F.col("e.template").alias("template"),
-        F.col("e.label").alias("label"),
-        (common / F.col("e.n")).alias("containment"),
+        (F.col("first") + F.col("start") - 1).cast("long").alias("block"),
+        F.col("t.template").alias("template"),
+        F.col("t.label").alias("label"),
+        (common(F.col("start"), F.col("t.own")) / F.col("t.own.n")).alias("containment"),
     )
 
 
-def wrapped_notices(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    templates: Mapping[str, str] | None = None,
-    threshold: float = 0.8,
-) -> DataFrame:
-    """``doc_id, template, label, containment`` of every template met by a run of words, whatever the line breaks.
-
-    A run is half as long again as the template.  Texts of one line are left to
-    ``matching_blocks``, where the line holds all runs.
-    """
-    templates = TEMPLATES if templates is None else templates
-    words = {t: sorted(set(t.split())) for t in templates}
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for ws in words.values() for w in ws})])
-    literal = F.array(*[
-        F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.array(*[F.lit(w) for w in words[t]]).alias("words"),
-                 F.lit(max(1, math.ceil(threshold * len(words[t]) - 1e-9))).alias("need"),
-                 F.lit(math.ceil(1.5 * len(t.split()))).alias("span"))
-        for t, label in templates.items()
-    ])
-    rows = docs.where(F.contains(F.col(text), F.lit("\n"))).select(F.col(doc_id).alias("doc_id"), lower_ascii(F.col(text)).alias("text"))
-    rows = rows.withColumn("held", F.array_intersect(F.split("text", GAP), vocabulary))
-    some = F.filter(literal, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["need"])
-    rows = rows.select("doc_id", "text", F.explode(some).alias("t"))  # few texts hold so much of any template
-    rows = rows.withColumn("all", F.filter(F.split("text", GAP), lambda w: w != ""))
-    starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("t.words", F.get("all", i - 1)))
-    common = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("t.span")), F.col("t.words"))))
-    rows = rows.select("doc_id", "t", F.array_max(common).alias("common")).where(F.col("common") >= F.col("t.need"))
-    part = (F.col("common") / F.size("t.words")).alias("containment")
-    return rows.select("doc_id", "t.template", "t.label", part)
+def _strings(words: Sequence[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def scan_licenses(
@@ -223,13 +220,11 @@ def scan_licenses(
 
     The score is the largest containment of a matched template, 1 where a phrase
     stands, 0 where nothing was found.  Rows that repeat an id share the labels
-    of their blocks and notices.
+    of their blocks.
     """
     base = count_phrases(docs, text, PHRASES if phrases is None else phrases, [doc_id])
     blocks = matching_blocks(docs, doc_id, text, templates, threshold)
-    told = ["doc_id", "label", "containment"]
-    notices = blocks.select(*told).union(wrapped_notices(docs, doc_id, text, templates, threshold).select(*told))
-    found = notices.groupBy(F.col("doc_id").alias("__id")).agg(
+    found = blocks.groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_set("label").alias("__labels"), F.max("containment").alias("__most")
     )
     both = base.join(found, F.col(doc_id).eqNullSafe(F.col("__id")), "left")

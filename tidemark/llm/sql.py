@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from .license_scan import PHRASES, TEMPLATES
+from .license_scan import PHRASES, TEMPLATES, block_length, needed
 from .mixing import WEIGHTS
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,7 +18,7 @@ FROM hashed WINDOW same AS (PARTITION BY text_sha256)
 
 
 def license_scan(threshold: float = 0.8) -> str:
-    """Every line against every template, by the definition."""
+    """Every block against every template, by the definition."""
     gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{UPPER}', '{LOWER}'), '{gap}')"
     places = []
@@ -28,19 +26,22 @@ def license_scan(threshold: float = 0.8) -> str:
         same = " AND ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
         places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
     templates = ", ".join(
-        f"({sorted(set(t.split()))!r}, '{label}', {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))})"
+        f"({sorted(set(t.split()))!r}, '{label}', {needed(set(t.split()), threshold)}, {block_length(t)})"
         for t, label in TEMPLATES.items()
     )
     return rf"""
 WITH split AS (SELECT doc_id, text, {words('text')} AS w FROM documents),
 base AS (SELECT doc_id, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS p FROM split),
-templates(words, label, need) AS (VALUES {templates}),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-sets AS (SELECT doc_id, list_distinct({words('line')}) AS held FROM lines),
+templates(words, label, need, span) AS (VALUES {templates}),
+each_word AS (SELECT words, label, need, span, unnest(words) AS word FROM templates),
+starts AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
 met AS (
-  SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS part
-  FROM sets, templates WHERE len(list_intersect(held, words)) >= need),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(part) AS most FROM met GROUP BY doc_id)
+  SELECT doc_id, i, words, label, len(list_intersect(list_distinct(w[i:i + span - 1]), words)) / len(words) AS part
+  FROM starts JOIN each_word USING (word) WHERE len(list_intersect(list_distinct(w[i:i + span - 1]), words)) >= need),
+alone AS (
+  SELECT * FROM met m WHERE NOT EXISTS (
+    SELECT 1 FROM met o WHERE o.doc_id = m.doc_id AND o.i = m.i AND len(o.words) > len(m.words) AND list_has_all(o.words, m.words))),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(part) AS most FROM alone GROUP BY doc_id)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word,
   list_max(list_transform(p, lambda x: x.at)) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') AS base_labels,
