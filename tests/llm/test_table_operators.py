@@ -338,7 +338,7 @@ def test_odd_vectors(spark):
 def test_many_equal_vectors_over_blocks(spark):
     df = spark.range(600).selectExpr("id AS vec_id", "IF(id % 3 = 0, array(1.0D, 2.0D), array(CAST(id AS DOUBLE), -1.0D)) AS embedding")
     rows = dict(map(tuple, df.collect()))
-    got = ann.nearest(df, k=5, candidates=8, rows_per_block=100, queries_per_block=10).collect()
+    got = ann.nearest(df, k=5, candidates=8, rows_per_block=100).collect()
     found = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: r["rank"]):
         found[r["query_id"]].append(r["vec_id"])
@@ -377,6 +377,36 @@ def test_recall_with_a_third_of_copies(spark):
     assert found.mean() >= 0.9 and found.min() >= 0.5
 
 
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_recall_through_the_forest(n):
+    v = _unit(n, seed=9)[:8192]  # blocks of the larger table have no more rows
+    forest = ann.Forest(v, 1.0, 32, 11)
+    found, share = [], []
+    for i, live in enumerate(forest.candidates(v[::20][:200], 1.1 * len(v))):
+        best = np.argsort(-np.delete(v @ v[20 * i], 20 * i))[:20]
+        found.append(np.isin(best + (best >= 20 * i), live).mean())
+        share.append(len(live) / len(v))
+    assert np.mean(found) >= 0.9 and np.mean(share) <= 0.7
+
+
+def test_ascent_counts_as_its_definition():
+    v = _unit(300, seed=10).round(1)
+    v[::4] = v[0]
+    forest = ann.Forest(v, float(np.sqrt((v**2).sum(1).max())), 4, 11)
+    strings = forest.strings(v, np.sqrt(np.maximum((v**2).sum(1).max() - (v**2).sum(1), 0)))
+    for wanted in (1, 40, 300, 5000):
+        for q, live in zip(v[:9], forest.candidates(v[:9], wanted)):
+            own = forest.strings(q[None], np.zeros(1))[0]
+            held, done = [set() for _ in range(4)], False
+            for depth in range(32, -1, -1):
+                for t in range(4):
+                    if not done:
+                        held[t] = {i for i in range(300) if not int(strings[i, t] ^ own[t]) >> (32 - depth)}
+                        places = sum(len({v[i].tobytes() for i in s} | {q.tobytes()}) - 1 for s in held)
+                        done = places >= wanted
+            assert set(live) == set().union(*held) | set(np.flatnonzero(forest.repeated))
+
+
 def test_rare_vector_lengths_have_blocks_of_their_own(spark):
     df = spark.range(3000).selectExpr(
         "id AS vec_id", "transform(sequence(1, IF(id % 100 < 99, 3, 4)), x -> rand(7) - 0.5) AS embedding"

@@ -4,38 +4,41 @@ Every vector gets a long hash string of sign bits in each tree, and a tree is
 the sorted array of the strings.  A query descends in all trees to the longest
 prefix it shares with any string, and then ascends in all trees at once, one bit
 at a time, until the ranges under its prefixes hold enough candidates: places in
-all trees together of vectors other than the query's own.  Copies of a vector
-count once a tree, so neither a query that is itself in the index nor a vector
-with many copies ends the ascent; the latter is a candidate of every query.  A small block has no ascent: all of its rows are
-candidates.  How long a prefix
-is used so depends on how dense the data are around the query.
+all trees together of different vectors other than the query's own.  The ascent
+can end inside a level, after some of the trees.  Copies of a vector stand next
+to each other in a tree and count once, by differences of a running count; a vector
+with many copies is a candidate of every query.  How long a prefix is used so
+depends on how dense the data are around the query.
 Candidates are scored exactly, on the original vectors in double precision.
 
 Signs of random projections follow angles.  Largest inner products become
 smallest angles by one more coordinate that gives every row the same length
 (``sqrt(longest^2 - length^2)``; 0 for a query).
 
-The index is cut into blocks of bounded size by a hash of the id, each with a
-forest of its own, and the queries into blocks too; each pair of blocks is one
-group, so no task holds more than one block of either kind, whatever vectors
-repeat.  A block gives the nearest of its own to each query, and the nearest of
-all blocks are chosen by a window over ``k`` rows a block.
+The index is cut into blocks of bounded size (:mod:`blocks`), each with a forest
+that is built once and past which all queries stream.  A block gives the nearest of
+its own to each query, and the nearest of all blocks are chosen by a window over
+``k`` rows a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import stored
 
-from .common import bit_parts
+from .blocks import block_counts, matrix, past_blocks
 
 BITS = 32
 #: A vector with so many copies is a candidate of every query: to miss it would cost many places.
 REPEATED = 5
+#: Queries that ascend together.
+TOGETHER = 256
 
 
 class Forest:
@@ -46,15 +49,16 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * BITS))
         more = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
         strings = self.strings(vectors, more)
-        self.order = np.argsort(strings, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, axis=0)
-        self.by_tree = [vectors[self.order[:, t]] for t in range(trees)]
-        unique, name, copies = np.unique(vectors + 0.0, axis=0, return_inverse=True, return_counts=True)
-        self.name = name.reshape(-1)  # equal vectors have one
+        unique, first, name, copies = np.unique(vectors + 0.0, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        name = name.reshape(-1)  # equal vectors have one
         self.names = {v.tobytes(): i for i, v in enumerate(unique)}
-        self.repeated = np.flatnonzero(copies[self.name] >= REPEATED)
-        some, self.at = np.unique(self.name[self.repeated], return_inverse=True)
-        self.often = unique[some]
+        self.own = strings[first]  # the strings of each different vector
+        self.repeated = copies[name] >= REPEATED
+        self.order = np.stack([np.lexsort((name, strings[:, t])) for t in range(trees)], axis=1)
+        self.sorted = np.take_along_axis(strings, self.order, axis=0)
+        differs = np.diff(name[self.order], axis=0, prepend=-1) != 0
+        # different vectors in front of each place; a range of strings begins with another vector than the one before it
+        self.before = np.concatenate([np.zeros((1, trees), dtype=np.int64), np.cumsum(differs, axis=0)])
 
     def strings(self, vectors: np.ndarray, more: np.ndarray) -> np.ndarray:
         """Hash strings ``[vector, tree]`` as integers, the first bit highest."""
@@ -72,47 +76,49 @@ class Forest:
                 side[:, t] = np.searchsorted(self.sorted[:, t], ends[:, t])
         return sides[0], sides[1]
 
-    def places(self, query: np.ndarray, start: np.ndarray, end: np.ndarray) -> int:
-        """Places of different vectors other than the query in its ranges; copies count once a tree."""
-        own = self.names.get((query + 0.0).tobytes(), -1)
-        met = (np.unique(self.name[self.order[a:b, t]]) for t, (a, b) in enumerate(zip(start, end)) if a < b)
-        return sum(len(x) - bool(np.isin(own, x)) for x in met)
-
-    def scores(self, queries: np.ndarray, candidates: float, all_of: int) -> np.ndarray:
-        """Inner products ``[query, vector]`` with the candidates of each query, -inf for other vectors.
-
-        The ascent ends when there are ``candidates`` places for each different
-        vector; it goes to the root if there are no more than ``all_of`` of them.
-        """
+    def longest_prefix(self, strings: np.ndarray) -> int:
+        """The most bits that any of the queries shares with any other string than its own."""
+        most = 0
+        for t in range(self.trees):
+            held = self.sorted[:, t]
+            for side, step in (("left", -1), ("right", 0)):
+                at = np.searchsorted(held, strings[:, t], side) + step
+                there = (at >= 0) & (at < len(held))
+                if there.any():
+                    differ = int((held[at[there]] ^ strings[there, t]).min())
+                    most = max(most, BITS - differ.bit_length())
+        return most
+
+    def candidates(self, queries: np.ndarray, wanted: float) -> Iterator[np.ndarray]:
+        """The vectors (their places) of each query when the ascent has met ``wanted`` places, or all."""
         strings = self.strings(queries, np.zeros(len(queries)))
-        out = np.full((len(queries), len(self.vectors)), -np.inf)
+        name = np.array([self.names.get(q.tobytes(), -1) for q in queries + 0.0])
+        start = np.zeros(strings.shape, dtype=np.int64)
+        end = start.copy()
+        held = np.zeros(strings.shape, dtype=np.int64)
         waiting = np.arange(len(queries))
-        wanted = candidates * len(self.names)
-        for depth in range(BITS, -1, -1) if len(self.names) > all_of else [0]:  # from the longest prefix upwards, all trees together
-            start, end = self.ranges(strings[waiting], depth)
-            enough = (end - start).sum(1) >= wanted if depth else np.ones(len(waiting), dtype=bool)
-            for i in np.flatnonzero(enough) if depth else ():
-                enough[i] = self.places(queries[waiting[i]], start[i], end[i]) >= wanted
-            if enough.any():
-                self._fill(out, queries, waiting[enough], start[enough], end[enough], depth)
-                waiting = waiting[~enough]
+        for depth in range(self.longest_prefix(strings), -1, -1):  # from the longest prefix upwards, all trees together
+            low, high = self.ranges(strings[waiting], depth)
+            trees = np.arange(self.trees)
+            # a query that is in the index does not count where its string there shares the prefix
+            apart = (self.own[name[waiting]] ^ strings[waiting]) >> np.uint64(BITS - depth)
+            own = (name[waiting] >= 0)[:, None] & (apart == 0)
+            places = self.before[high, trees] - self.before[low, trees] - own
+            # the trees ascend in turn: the level may be left before all have
+            total = held[waiting].sum(1, keepdims=True) + np.cumsum(places - held[waiting], axis=1)
+            done = total >= wanted
+            turn = np.where(done.any(1), done.argmax(1), self.trees - 1)
+            up = trees <= turn[:, None]
+            for side, new in ((start, low), (end, high), (held, places)):
+                side[waiting] = np.where(up, new, side[waiting])
+            waiting = waiting[~done.any(1)]
             if not len(waiting):
                 break
-        if len(self.repeated):
-            out[:, self.repeated] = (queries @ self.often.T)[:, self.at.reshape(-1)]
-        return out
-
-    def _fill(self, out, queries, rows, start, end, depth) -> None:
-        for t in range(self.trees if depth else 1):
-            # queries under one prefix have one range of neighbours in the tree
-            order = np.argsort(start[:, t], kind="stable")
-            cuts = np.flatnonzero(np.diff(start[order, t], prepend=-1))
-            for at, until in zip(cuts, [*cuts[1:], len(order)]):
-                some = order[at:until]
-                a, b = start[some[0], t], end[some[0], t]
-                if a < b:
-                    found = queries[rows[some]] @ self.by_tree[t][a:b].T
-                    out[rows[some][:, None], self.order[a:b, t][None, :]] = found
+        for q in range(len(queries)):
+            met = self.repeated.copy()
+            for t in range(self.trees):
+                met[self.order[start[q, t] : end[q, t], t]] = True
+            yield np.flatnonzero(met)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -130,68 +136,52 @@ def nearest(
     embedding: str = "embedding",
     query_every: int = 20,
     k: int = 20,
-    trees: int = 16,
+    trees: int = 32,
     candidates: float = 1.1,
-    rows_per_block: int = 8192,
-    queries_per_block: int = 2048,
-    all_of: int = 25,
+    least: int = 4096,
+    rows_per_block: int = 65_536,
     seed: int = 11,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query.
 
-    Queries are the rows whose id is divisible by ``query_every``.  The ranges of
-    all trees together hold at least ``candidates`` times the different vectors of
-    a block (some in several trees) before the ascent ends; ``trees`` and
-    ``candidates`` set the recall.  Blocks of ``all_of * k`` different vectors at most
-    are searched whole.  Vectors that are null, empty, zero, or hold a null or
-    non-finite component take no part; nor do those of another length than the
-    query's.  Ties go to the smaller id.
+    Queries are the rows whose id is divisible by ``query_every``.  The ascent in a
+    block ends when the ranges of all trees together hold ``candidates`` times the
+    different vectors of the block (some in several trees), and ``least`` places at
+    least; ``trees`` and ``candidates`` set the recall.  Vectors that are null, empty,
+    zero, or hold a null or non-finite component take no part; nor do those of
+    another length than the query's.  Ties go to the smaller id.
     """
-    rows = stored(usable(vectors, vec_id, embedding), "vectors")
+    rows = stored(usable(vectors, vec_id, embedding).withColumn("dims", F.size("v")), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("q"))
-    by_dims = {r["dims"]: (r["n"], float(r["q"]) ** 0.5) for r in sizes.collect()}
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.max(square).alias("q")).collect()
+    longest = {r["dims"]: float(r["q"]) ** 0.5 for r in sizes}
     # each length of vectors has blocks of its own, however rare it is
-    blocks_of = {d: bit_parts(n, rows_per_block) for d, (n, _) in by_dims.items()} or {0: 1}
-    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in blocks_of.items() for x in pair]), F.size("v"))
-    is_query = F.pmod("vec_id", F.lit(query_every)) == 0
-    parts = bit_parts(rows.where(is_query).count(), queries_per_block)
-
-    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
-    dims = F.size("v").alias("dims")
-    each_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    index = rows.select("vec_id", "v", dims, block.alias("block"), each_of(F.lit(parts)).alias("part"))
-    queries = rows.where(is_query).select("vec_id", "v", dims, each_of(blocks).alias("block"), part.alias("part"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
-        left = left.sort_values("vec_id")
-        ids, stack = left["vec_id"].to_numpy(), np.stack(left["v"].to_list())
-        forest = Forest(stack, by_dims[stack.shape[1]][1], trees, seed)
-        out = []
-        for at in range(0, len(right), 128):
-            some = right.iloc[at : at + 128]
-            names = some["vec_id"].to_numpy()
-            asked = np.stack(some["v"].to_list())
-            scores = forest.scores(asked, candidates, all_of * k)
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            for name, query, row in zip(names, asked, scores):
-                live = np.flatnonzero(row > -np.inf)
+    blocks_of = block_counts({r["dims"]: r["n"] for r in sizes}, rows_per_block, min(rows_per_block, 4096))
+
+    def build(block: pa.RecordBatch, dims: int):
+        stack = matrix(block, "v", dims)
+        return block.column("vec_id").to_numpy(), stack, Forest(stack, longest[dims], trees, seed)
+
+    def answer(block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, stack, forest = block
+        wanted = max(candidates * len(forest.names), least)
+        names, asked = batch.column("vec_id").to_numpy(), matrix(batch, "v", stack.shape[1])
+        for at in range(0, len(asked), TOGETHER):
+            out = []
+            for name, query, live in zip(names[at:], asked[at:], forest.candidates(asked[at : at + TOGETHER], wanted)):
+                live = live[ids[live] != name]
+                scores = stack[live] @ query
                 if len(live) > k:  # all that may tie with the k-th, but for rounding
-                    least = np.partition(row[live], -k)[-k]
-                    live = live[row[live] >= least - 1e-9 * abs(least)]
+                    bound = np.partition(scores, -k)[-k]
+                    live = live[scores >= bound - 1e-9 * abs(bound)]
                 # in one order of summation, so that equal vectors score the same; then smaller ids first
                 exact = (stack[live] * query).sum(1)
                 best = np.argsort(-exact, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[live[best]], "score": exact[best]}))
-        return pd.concat(out)
+                out.append((np.full(len(best), name), ids[live[best]], exact[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
-    keys = ["dims", "block", "part"]
-    pairs = index.groupBy(*keys).cogroup(queries.groupBy(*keys))
-    found = pairs.applyInPandas(search, "query_id long, vec_id long, score double")
+    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    found = past_blocks(rows, queries, blocks_of, build, answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
