@@ -163,15 +163,12 @@ def matching_blocks(
         ]).cast(f"array<{entry}>"))
     ])
 
-    # a text without any prefix word has no place to look at
     sought = sorted(set().union(*prefix.values()))
-    lower = lower_ascii(whole(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
-    rows = rows.where(reduce(lambda a, b: a | b, [F.contains(F.col("text"), F.lit(w)) for w in sought]))
-    rows = rows.select("doc_id", F.filter(F.split("text", GAP), lambda w: w != "").alias("words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.array_remove(F.split(lower_ascii(whole(text)), GAP), "").alias("words"))
     # explode_outer: no filter on the generated rows is derived, which would be pushed into the lambdas
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(sought), i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "words", F.explode_outer(places).alias("at")).where(F.col("at").isNotNull())
+    some = F.when(F.arrays_overlap("words", _strings(sought)), places)  # most texts have no place to look at
+    rows = rows.select("doc_id", "words", F.explode_outer(some).alias("at")).where(F.col("at").isNotNull())
     first = F.greatest(F.col("at") - (reach - 1), F.lit(0))
     rows = rows.select(
         "doc_id",
