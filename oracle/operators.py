@@ -730,6 +730,15 @@ SQL["store_purge"] = SQL["store_ttl"]
 SQL["store_latest_of_symbol"] = (
     f"SELECT * FROM ({SQL['store_upsert']}) WHERE symbol = 'S1' QUALIFY row_number() OVER (ORDER BY ts DESC) = 1"
 )
+_odd = "CASE symbol WHEN 'S0' THEN 'S/0' WHEN 'S1' THEN 'S:1' WHEN 'S2' THEN 'S%2' ELSE 'S 3=#' END AS symbol"
+_renamed = f"SELECT {_odd}, * EXCLUDE (symbol) FROM"
+SQL["store_delete_odd_symbols"] = (
+    f"{_renamed} ({BARS.rows(*_CV)}) WHERE symbol NOT IN ('S0', 'S3') AND NOT (symbol = 'S1' AND ts = TIMESTAMP '2024-01-10 05:00:00')"
+)
+SQL["store_purge_odd_symbols"] = f"{_renamed} ({SQL['store_ttl']})"
+SQL["store_latest_of_odd_symbol"] = (
+    f"{_renamed} ({BARS.rows(*_CV)}) WHERE symbol = 'S2' QUALIFY row_number() OVER (ORDER BY ts DESC) = 1"
+)
 SQL["store_info"] = BARS.sql("SELECT symbol, count(*) AS keys FROM bars GROUP BY symbol")
 
 # ----------------------------------------------------------------- streaming

@@ -887,6 +887,38 @@ def store_purge(spark, sf_dir):
     return _flat(store.read())
 
 
+#: Symbols whose folders are named otherwise.
+ODD_SYMBOLS = {"S0": "S/0", "S1": "S:1", "S2": "S%2", "S3": "S 3=#"}
+
+
+def _odd_store(spark, sf_dir) -> fs.FeatureStore:
+    store = fs.FeatureStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    names = F.create_map(*[F.lit(x) for pair in ODD_SYMBOLS.items() for x in pair])
+    store.save(_map_rows(spark, sf_dir).withColumn("symbol", names[F.col("symbol")]))
+    return store
+
+
+@register
+def store_delete_odd_symbols(spark, sf_dir):
+    store = _odd_store(spark, sf_dir)
+    store.delete("S/0")
+    store.delete("S:1", "2024-01-10 05:00:00")
+    store.delete("S 3=#")
+    return _flat(store.read())
+
+
+@register
+def store_purge_odd_symbols(spark, sf_dir):
+    store = _odd_store(spark, sf_dir)
+    store.purge(7)
+    return _flat(store.read())
+
+
+@register
+def store_latest_of_odd_symbol(spark, sf_dir):
+    return _flat(_odd_store(spark, sf_dir).latest("S%2"))
+
+
 @register
 def store_latest_of_symbol(spark, sf_dir):
     return _flat(_store(spark, sf_dir).latest("S1"))

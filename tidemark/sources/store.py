@@ -196,7 +196,7 @@ class FeatureStore:
 
     def _dates(self, symbol: str) -> list[str]:
         """The dates a symbol has rows of, in order: names of folders."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._rows}/symbol={symbol}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._rows}/{self._folder('symbol', symbol)}")
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
@@ -226,13 +226,19 @@ class FeatureStore:
             self._replace(kept)
         return gone
 
+    def _folder(self, column: str, value) -> str:
+        """A partition folder as Spark names it: signs such as ``/``, ``:`` and ``%`` are escaped, a null has a name."""
+        names = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return names.getPartitionPathString(column, None if value is None else str(value))
+
     def _drop_partitions(self, partitions: DataFrame) -> None:
         """Remove (symbol, date) folders that lost their last row; the list is
         file metadata, one entry per day of one symbol."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for r in partitions.toLocalIterator():
-            p = jvm.org.apache.hadoop.fs.Path(f"{self._rows}/symbol={r['symbol']}/date={r['date']}")
-            p.getFileSystem(conf).delete(p, True)
+            p = jvm.org.apache.hadoop.fs.Path("/".join([self._rows, *(self._folder(c, r[c]) for c in ("symbol", "date"))]))
+            if not p.getFileSystem(conf).delete(p, True):
+                raise RuntimeError(f"the rows in {p.toString()} could not be deleted")
 
     def expire(self, days: int = 7, now: str | None = None) -> DataFrame:
         """The rows :meth:`purge` would leave; days before the limit are not read."""
