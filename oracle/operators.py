@@ -476,7 +476,6 @@ _spearman = " UNION ALL ".join(
 SQL["corr_spearman"] = raw.sql(
     f"SELECT feature_1, feature_2, {tidy('c')} AS correlation FROM ({_spearman})"
 )
-_K = ["close", "volume", "liq_count"]
 SQL["corr_kendall"] = raw.sql(
     " UNION ALL ".join(
         f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, "
@@ -484,9 +483,10 @@ SQL["corr_kendall"] = raw.sql(
             f"sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) / "
             f"sqrt(CAST(sum(abs(sign(p.{a} - q.{a}))) AS DOUBLE) * sum(abs(sign(p.{b} - q.{b}))))"
         )
-        + " AS correlation FROM raw p, raw q"
-        for i, a in enumerate(_K)
-        for b in _K[i + 1 :]
+        + f" AS correlation FROM (SELECT {a}, {b} FROM raw WHERE {a} IS NOT NULL AND {b} IS NOT NULL) p,"
+        + f" (SELECT {a}, {b} FROM raw WHERE {a} IS NOT NULL AND {b} IS NOT NULL) q"
+        for i, a in enumerate(STAT)
+        for b in STAT[i + 1 :]
     )
 )
 _tc = (

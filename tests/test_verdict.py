@@ -5,30 +5,93 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, models, quantiles, stats
+from tidemark.operators import metrics, models, quantiles, ranges, stats
 from tidemark.operators.indicators import macd
 from tidemark.plans.feature_table import features_unfilled
 from tidemark.sources.feeds import MarketSource
 from tidemark.sources.model_store import load_trained, save_trained
 
 
-@pytest.mark.parametrize("sorted_, narrow", [(200_000, 0.0004), (50, 0.02), (30, 0.2)])
-def test_quantiles_equal_numpy(spark, monkeypatch, sorted_, narrow):
-    monkeypatch.setattr(quantiles, "SORTED", sorted_)
-    monkeypatch.setattr(quantiles, "NARROW", narrow)
+@pytest.mark.parametrize("digit", [16, 9, 3])
+@pytest.mark.parametrize("by", [["g"], []])
+def test_quantiles_equal_numpy(spark, monkeypatch, digit, by):
+    monkeypatch.setattr(quantiles, "DIGIT", digit)
     rng = np.random.default_rng(1)
     frame = pd.DataFrame({
         "g": rng.choice(["a", "b"], 4000),
-        "x": rng.lognormal(0, 8, 4000),
-        "y": rng.integers(0, 5, 4000).astype(float),
+        "x": rng.lognormal(0, 8, 4000) * rng.choice([-1, 1], 4000),
+        "y": rng.integers(-2, 3, 4000).astype(float) * rng.choice([-1.0, 1.0], 4000),
+        "z": np.where(rng.random(4000) < 0.9, -0.0, rng.normal(0, 1e-300, 4000)),
     })
-    df = spark.createDataFrame(frame)
-    got = {(r["g"], r["feature"]): r["q"] for r in quantiles.exact_quantiles(df, ["x", "y"], [0.0, 0.25, 0.9, 1.0], ["g"]).collect()}
-    for g, part in frame.groupby("g"):
-        for c in "xy":
+    frame.loc[frame.index % 7 == 0, "x"] = None
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "g string, x double, y double, z double")
+    df = df.withColumn("none", F.lit(None).cast("double"))
+    rows = quantiles.exact_quantiles(df, ["x", "y", "z", "none"], [0.0, 0.25, 0.9, 1.0], by).collect()
+    got = {(r["g"] if by else None, r["feature"]): r["q"] for r in rows}
+    assert len(rows) == 3 * (2 if by else 1)
+    for g, part in frame.groupby("g") if by else [(None, frame)]:
+        for c in "xyz":
             for p in (0.0, 0.25, 0.9, 1.0):
-                assert got[g, c][p] == pytest.approx(np.quantile(part[c], p), rel=1e-12)
+                assert got[g, c][p] == pytest.approx(np.quantile(part[c].dropna(), p), rel=1e-12)
+
+
+def test_doubles_keep_their_order():
+    x = np.array([-np.inf, -1e300, -1.5, -5e-324, 0.0, 5e-324, 1.0, 2.0, 1e300, np.inf])
+    keys = quantiles.ordered(x)
+    assert (np.diff(keys) > 0).all() and (quantiles.doubles(keys) == x).all() and quantiles.ordered(np.array([-0.0]))[0] == 0
+
+
+@pytest.mark.parametrize("rows", [1 << 17, 40])
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_correlations_with_hot_and_missing_values(spark, monkeypatch, rows, method):
+    monkeypatch.setattr(ranges, "ROWS", rows)
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.normal(0, 1, (400, 5)), columns=list("abcde"))
+    frame["b"] = np.where(rng.random(400) < 0.8, 0.0, frame["a"].round(1))  # most rows have one value
+    frame["c"] = (frame["a"] + frame["c"]).round(1)
+    frame.loc[rng.random(400) < 0.3, "c"] = None
+    frame.loc[rng.random(400) < 0.3, "d"] = None
+    frame["e"] = frame["d"].where(frame["d"].isna(), frame["e"])
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in "abcde"))
+    got = stats.correlation_pairs(df, list("abcde"), method).collect()
+    assert len(got) == 10
+    for r in got:
+        part = frame[[r["feature_1"], r["feature_2"]]].dropna()
+        if method == "spearman":
+            want = part.corr("spearman").iloc[0, 1]
+        else:
+            x, y = (np.sign(part[c].to_numpy()[:, None] - part[c].to_numpy()) for c in part)
+            want = (x * y).sum() / np.sqrt(np.abs(x).sum() * np.abs(y).sum())
+        assert r["correlation"] == pytest.approx(want, abs=1e-12)
+    assert [r["correlation"] for r in stats.correlation_pairs(df.limit(0), ["a", "b"], method).collect()] == [None]
+
+
+def test_rank_correlations_need_no_job_a_pair(spark):
+    df = spark.range(200).selectExpr(*[f"IF(id % {k + 2} = 0, NULL, hash(id, {k}) % 50) AS c{k}" for k in range(8)])
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for k in (3, 8):
+        for method in ("spearman", "kendall"):
+            spark.sparkContext.setJobGroup(f"{method}-{k}", "")
+            stats.correlation_pairs(df, [f"c{i}" for i in range(k)], method).collect()
+            jobs[method, k] = len(tracker.getJobIdsForGroup(f"{method}-{k}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(jobs[m, 8] <= jobs[m, 3] + 3 for m in ("spearman", "kendall")), jobs
+
+
+def test_curve_ranges_follow_crowded_scores(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 100)
+    df = spark.range(5000).selectExpr("CAST(id % 3 = 0 AS INT) AS label", "0.33 + id / 500000 AS score")
+    df = df.selectExpr("label", "array(1 - score, score) AS probabilities")
+    counts = metrics._score_counts(df, "label", "probabilities", (1,), None)
+    sizes = [r["count"] for r in ranges.in_ranges(counts, ["class"], [F.desc("score")]).groupBy("_range").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 300
+    points = metrics.roc_points(df, classes=(1,)).orderBy(F.desc("threshold")).toPandas()
+    rows = df.selectExpr("label", "probabilities[1] AS score").toPandas().sort_values("score", ascending=False)
+    assert points["tp"].tolist() == rows["label"].cumsum().tolist()
+    assert points["fpr"].iloc[-1] == 1.0 and points["tpr"].iloc[-1] == 1.0
 
 
 def test_correlation_uses_the_rows_of_each_pair(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fdiv, sign
-from .prefix import BUCKET, bucket_prefix
+from .ranges import running_sums
 
 NEUTRAL = 1  # fixed value: 0 short, 1 neutral, 2 long
 CLASS_NAMES = ("SHORT", "NEUTRAL", "LONG")
@@ -109,9 +109,6 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 
 # ------------------------------------------------------------------------ ROC
-_SCORE_BINS = 1024
-
-
 def _score_counts(
     df: DataFrame, label: str, probabilities: str, classes: Sequence[int], bins: int | None
 ) -> DataFrame:
@@ -146,30 +143,23 @@ def roc_points(
 ) -> DataFrame:
     """One-vs-rest curve points, one per distinct score (ties grouped).
 
-    Cumulative counts run over score ranges first, so a class with very many
-    distinct scores is not sorted in one task.
+    Cumulative counts run over ranges that follow the scores, so a class with very
+    many distinct scores, however close together, is not sorted in one task.
     """
     counts = _score_counts(df, label, probabilities, classes, bins)
-    # descending scores: buckets grow as the score falls
-    rows = counts.withColumn(BUCKET, F.floor((1 - F.col("score")) * _SCORE_BINS).cast("bigint"))
-    sums = rows.groupBy("class", BUCKET).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    both = ["_p", "_n"]
-    before = bucket_prefix(sums, ["class"], sums=both, totals=both, bounded=True).drop(*both)
-    w = Window.partitionBy("class", BUCKET).orderBy(F.desc("score"))
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(before, ["class", BUCKET])
-    tp = F.sum("pos").over(w) + F.col("_p__before")
-    fp = F.sum("neg").over(w) + F.col("_n__before")
+    out = running_sums(counts, ["class"], [F.desc("score")], ["pos", "neg"], label="curve")
+    tp = F.col("pos__before") + F.col("pos")
+    fp = F.col("neg__before") + F.col("neg")
     return out.select(
         "class",
         F.col("score").alias("threshold"),
-        fdiv(fp, "_n__total").alias("fpr"),
-        fdiv(tp, "_p__total").alias("tpr"),
+        fdiv(fp, "neg__total").alias("fpr"),
+        fdiv(tp, "pos__total").alias("tpr"),
         "pos",
         "neg",
         tp.alias("tp"),
-        F.col("_p__total").alias("positives"),
-        F.col("_n__total").alias("negatives"),
+        F.col("pos__total").alias("positives"),
+        F.col("neg__total").alias("negatives"),
     )
 
 

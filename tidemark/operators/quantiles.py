@@ -1,41 +1,85 @@
-"""Exact quantiles without bringing a column's values into one task.
-
-A bounded sketch brackets each wanted rank between two values.  Counting the
-rows below the bracket and inside it, over all rows, tells where in the bracket
-the rank lies; a bracket that still holds too many rows is bracketed again, a
-factor of thousands each round.  Only the distinct values of a small bracket
-are sorted.
+"""Exact quantiles by radix selection.
+
+Doubles become 64-bit integers in the same order, and the value of a rank is found
+some bits at a time: among the values that begin with the bits found so far, counts
+by the next 16 bits tell which of them the rank falls on.  As soon as no more than
+65 536 values are left to any rank, all their other bits are told apart at once.
+So every rank is found exactly in four passes at most, whatever the values are,
+and at most 65 536 counts a rank and pass are summed.  Tasks count all columns of
+their rows with numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import drop_stored, stored
 
-#: Relative half width of a bracket, and the sketch's accuracy.
-NARROW, ACCURACY = 0.0004, 10_000
-#: Distinct values of a bracket that are sorted in one task.
-SORTED = 200_000
+#: Bits of a pass; counts of a rank and pass are at most two to the power of these.
+DIGIT = 16
+_MOST = np.int64(2**63 - 1)
 
 
-def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by..., feature, value`` of the known values."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    rows = df.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.feature", "_c.value")
-    return rows.where(F.col("value").isNotNull())
+def ordered(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; -0.0 is 0.0."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ _MOST, bits)
+
+
+def doubles(keys: np.ndarray) -> np.ndarray:
+    """The doubles of these integers."""
+    return np.where(keys < 0, keys ^ _MOST, keys).view(np.float64)
 
 
-def _same(keys: Sequence[str], left: str, right: str) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return out
+def _digits(rows: DataFrame, features: int, asks: int, done: int, width: int, known: dict | None) -> DataFrame:
+    """``g, f, ask, digit, n``: counts by the next ``width`` bits of the values that begin as ``prefix`` says.
+
+    In the first pass all values count, for ask 0.  ``known`` holds the prefixes of
+    the only group; else the rows carry those of their group.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, local = np.unique(batch.column("g").to_numpy(), return_inverse=True)
+            cells = batch.column("x").flatten()
+            shape = batch.num_rows, features
+            there = cells.is_valid().to_numpy(zero_copy_only=False).reshape(shape)
+            values = cells.to_numpy(zero_copy_only=False).astype(float).reshape(shape)
+            if done and known is None:
+                lists = batch.column("prefix").flatten()
+                told = lists.is_valid().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                prefix = lists.fill_null(0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            out = []
+            for f in range(features):
+                some = np.flatnonzero(there[:, f])
+                keys = ordered(np.ascontiguousarray(values[some, f]))
+                for ask in range(asks if done else 1):
+                    at = np.arange(len(some))
+                    if done:
+                        if known is None:
+                            wanted, valid = prefix[some, f * asks + ask], told[some, f * asks + ask]
+                        else:
+                            wanted, valid = known.get((f, ask), 0), (f, ask) in known
+                        at = np.flatnonzero((keys >> (64 - done) == wanted) & valid)
+                    digit = keys[at] >> (64 - done - width)
+                    if done:
+                        digit &= (1 << width) - 1
+                    own = local[some[at]]
+                    order = np.lexsort((digit, own))
+                    digit, own = digit[order], own[order]
+                    new = np.flatnonzero(np.append(True, (np.diff(digit) != 0) | (np.diff(own) != 0))[: len(own)])
+                    n = np.diff(np.append(new, len(own)))
+                    out.append((groups[own[new]], np.full(len(new), f), np.full(len(new), ask), digit[new], n))
+            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "f", "ask", "digit", "n"])
+
+    found = rows.mapInArrow(count, "g long, f long, ask long, digit long, n long")
+    return found.groupBy("g", "f", "ask", "digit").agg(F.sum("n").alias("n"))
 
 
 def exact_quantiles(
@@ -45,85 +89,84 @@ def exact_quantiles(
 
     Features without a known value are absent.
     """
-    keys = [*by, "feature"]
-    values = stored(long_values(df, columns, by), "quantile-values")
-    inside = values
-    state: DataFrame | None = None
-    for _ in range(12):
+    spark, probabilities = df.sparkSession, [float(p) for p in probabilities]
+    asks = 2 * len(probabilities)  # the ranks below and above each
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    if by:
+        names = [f"_by{i}" for i in range(len(by))]
+        rows = df.select(*[F.col(b).alias(n) for b, n in zip(by, names)], x)
+        groups = stored(rows.select(*names).distinct().withColumn("g", F.monotonically_increasing_id()), "quantile-groups")
+        same = [rows[n].eqNullSafe(groups[n]) for n in names]
+        rows = rows.join(groups, same).select("g", "x")
+    else:
+        rows = df.select(F.lit(0).cast("long").alias("g"), x)
+    rows = stored(rows, "quantile-rows")
+
+    few = 1 << DIGIT
+    state, known, done, most = None, None, 0, rows.count()
+    while done < 64:
+        width = 64 - done if most <= few else min(DIGIT, 64 - done)
+        asked = rows
+        if done and by:
+            place = F.array(*[F.struct(F.lit(f).cast("long").alias("f"), F.lit(a).cast("long").alias("ask")) for f in range(len(columns)) for a in range(asks)])
+            told = F.map_from_entries(F.collect_list(F.struct(F.struct("f", "ask"), "prefix"))).alias("m")
+            prefix = F.transform(place, lambda p: F.element_at("m", p)).alias("prefix")
+            asked = rows.join(state.groupBy("g").agg(told).select("g", prefix), "g", "left")
+        counts = _digits(asked, len(columns), asks, done, width, known)
+        key = ["g", "f"] if state is None else ["g", "f", "ask"]
+        until = F.sum("n").over(Window.partitionBy(*key).orderBy("digit")).alias("until")
         if state is None:
-            sizes = values.groupBy(*keys).agg(
-                F.count("value").alias("n"),
-                F.percentile_approx("value", _brackets(probabilities), ACCURACY).alias("cuts"),
-                F.min("value").alias("least"),
-                F.max("value").alias("most"),
-            )
-            asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
-            small = F.col("n") <= SORTED  # needs no bracket
-            state = sizes.select("*", F.explode(asked).alias("a")).select(
-                *keys,
-                F.col("a.p").alias("p"),
-                ((F.col("n") - 1) * F.col("a.p")).alias("rank"),
-                F.when(small, F.col("least")).otherwise(F.get("cuts", F.col("a.i") * 2)).alias("low"),
-                F.when(small, F.col("most")).otherwise(F.get("cuts", F.col("a.i") * 2 + 1)).alias("high"),
-            )
-        state = stored(state, "quantile-state")
-        joined = values.alias("v").join(state.alias("s"), _same(keys, "v", "s"))
-        at = [F.col(f"s.{k}").alias(k) for k in keys]
-        value, low, high = F.col("v.value"), F.col("s.low"), F.col("s.high")
-        below = joined.groupBy(*at, F.col("s.p").alias("p")).agg(
-            F.count_if(value < low).alias("below"), F.count_if((value >= low) & (value <= high)).alias("inside")
-        )
-        below = stored(below, "quantile-counts")
-        largest = below.agg(F.max("inside")).first()[0] or 0
-        inside = joined.where((value >= low) & (value <= high)).select(*at, F.col("s.p").alias("p"), value.alias("value"))
-        if largest <= SORTED:
-            break
-        counts = inside.groupBy(*keys, "p").agg(F.countDistinct("value").alias("d"))
-        if (counts.agg(F.max("d")).first()[0] or 0) <= SORTED:
-            break  # few values, each often
-        # the same again inside the bracket, around the rank that is left
-        ranked = _with_rank(below, state, keys)
-        share = (F.col("rank") - F.col("below")) / F.col("inside")
-        fine = inside.groupBy(*keys, "p").agg(
-            F.percentile_approx("value", [i / 2000 for i in range(2001)], ACCURACY).alias("cuts")
-        )
-        step = F.floor(share * 2000).cast("int")
-        margin = F.ceil(2 + 8000 / F.col("inside")).cast("int")  # of the sketch, and a few rows
-        state = fine.alias("f").join(ranked.alias("r"), _same([*keys, "p"], "f", "r")).select(
-            *[F.col(f"f.{k}").alias(k) for k in keys],
-            F.col("f.p").alias("p"),
-            "rank",
-            F.get("cuts", F.greatest(step - margin, F.lit(0))).alias("low"),
-            F.get("cuts", F.least(step + 1 + margin, F.lit(2000))).alias("high"),
-        )
-    distinct = inside.groupBy(*keys, "p", "value").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys, "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = distinct.withColumn("until", F.sum("c").over(order))
-    where = _with_rank(below, state, keys)
-    placed = running.alias("v").join(where.alias("s"), _same([*keys, "p"], "v", "s")).select(
-        *[F.col(f"v.{k}").alias(k) for k in keys],
-        F.col("v.p").alias("p"),
-        "value",
-        (F.col("s.below") + F.col("until")).alias("until"),
-        "rank",
-    )
-    # the first values with more than floor(rank) and more than ceil(rank) rows up to them
-    lower = F.min(F.when(F.col("until") > F.floor("rank"), F.col("value")))
-    upper = F.min(F.when(F.col("until") > F.ceil("rank"), F.col("value")))
-    part = F.first("rank") - F.floor(F.first("rank"))
-    # as the interpolation of percentile: no arithmetic where both are one value
-    value = F.when(lower == upper, lower).otherwise(lower * (1 - part) + upper * part)
-    found = placed.groupBy(*keys, "p").agg(value.alias("x"))
-    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "x"))).alias("q"))
-
-
-def _with_rank(below: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ranks beside counts where a key may be null."""
-    on = _same([*keys, "p"], "b", "s")
-    return below.alias("b").join(state.alias("s"), on).select(
-        *[F.col(f"b.{k}").alias(k) for k in keys], F.col("b.p").alias("p"), "below", "inside", "rank"
+            total = F.sum("n").over(Window.partitionBy(*key)).alias("total")
+            each = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("ask"), F.lit(probabilities[a // 2]).alias("p")) for a in range(asks)]))
+            met = counts.select(*key, "digit", "n", until, total).select("*", each.alias("a"))
+            exact = (F.col("total") - 1) * F.col("a.p")
+            rank = F.when(F.col("a.ask") % 2 == 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("long")
+            met = met.select(*key, "a.ask", "digit", "n", "until", exact.alias("exact"), rank.alias("rank"))
+            longer = F.col("digit")
+        else:
+            met = counts.select(*key, "digit", "n", until).join(state.drop("left"), key)
+            longer = F.shiftleft("prefix", width).bitwiseOR(F.col("digit"))
+        # the rank falls on one digit; after the last pass the prefix is the value's integer
+        ahead = F.col("until") - F.col("n")
+        met = met.where((ahead <= F.col("rank")) & (F.col("rank") < F.col("until")))
+        state = met.select("g", "f", "ask", longer.alias("prefix"), (F.col("rank") - ahead).alias("rank"), "exact", F.col("n").alias("left"))
+        done += width
+        if by:
+            state = stored(state, "quantile-state")
+            most = state.agg(F.max("left")).first()[0] or 0
+        else:  # features times ranks
+            found = state.collect()
+            known = {(r["f"], r["ask"]): r["prefix"] for r in found}
+            most = max((r["left"] for r in found), default=0)
+            state = spark.createDataFrame(found, state.schema)
+    drop_stored(rows)
+
+    if not by:
+        at = {k: float(doubles(np.array([v], dtype=np.int64))[0]) for k, v in known.items()}
+        exact = {(r["f"], r["ask"]): r["exact"] for r in found}
+        out = {}
+        for f, ask in sorted(at):
+            if ask % 2 == 0:
+                out.setdefault(f, {})[probabilities[ask // 2]] = _between(at[f, ask], at[f, ask + 1], exact[f, ask] % 1)
+        return spark.createDataFrame([(columns[f], q) for f, q in out.items()], "feature string, q map<double,double>")
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(doubles(batch.column("prefix").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "f", "ask", "exact")), x], ["g", "f", "ask", "exact", "x"])
+
+    met = state.mapInArrow(values, "g long, f long, ask long, exact double, x double")
+    met = met.groupBy("g", "f", F.floor(F.col("ask") / 2).cast("long").alias("i")).agg(
+        F.min("x").alias("lower"), F.max("x").alias("upper"), (F.first("exact") - F.floor(F.first("exact"))).alias("part")
     )
+    between = F.col("lower") * (1 - F.col("part")) + F.col("upper") * F.col("part")
+    value = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(between)
+    p = F.get(F.array(*[F.lit(p) for p in probabilities]), F.col("i"))
+    feature = F.get(F.array(*[F.lit(c) for c in columns]), F.col("f")).alias("feature")
+    found = met.groupBy("g", "f").agg(F.map_from_entries(F.collect_list(F.struct(p.alias("p"), value.alias("x")))).alias("q")).select("g", feature, "q")
+    return found.join(groups, "g").select(*[F.col(n).alias(b) for b, n in zip(by, names)], "feature", "q")
 
 
-def _brackets(probabilities: Sequence[float]) -> list[float]:
-    return [x for p in probabilities for x in (max(0.0, p - NARROW), min(1.0, p + NARROW))]
+def _between(lower: float, upper: float, part: float) -> float:
+    """As the interpolation of percentile: no arithmetic where both are one value."""
+    return lower if lower == upper else lower * (1 - part) + upper * part

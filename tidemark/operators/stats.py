@@ -7,6 +7,7 @@ row to one row per feature on the executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fdiv
 from ..session import stored
-from .prefix import BUCKET, Series, bucket_prefix, row_index
 from .quantiles import exact_quantiles
+from .ranges import look_up, running_sums
 
 
 def per_feature(
@@ -51,89 +52,123 @@ def low_variance(df: DataFrame, columns: Sequence[str], threshold: float = 0.01)
 
 
 # --------------------------------------------------------------- correlation
-def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``i, j, r``: Pearson correlation of every column pair over the rows that know both.
+#: Columns up to which all pairs are multiplied at once; pairs that are multiplied together beyond.
+AT_ONCE, TOGETHER = 512, 128
 
-    Each task multiplies matrices of its rows (values, squares and which are
-    known), shifted by the column means against cancellation, and sends one row
-    a pair; the sums are added by Spark.
+
+def _pair_moments(rows: DataFrame, shift: Sequence[float], left: Sequence[int], right: Sequence[int]) -> DataFrame:
+    """``pair, r``: Pearson correlation of the elements ``left`` and ``right`` of the arrays ``x``, where both are known.
+
+    Each task multiplies matrices of its rows (values, squares and which are known),
+    shifted by ``shift`` against cancellation, and sends one row a pair; the sums are
+    added by Spark.
     """
-    k = len(columns)
-    x = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = df.select(*x)
-    means = rows.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
-    shift = np.array([0.0 if m is None else m for m in means])
-    upper = np.triu_indices(k, 1)
+    k, left, right, shift = len(shift), np.asarray(left), np.asarray(right), np.asarray(shift, dtype=float)
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, k, k))
+        total = np.zeros((6, len(left)))
         for batch in batches:
-            raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            cells = batch.column("x").flatten()
+            raw = cells.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, k)
+            known = cells.is_valid().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, k)
             v = np.where(known > 0, raw - shift, 0.0)
             square = v * v
-            total += [known.T @ known, v.T @ known, known.T @ v, square.T @ known, known.T @ square, v.T @ v]
-        sums = [pa.array(t[upper]) for t in total]
-        pair = [pa.array(u.astype(np.int32)) for u in upper]
-        yield pa.RecordBatch.from_arrays([*pair, *sums], ["i", "j", *names])
-
-    schema = "i int, j int, " + ", ".join(f"{n} double" for n in names)
-    sums = rows.mapInArrow(multiply, schema).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+            of = ((known, known), (v, known), (known, v), (square, known), (known, square), (v, v))
+            if k <= AT_ONCE:
+                total += [(a.T @ b)[left, right] for a, b in of]
+            else:
+                for at in range(0, len(left), TOGETHER):
+                    some = slice(at, at + TOGETHER)
+                    total[:, some] += [np.einsum("ij,ij->j", a[:, left[some]], b[:, right[some]]) for a, b in of]
+        pair = pa.array(np.arange(len(left), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([pair, *(pa.array(t) for t in total)], ["pair", *names])
+
+    schema = "pair int, " + ", ".join(f"{n} double" for n in names)
+    sums = rows.select("x").mapInArrow(multiply, schema).groupBy("pair").agg(*[F.sum(n).alias(n) for n in names])
     cov = F.expr("sxy - sx * sy / n")
     spread = F.expr("greatest(sxx - sx * sx / n, 0D) * greatest(syy - sy * sy / n, 0D)")
     # what rounding leaves of a constant column is no spread
     flat = F.expr("sxx - sx * sx / n <= 1e-13 * sxx OR syy - sy * sy / n <= 1e-13 * syy")
-    r = F.when((F.col("n") > 1) & ~flat, cov / F.sqrt(spread))
-    return sums.select("i", "j", r.alias("r"))
+    return sums.select("pair", F.when((F.col("n") > 1) & ~flat, cov / F.sqrt(spread)).alias("r"))
+
+
+def _all_pairs(k: int) -> tuple[list[int], list[int]]:
+    return tuple(x.tolist() for x in np.triu_indices(k, 1))
+
 
+def _long(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``_row, c, x``: the known values of each column, -0.0 as 0.0."""
+    cells = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in columns])
+    return rows.select("_row", F.posexplode(cells).alias("c", "x")).where(F.col("x").isNotNull())
 
-def _average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows of ``df`` (no missing values) with each column's ranks, ties at their average."""
+
+def _known_sets(rows: DataFrame, columns: Sequence[str]) -> list[int]:
+    """For each column a number of the set of rows that know it: equal numbers, equal sets."""
+    k = len(columns)
+    pairs = list(zip(*_all_pairs(k)))
+    known = [F.col(c).isNotNull() for c in columns]
+    counts = rows.agg(
+        *[F.count_if(x).alias(f"n{i}") for i, x in enumerate(known)], *[F.count_if(known[i] & known[j]).alias(f"b{i}_{j}") for i, j in pairs]
+    ).first()
+    out = list(range(k))
+    for i, j in pairs:
+        if out[j] == j and counts[f"b{i}_{j}"] == counts[f"n{i}"] == counts[f"n{j}"]:
+            out[j] = out[i]
+    return out
+
+
+def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``pair, r``: correlation of the ranks of both columns among the rows that know both.
+
+    One plan for all pairs.  A column has a rank for each set of rows that its
+    partners know (columns known in the same rows share one): its *variants*.  Values
+    are counted per variant, ranked by running sums over these counts, and looked up
+    for the rows; an array of a row's ranks then goes through the moments.
+    """
     rows = stored(df.select(*columns, F.monotonically_increasing_id().alias("_row")), "rank-rows")
-    out = rows.select("_row")
-    for c in columns:
-        counts = rows.groupBy(F.col(c).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-        places = dense_rank_table(rows, c).join(counts, "_x")
-        placed = places.withColumn(BUCKET, F.floor(F.col("_r") / 4096))
-        before = bucket_prefix(placed.groupBy(BUCKET).agg(F.sum("_c").alias("_s")), [], sums=["_s"]).drop("_s")
-        inside = Window.partitionBy(BUCKET).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = F.col("_s__before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
-        rank = placed.join(before, BUCKET).select("_x", (ahead + (F.col("_c") + 1) / 2).alias(f"r_{c}"))
-        mine = rows.select("_row", F.col(c).cast("double").alias("_x")).join(rank, "_x").drop("_x")
-        out = out.join(mine, "_row")
-    return out.select(*[F.col(f"r_{c}").alias(c) for c in columns])
+    sets = _known_sets(rows, columns)
+    left, right = _all_pairs(len(columns))
+    # a variant is (column, set of the partner); with its own set it is the rank among all rows that know it
+    variants = sorted({(i, sets[j]) for i, j in zip([*left, *right], [*right, *left])})
+    place = {v: n for n, v in enumerate(variants)}
+    of = F.array(*[F.array(*[F.lit(place[i, s]) for s in sorted(set(sets)) if (i, s) in place]).cast("array<int>") for i in range(len(columns))])
+    partner = F.array(*[F.lit(s) for _, s in variants])
+    seen = F.array(*[F.col(c).isNotNull() for c in columns])
+    long = _long(rows, columns).join(rows.select("_row", seen.alias("seen")), "_row")
+    long = long.select("_row", "x", "seen", F.explode(F.get(of, F.col("c"))).alias("v"))
+    long = stored(long.where(F.get("seen", F.get(partner, F.col("v")))).select("_row", "v", "x"), "rank-values")
+    counts = long.groupBy("v", "x").agg(F.count("*").alias("n"))
+    placed = running_sums(counts, ["v"], [F.col("x")], ["n"], label="ranks")
+    ranks = stored(placed.select("v", "x", "n", "n__total", (F.col("n__before") + (F.col("n") + 1) / 2).alias("rank")), "ranks")
+    ranked = look_up(long, ranks, ["v", "x"], "rank", "n", long.count())
+    sizes = {r["v"]: r["n"] for r in ranks.groupBy("v").agg(F.first("n__total").alias("n")).collect()}
+    each = ranked.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("v", "rank"))).alias("m"))
+    x = each.select(F.transform(F.sequence(F.lit(0), F.lit(len(variants) - 1)), lambda v: F.element_at("m", v)).alias("x"))
+    middle = [(sizes.get(n, 0) + 1) / 2 for n in range(len(variants))]
+    return _pair_moments(x, middle, [place[i, sets[j]] for i, j in zip(left, right)], [place[j, sets[i]] for i, j in zip(left, right)])
+
+
+def _pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return _pair_moments(rows, [0.0 if m is None else m for m in means], *_all_pairs(len(columns)))
 
 
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], method: str = "pearson"
 ) -> DataFrame:
-    """All (i < j) pairs with their correlation over the rows that know both values.
-
-    Spearman ranks belong to a pair's rows: columns without a missing value
-    share their ranks, other pairs are ranked each on its own.
-    """
-    if method == "kendall":
-        return kendall_pairs(df, columns)
-    k = len(columns)
-    if method == "pearson":
-        found = {(r["i"], r["j"]): r["r"] for r in _moments(df, columns).collect()}
-    elif method == "spearman":
-        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-        full = [i for i, c in enumerate(columns) if not missing[c]]
-        sets = [full] if len(full) > 1 else []
-        sets += [[i, j] for i in range(k) for j in range(i + 1, k) if i not in full or j not in full]
-        found = {}
-        for members in sets:
-            names = [columns[i] for i in members]
-            ranks = _average_ranks(df.select(*names).dropna(), names)
-            for r in _moments(ranks, names).collect():
-                found[members[r["i"]], members[r["j"]]] = r["r"]
-    else:
+    """All (i < j) pairs with their correlation over the rows that know both values; null where one does not vary."""
+    make = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}
+    if method not in make:
         raise ValueError(f"unknown correlation method {method!r}")
-    pairs = [(i, j, columns[i], columns[j], found.get((i, j))) for i in range(k) for j in range(i + 1, k)]
-    schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
-    return df.sparkSession.createDataFrame(pairs, schema)
+    schema = "pair int, i int, j int, feature_1 string, feature_2 string"
+    named = [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(zip(*_all_pairs(len(columns))))]
+    pairs = df.sparkSession.createDataFrame(named, schema)
+    if not named:
+        return pairs.select("i", "j", "feature_1", "feature_2", F.lit(None).cast("double").alias("correlation"))
+    found = make[method](df, list(columns))
+    return pairs.join(found, "pair", "left").select("i", "j", "feature_1", "feature_2", F.col("r").alias("correlation"))
 
 
 def correlation_report(
@@ -177,96 +212,53 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> Da
     return out.orderBy(F.desc_nulls_last("abs_correlation"), "feature")
 
 
-def kendall_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """M5: exact Kendall tau-b of every column pair.
+def _kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """M5, ``pair, r``: exact Kendall tau-b of every column pair, in one plan, by counting inversions bit by bit.
 
-    The reference point is the definition on all row pairs; it is evaluated in
-    O(n log n) by :func:`kendall_tau`, never by pairing rows.
+    Values become their places among the distinct ones of their column.  Two rows
+    ordered by the first column are discordant when the first bit in which their
+    places in the second differ is set in the earlier one: per bit, a running count
+    inside the group of equal higher bits.  Cells of (pair, place, place) are
+    counted first and all sums run over ranges of places, so that ties and skew
+    stay distributed; rows are never paired.
     """
-    columns = list(columns)
-    rows = []
-    for i, a in enumerate(columns):
-        for j in range(i + 1, len(columns)):
-            tau = kendall_tau(df, a, columns[j]).first()["tau"]
-            rows.append((i, j, a, columns[j], tau))
-    schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def dense_rank_table(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their ordinal position, without a global window.
-
-    Values are cut at approximate quantiles (a bounded list), counted per cut,
-    and numbered within; a cut that repeats a value is simply empty.
-    """
-    values = df.select(F.col(column).cast("double").alias("_x")).distinct()
-    cuts = values.approxQuantile("_x", [i / 256 for i in range(1, 256)], 0.002)
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))] or [F.lit(0.0)])
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("_x"))).cast("bigint")
-    order = Series(keys=(), order="_x")
-    return row_index(values, order, "_r", bucket=bucket, bounded=True)
-
-
-def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall tau-b of two columns by counting inversions bit by bit.
-
-    With both columns replaced by ordinal ranks, two rows ordered by ``a`` are
-    discordant when the first bit in which their ``b`` ranks differ is set in
-    the earlier row.  Per bit this is a prefix count inside the group of equal
-    higher bits.  (rank a, rank b) cells are pre-aggregated and the prefix is
-    taken over rank buckets, so ties and skew stay distributed.
-    """
-    pairs = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    pairs = pairs.dropna()
-    ra = dense_rank_table(pairs, "_a").select(F.col("_x").alias("_a"), F.col("_r").alias("x"))
-    rb = dense_rank_table(pairs, "_b").select(F.col("_x").alias("_b"), F.col("_r").alias("y"))
-    cells = pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("c"))
-    cells = cells.join(ra, "_a").join(rb, "_b").select("x", "y", "c")
-    top = rb.agg(F.max("y")).first()[0] or 0
-    levels = max(int(top).bit_length(), 1)
+    rows = stored(df.select(*columns, F.monotonically_increasing_id().alias("_row")), "kendall-rows")
+    long = stored(_long(rows, columns), "kendall-values")
+    values = long.groupBy("c", "x").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    places = stored(running_sums(values, ["c"], [F.col("x")], ["one"], label="places").withColumnRenamed("one__before", "place"), "places")
+    levels = max(int(places.agg(F.max("place")).first()[0] or 0).bit_length(), 1)
+    placed = look_up(long, places, ["c", "x"], "place", "n", long.count())
+    each = placed.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("c", "place"))).alias("m"))
+    left, right = _all_pairs(len(columns))
+    pairs = F.array(*[F.struct(F.lit(n).alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(zip(left, right))])
+    met = each.select("m", F.explode(pairs).alias("p"))
+    met = met.select("p.pair", F.element_at("m", F.col("p.i")).alias("x"), F.element_at("m", F.col("p.j")).alias("y"))
+    cells = stored(met.where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count("*").alias("c")), "kendall-cells")
 
     bits = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    # per (level, higher bits, x): rows whose bit is set / clear
-    up = F.expr("shiftright(y, level + 1)")
-    one = F.expr("shiftright(y, level) & 1")
-    merged = bits.groupBy("level", up.alias("g"), "x").agg(
-        F.sum(F.when(one == 1, F.col("c")).otherwise(0)).alias("set_"),
-        F.sum(F.when(one == 0, F.col("c")).otherwise(0)).alias("clear_"),
+    one = F.expr("CAST(shiftright(y, level) & 1 AS BIGINT)")
+    merged = bits.groupBy("pair", "level", F.expr("shiftright(y, level + 1)").alias("g"), "x").agg(
+        F.sum(F.col("c") * one).alias("set_"), F.sum(F.col("c") * (1 - one)).alias("clear_")
     )
-    rows = merged.withColumn(BUCKET, F.floor(F.col("x") / 4096))
-    sums = rows.groupBy("level", "g", BUCKET).agg(F.sum("set_").alias("_s"))
-    before = bucket_prefix(sums, ["level", "g"], sums=["_s"]).drop("_s")
-    w = Window.partitionBy("level", "g", BUCKET).orderBy("x")
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("set_").over(w), F.lit(0)) + F.col("_s__before")
-    inverted = rows.join(before, ["level", "g", BUCKET]).select(
-        (ahead * F.col("clear_")).cast("decimal(38,0)").alias("d")
+    # a group without both kinds of bits has no inversion
+    ahead = running_sums(merged, ["pair", "level", "g"], [F.col("x")], ["set_"], label="inversions")
+    number = "decimal(38,0)"
+    choose2 = lambda c: (F.col(c).cast("decimal(19,0)") * (F.col(c) - 1) / 2).cast(number)
+    parts = [ahead.select("pair", F.lit("dis").alias("k"), (F.col("set___before") * F.col("clear_")).cast(number).alias("d"))]
+    for name, by in (("tx", ["x"]), ("ty", ["y"]), ("txy", ["x", "y"]), ("all", [])):
+        tied = cells.groupBy("pair", *by).agg(F.sum("c").alias("c"))
+        parts.append(tied.select("pair", F.lit(name).alias("k"), choose2("c").alias("d")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
+        *[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("d"))), F.lit(0)).cast("double").alias(k) for k in ("dis", "tx", "ty", "txy", "all")]
     )
-    choose2 = lambda c: (F.col(c).cast("decimal(19,0)") * (F.col(c) - 1) / 2)
-
-    def ties(frame: DataFrame, by: list[str]) -> DataFrame:
-        g = frame.groupBy(*by).agg(F.sum("c").alias("c")) if by else frame.agg(F.sum("c").alias("c"))
-        return g.select(choose2("c").cast("decimal(38,0)").alias("d"))
-
-    parts = [
-        (inverted, "dis"),
-        (ties(cells, ["x"]), "tx"),
-        (ties(cells, ["y"]), "ty"),
-        (ties(cells, ["x", "y"]), "txy"),
-        (ties(cells, []), "all"),
-    ]
-    tagged = None
-    for frame, name in parts:
-        part = frame.groupBy().agg(F.sum("d").alias("d")).select(F.lit(name).alias("k"), "d")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    row = {
-        n: F.coalesce(F.sum(F.when(F.col("k") == n, F.col("d"))), F.lit(0)).cast("double").alias(n)
-        for _, n in parts
-    }
-    total = tagged.agg(*row.values())
     concordant = F.col("all") - F.col("tx") - F.col("ty") + F.col("txy") - F.col("dis")
     scale = F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty")))
-    return total.select(fdiv(concordant - F.col("dis"), scale).alias("tau"))
+    return sums.select("pair", fdiv(concordant - F.col("dis"), scale).alias("r"))
+
+
+def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``tau``: Kendall tau-b of two columns, over the rows that know both."""
+    return correlation_pairs(df, [a, b], "kendall").select(F.col("correlation").alias("tau"))
 
 
 # -------------------------------------------------------------- distributions
@@ -276,6 +268,8 @@ def distributions(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     Skewness and kurtosis are bias-corrected from the population moments.
     ``exact=False`` uses a bounded sketch for the median.
     """
+    if exact:  # read twice
+        df = stored(df.select(*columns), "distributions")
     median = "CAST(NULL AS DOUBLE)" if exact else "percentile_approx({c}, 0.5, 10000)"
     x = lambda c: f"CAST(`{c}` AS DOUBLE)"
     stats = per_feature(
@@ -336,6 +330,7 @@ def outliers(
     """M8/M9: values outside Q1-1.5 IQR .. Q3+1.5 IQR, or beyond ``threshold``
     deviations.  Two passes: bounds (two numbers per feature), then counts."""
     x = lambda c: f"CAST(`{c}` AS DOUBLE)"
+    df = stored(df.select(*columns), "outliers")  # read twice
     if method == "iqr":
         pair = {
             "a": lambda c: f"percentile_approx({x(c)}, 0.25, 10000)",

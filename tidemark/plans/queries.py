@@ -595,8 +595,7 @@ def corr_spearman(spark, sf_dir):
 
 @register
 def corr_kendall(spark, sf_dir):
-    frame = stored(_numbers(spark, sf_dir), "kendall")
-    p = stats.correlation_pairs(frame, ["close", "volume", "liq_count"], "kendall")
+    p = stats.correlation_pairs(_numbers(spark, sf_dir), STAT_COLUMNS, "kendall")
     return p.select("feature_1", "feature_2", tidy("correlation").alias("correlation"))
 
 
