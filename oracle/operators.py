@@ -741,6 +741,17 @@ SQL["store_latest_of_odd_symbol"] = (
 )
 SQL["store_info"] = BARS.sql("SELECT symbol, count(*) AS keys FROM bars GROUP BY symbol")
 
+# ---------------------------------------------------------------- dense series
+_ticks = "SELECT event_id, ts, CASE WHEN event_id % 3 <> 0 THEN value END AS x FROM events"
+SQL["dense_fill"] = (
+    "SELECT event_id, last_value(x IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS before, "
+    f"first_value(x IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM ({_ticks})"
+)
+SQL["dense_row_index"] = "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n FROM events"
+SQL["sample_capped"] = BARS.sql(
+    'SELECT least(count(*), 500) AS few, least(count(*), 1000) AS more, least(count(*), 500) AS "both", count(*) AS "every" FROM bars'
+)
+
 # ----------------------------------------------------------------- streaming
 _mark = "(SELECT max(tick_ts) FROM tick) - INTERVAL 10 MINUTE"
 CLOSED = f"ts + INTERVAL 1 HOUR <= {_mark}"

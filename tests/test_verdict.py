@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, models, quantiles, ranges, stats
+from tidemark.operators import balance, fill, metrics, models, quantiles, ranges, stats
 from tidemark.operators.indicators import macd
+from tidemark.operators.prefix import Series, row_index
 from tidemark.plans.feature_table import features_unfilled
 from tidemark.sources.feeds import MarketSource
 from tidemark.sources.model_store import load_trained, save_trained
@@ -164,3 +165,38 @@ def test_a_loaded_model_predicts_the_same(spark, tmp_path):
         again = load_trained(spark, str(tmp_path / str(i)))
         pick = lambda m: [r["prediction"] for r in m.predict(df).orderBy("ts").collect()]
         assert type(again) is type(model) and pick(again) == pick(model)
+
+
+def test_dense_series_are_cut_by_rows(spark):
+    n = 200_000  # ticks of one symbol and day, a third of them at one time
+    df = spark.range(n).selectExpr(
+        "IF(id % 1000 = 0, 'B', 'A') AS symbol",
+        "CAST(1704067200 + IF(id % 3 = 0, 4000, (id * 7919) % 80000) AS TIMESTAMP) AS ts",
+        "id",
+        "IF(hash(id) % 4 = 0, CAST(id AS DOUBLE), NULL) AS x",
+    )
+    ticks = Series(dense=10_000, ties=("id",))
+    sizes = [r["count"] for r in ticks.bucketed(df).groupBy("symbol", "_bucket").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 30_000
+    frame = df.toPandas().sort_values(["symbol", "ts", "id"])
+    want = frame.assign(
+        rn=frame.groupby("symbol").cumcount(), f=frame.groupby("symbol")["x"].ffill(), b=frame.groupby("symbol")["x"].bfill()
+    ).sort_values("id")
+    got = row_index(df, ticks, "rn", "size").select("id", "rn", "size")
+    got = got.join(fill.ffill(df, ["x"], ticks).select("id", F.col("x").alias("f")), "id").join(fill.bfill(df, ["x"], ticks).select("id", F.col("x").alias("b")), "id")
+    got = got.toPandas().sort_values("id")
+    assert (got["rn"].to_numpy() == want["rn"].to_numpy()).all() and set(got["size"]) == {n // 1000, n - n // 1000}
+    for c in "fb":
+        assert np.array_equal(got[c].to_numpy(), want[c].to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("cut", [16, 4])
+def test_capped_rows_are_those_of_the_smallest_hashes(spark, monkeypatch, cut):
+    monkeypatch.setattr(balance, "_CUT", cut)
+    df = spark.range(3000).selectExpr("id", "id % 100 AS k")
+    by_hash = [r["id"] for r in df.orderBy(F.xxhash64(F.lit(42), "id")).collect()]
+    for n in (0, 1, 17, 1500, 2999, 3000, 5000):
+        assert {r["id"] for r in balance.cap_rows(df, n, ["id"]).collect()} == set(by_hash[:n])
+    assert balance.cap_rows(df, 45, ["k"]).count() == 45  # 30 rows of one hash, 15 of the next
+    plan = balance.cap_rows(df, 500, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "TakeOrdered" not in plan

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .prefix import Series, row_index
 
+_CUT = 16  # bits of the hash that are counted at a time
 _BITS = 20  # a million buckets: one stays small up to 10^12 rows
 
 
@@ -54,5 +55,31 @@ def balance_classes(
 
 
 def cap_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, chosen by a seeded hash (a sampling operator)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """At most ``n`` rows, those of the smallest seeded hashes of their key (a sampling operator).
+
+    Counts by the leading bits of the hash tell up to which hash all rows are in;
+    only the rows that share the leading bits of the last one are looked at
+    further, by the next bits.  Rows are filtered, never sorted.  Rows with one hash
+    (repeated keys) are in or out by chance of their order, as many as fit.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    low, left = 0, n  # of the hashes that begin as far as known: the first, and how many rows are to be had
+    inside, done = rows, 0
+    while done < 64:
+        shift = 64 - done - _CUT
+        # the first bits are signed, as the hash is
+        digit = F.shiftright("_h", shift) if done == 0 else F.shiftright("_h", shift).bitwiseAND(F.lit((1 << _CUT) - 1))
+        counts = sorted((r["_d"], r["count"]) for r in inside.groupBy(digit.alias("_d")).count().collect())
+        for d, c in counts:
+            if c > left:
+                break
+            left -= c
+        else:  # all rows fit
+            return df
+        low = d if done == 0 else (low << _CUT) | d
+        done += _CUT
+        inside = rows.where(F.shiftright("_h", 64 - done) == low) if done < 64 else rows.where(F.col("_h") == low)
+        if left == 0:
+            break
+    ahead = rows.where(F.shiftright("_h", 64 - done) < low) if done < 64 else rows.where(F.col("_h") < low)
+    return (ahead if left == 0 else ahead.unionByName(inside.limit(left))).drop("_h")

@@ -79,10 +79,10 @@ def available_groups(columns: Iterable[str]) -> tuple[str, ...]:
 
 def _obv_before(df: DataFrame, series: Series) -> DataFrame:
     """Signed volume accumulated before each bucket, from narrow rows."""
-    rows = series.bucketed(df).select(*series.keys, BUCKET, series.order, "close", "volume")
+    rows = series.bucketed(df).select(*series.keys, BUCKET, series.order, *series.ties, "close", "volume")
     step = F.coalesce(sign(F.col("close") - F.lag("close").over(series.in_bucket())), F.lit(0.0))
     stepped = rows.withColumn("_step", step * F.col("volume"))
-    t = F.col(series.order)
+    t = F.expr(series.position)
     edges = stepped.groupBy(*series.keys, BUCKET).agg(
         F.sum("_step").alias("_inner"),
         F.min_by(F.struct("close", "volume"), t).alias("_head"),

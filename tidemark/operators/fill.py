@@ -26,7 +26,7 @@ def _with_neighbours(
     """
     rows = series.bucketed(df)
     keys = [*series.keys, BUCKET]
-    when = f"CASE WHEN `{{c}}` IS NOT NULL THEN {series.order} END"
+    when = f"CASE WHEN `{{c}}` IS NOT NULL THEN {series.position} END"
     aggs = []
     if back:
         aggs += [F.expr(f"max_by(`{c}`, {when.format(c=c)}) AS `_b_{c}`") for c in columns]
@@ -63,7 +63,7 @@ def ffill(df: DataFrame, columns: Sequence[str], series: Series = DEFAULT) -> Da
 def bfill(df: DataFrame, columns: Sequence[str], series: Series = DEFAULT) -> DataFrame:
     rows = _with_neighbours(df, columns, series, back=False, ahead=True)
     # a descending running frame is linear; "current row to end" is quadratic
-    w = Window.partitionBy(*series.keys, BUCKET).orderBy(F.desc(series.order))
+    w = Window.partitionBy(*series.keys, BUCKET).orderBy(*series.falling())
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     return _replace(
         rows,
@@ -97,7 +97,7 @@ def interpolate_time(
     names = [f"_pt_{c}" for c in columns]
     rows = _with_neighbours(points, names, series, back=True, ahead=True)
     up = series.in_bucket().rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*series.keys, BUCKET).orderBy(F.desc(series.order))
+    down = Window.partitionBy(*series.keys, BUCKET).orderBy(*series.falling())
     down = down.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns(
         {f"_p_{c}": F.coalesce(F.last(f"_pt_{c}", True).over(up), f"_b__pt_{c}") for c in columns}
@@ -138,7 +138,7 @@ def fill_all(
     rows = _with_neighbours(df, columns, series, back=True, ahead=ahead, own_first=True)
     by = ", ".join([*series.keys, BUCKET])
     running = (
-        f"(PARTITION BY {by} ORDER BY {series.order} "
+        f"(PARTITION BY {by} ORDER BY {', '.join([series.order, *series.ties])} "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     filled = set(columns)

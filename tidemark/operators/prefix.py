@@ -11,7 +11,9 @@ known value) is instead split by time *bucket*:
    very many buckets is spread as well;
 3. bucket prefix + a window inside (symbol, bucket).
 
-Only step 3 touches full rows, and its partitions are bounded by the bucket.
+Only step 3 touches full rows, and its partitions are bounded by the bucket.  Where
+rows may crowd in time (ticks), ``Series.dense`` cuts buckets by rows instead: they
+are ranges of the sorted series, dealt by Spark's sampled splitters.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import epoch_us
+from .ranges import RANGE, in_ranges
 
 BUCKET = "_bucket"
 _GROUP = "_bucket_group"
@@ -35,7 +38,9 @@ class Series:
 
     ``bucket_seconds`` bounds the rows of one bucket: with a bar every five
     minutes a day holds 288 rows per symbol.  ``segment_rows`` is the size of
-    the units in which row-window features are computed.
+    the units in which row-window features are computed.  ``dense`` is the number
+    of rows of a bucket that is cut by rows, wherever they lie in time (0: by time);
+    ``ties`` then tells rows of one time apart, so that they can be cut as well.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -43,6 +48,8 @@ class Series:
     bucket_seconds: int = 86_400
     segment_rows: int = 16_384
     reverse: bool = False
+    dense: int = 0
+    ties: tuple[str, ...] = ()
 
     def with_(self, **changes) -> "Series":
         return replace(self, **changes)
@@ -55,17 +62,27 @@ class Series:
     @property
     def bounded(self) -> bool:
         """Buckets of a day or more: a century is 36 525 summaries a series."""
-        return self.bucket_seconds >= 86_400
+        return not self.dense and self.bucket_seconds >= 86_400
 
     def sort(self) -> Column:
         """Row order: ascending time, or descending when ``reverse`` is set."""
         return F.desc(self.order) if self.reverse else F.asc(self.order)
 
+    @property
+    def position(self) -> str:
+        """SQL of what tells the rows of a series apart in order."""
+        return f"struct({', '.join([self.order, *self.ties])})" if self.ties else self.order
+
+    def falling(self) -> list[Column]:
+        return [F.desc(c) for c in (self.order, *self.ties)]
+
     def bucketed(self, df: DataFrame) -> DataFrame:
+        if self.dense:
+            return in_ranges(df, self.keys, [self.sort(), *self.ties], "dense", self.dense).withColumnRenamed(RANGE, BUCKET)
         return df.withColumn(BUCKET, self.bucket())
 
     def in_bucket(self):
-        return Window.partitionBy(*self.keys, BUCKET).orderBy(self.sort())
+        return Window.partitionBy(*self.keys, BUCKET).orderBy(self.sort(), *self.ties)
 
 
 DEFAULT = Series()

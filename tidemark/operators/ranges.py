@@ -22,10 +22,10 @@ ROWS = 1 << 17
 RANGE = "_range"
 
 
-def in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str = "ranges") -> DataFrame:
-    """``rows`` with the number of their range: stretches of about ``ROWS`` rows by keys and order."""
+def in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str = "ranges", size: int | None = None) -> DataFrame:
+    """``rows`` with the number of their range: stretches of about ``size`` (``ROWS``) rows by keys and order."""
     rows = stored(rows, label)
-    ranges = -(-rows.count() // ROWS)
+    ranges = -(-rows.count() // (size or ROWS))
     if ranges <= 1:
         return rows.withColumn(RANGE, F.lit(0))
     # stored, as the sample may differ when it is drawn again

@@ -97,7 +97,7 @@ def segment(
         raise ValueError("carried values need a forward series")
     keys = list(series.keys)
     rows = series.bucketed(df)
-    known = lambda c: F.when(F.col(c).isNotNull(), F.col(series.order))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.expr(series.position))
     summary = rows.groupBy(*keys, BUCKET).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(F.col(c), known(c)).alias(c) for c in lasts],

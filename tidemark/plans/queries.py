@@ -18,6 +18,7 @@ from ..operators import align, balance, fill, importance, indicators, metrics, q
 from ..operators import scaling, splits, stats, targets
 from ..operators.ewm import ewm
 from ..operators.features import feature_names
+from ..operators.prefix import Series, row_index
 from ..operators.models import (
     BoostedClassifier,
     BoostedRegressor,
@@ -537,6 +538,43 @@ def dataset_metadata(spark, sf_dir):
     )
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    return balance.cap_rows(rows, n, ["symbol", "ts"])
+
+
+@register
+def sample_capped(spark, sf_dir):
+    """A seeded sample has its size, no row twice, and a larger one holds it."""
+    rows = stored(_bars(spark, sf_dir).select("symbol", "ts"), "sampled")
+    few, more = (stored(_sample(rows, n), "sample").distinct() for n in (500, 1000))
+    sizes = [few.count(), more.count(), few.join(more, ["symbol", "ts"]).count(), _sample(rows, 10**9).count()]
+    return spark.createDataFrame([tuple(sizes)], "few long, more long, both long, every long")
+
+
+def _ticks(spark, sf_dir) -> DataFrame:
+    """All events as one series of ticks; every third value is missing."""
+    events = table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    return events.select(F.lit("all").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", value.alias("x"))
+
+
+#: Ticks crowd in time, so buckets are cut by rows.
+TICKS = Series(dense=1000, ties=("event_id",))
+
+
+@register
+def dense_fill(spark, sf_dir):
+    ticks = _ticks(spark, sf_dir)
+    back = fill.bfill(ticks, ["x"], TICKS).select("event_id", F.col("x").alias("after"))
+    return fill.ffill(ticks, ["x"], TICKS).select("event_id", F.col("x").alias("before")).join(back, "event_id")
+
+
+@register
+def dense_row_index(spark, sf_dir):
+    placed = row_index(_ticks(spark, sf_dir), TICKS, "rn", "n")
+    return placed.select("event_id", "rn", "n")
+
+
 @register
 def dataset_class_counts(spark, sf_dir):
     return class_counts(splits.ratio_split(_labelled(spark, sf_dir)))
