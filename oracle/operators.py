@@ -761,4 +761,15 @@ SQL["stream_liquidations"] = only("tick", "liq", "liqbars").rows(
     where=CLOSED.replace("FROM tick)", "FROM tick WHERE event_type IN ('purchase', 'error'))"),
 )
 SQL["stream_store"] = BARS.rows(*_CV, where=CLOSED)
-
+SQL["stream_store_again"] = SQL["store_upsert"]
+_day = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+SQL["stream_expiry"] = f"""
+WITH t AS (SELECT 'S' || (user_id % 4) AS symbol, ts, event_id AS seq, value + 1 AS price FROM events),
+gaps AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY symbol ORDER BY ts, seq) + INTERVAL 1 HOUR AS apart FROM t),
+runs AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY symbol ORDER BY ts, seq) AS run FROM gaps),
+live AS (
+  SELECT symbol, max(ts) AS ts, max_by(seq, (ts, seq)) AS seq, max_by(price, (ts, seq)) AS p, min(ts) AS live_from,
+    max(ts) + INTERVAL 1 HOUR AS expired_at, count(*) AS "rows" FROM runs GROUP BY symbol, run)
+SELECT symbol, seq, {tidy('p')} AS price, "rows", {_day('ts')}, {_day('live_from')}, {_day('expired_at')}
+FROM live WHERE expired_at <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+"""

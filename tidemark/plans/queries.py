@@ -34,7 +34,7 @@ from ..session import shared_dir, stored
 from ..sources import store as fs
 from ..sources.artifacts import class_counts, split_metadata
 from ..sources.feeds import FEEDS, MarketSource, select_feed
-from ..streaming.bars import bar_stream, liquidation_stream, maintain_store
+from ..streaming.bars import bar_stream, expiry_stream, liquidation_stream, maintain_store
 from .derived import DAILY, HOUR, Feeds, daily_bars, latest, table
 from .families import FAMILIES, family, show, stamp
 from .feature_table import engineer_all
@@ -1027,6 +1027,27 @@ def stream_store(spark, sf_dir):
     return _flat(store.read())
 
 
+@register
+def stream_expiry(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select("symbol", "ts", "seq", "price")
+    out = _run_to_table(expiry_stream(rows, "1 hour", "10 minutes"), "expiry")
+    times = [stamp(c).alias(c) for c in ("live_from", "expired_at")]
+    return out.select("symbol", stamp(), "seq", tidy("price").alias("price"), "rows", *times)
+
+
+@register
+def stream_store_again(spark, sf_dir):
+    """A second stream with a checkpoint of its own writes the same bars with other values."""
+    home = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    bars = fs.as_map(_bars(spark, sf_dir), ["close", "volume"])
+    store = fs.FeatureStore(spark, f"{home}/store")
+    for n, rows in enumerate((bars, _changes(bars.withColumn("write_seq", F.lit(0))).drop("write_seq"))):
+        rows.write.parquet(f"{home}/in{n}")
+        live = spark.readStream.schema(rows.schema).parquet(f"{home}/in{n}")
+        maintain_store(live, store, f"{home}/log{n}").awaitTermination()
+    return _flat(store.read())
+
+
 def _family(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return family(spark, sf_dir, name)
 

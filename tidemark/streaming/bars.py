@@ -52,6 +52,25 @@ def liquidation_stream(
     return out.select("symbol", F.col("_w.start").alias("ts"), *rest)
 
 
+def expiry_stream(rows: DataFrame, ttl: str = "7 days", lateness: str = "10 minutes") -> DataFrame:
+    """ST2: rows ``(symbol, ts, seq, ...)`` to the last row of a symbol before its time to live ran out.
+
+    A symbol is live from a row on until no other has come for ``ttl`` of event time.
+    ``expired_at`` is that time, ``live_from`` the first row of the stretch, ``rows`` how
+    many there were; the other columns are those of the last row (the largest ``seq``
+    of equal times).  A stretch is told once, when the watermark has passed its end,
+    so rows that are late by no more than ``lateness`` still prolong it.  State is one
+    row per live symbol.
+    """
+    typed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    rest = [c for c in rows.columns if c not in ("symbol", "ts", "seq")]
+    last = F.max_by(F.struct("ts", "seq", *rest), F.struct("ts", "seq")).alias("_last")
+    live = typed.groupBy("symbol", F.session_window("ts", ttl).alias("_w")).agg(
+        F.min("ts").alias("live_from"), F.count(F.lit(1)).alias("rows"), last
+    )
+    return live.select("symbol", "_last.*", "live_from", "rows", F.col("_w.end").alias("expired_at"))
+
+
 def maintain_store(
     rows: DataFrame,
     store: FeatureStore,
@@ -60,13 +79,16 @@ def maintain_store(
 ) -> StreamingQuery:
     """ST2: keep the feature store current from ``(symbol, ts, features)`` rows.
 
-    Each micro-batch upserts with its batch id as write sequence, so replaying
-    a batch after a failure changes nothing.
+    Each micro-batch upserts with its batch id, counted from what the store has,
+    as write sequence: replaying a batch after a failure changes nothing, and a
+    stream with a new checkpoint wins over rows of an earlier one.
     """
+    written = store.read().agg(F.max("write_seq")).first()[0] if store.exists() else None
+    first = 0 if written is None else written + 1
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            store.save(batch.withColumn("write_seq", F.lit(batch_id).cast("bigint")))
+            store.save(batch.withColumn("write_seq", F.lit(first + batch_id).cast("bigint")))
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = configure(writer) if configure else writer.trigger(availableNow=True)
