@@ -773,3 +773,32 @@ live AS (
 SELECT symbol, seq, {tidy('p')} AS price, "rows", {_day('ts')}, {_day('live_from')}, {_day('expired_at')}
 FROM live WHERE expired_at <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 """
+
+# ----------------------------------------------------------------- round trips
+_n = "SELECT target, count(*) AS c, min(count(*)) OVER () AS lo, max(count(*)) OVER () AS hi FROM lab GROUP BY target"
+SQL["balance_undersample_rows"] = _lab.sql(f"SELECT target, lo AS different, 0 AS strange, 1 AS fewest, 1 AS most FROM ({_n})")
+SQL["balance_oversample_rows"] = _lab.sql(
+    f"SELECT target, c AS different, 0 AS strange, hi // c AS fewest, hi // c + CASE WHEN hi % c > 0 THEN 1 ELSE 0 END AS most FROM ({_n})"
+)
+SQL["dataset_round_trip"] = _ls.sql(
+    f"SELECT symbol, {stamp()} AS ts, {tidy('close')} AS close, {tidy('volume')} AS volume, target, split FROM {_lsn}"
+)
+SQL["dataset_catalogue"] = _ls.sql(
+    f"SELECT 1 AS place, 'new' AS feature_set_id, '2024-02-01' AS created_at, count(*) AS n_samples, 1 AS n_features FROM {_lsn} WHERE split = 'test' "
+    f"UNION ALL SELECT 2, 'old', '2024-01-01', count(*), 2 FROM {_lsn}"
+)
+SQL["feature_set_catalogue"] = f"""
+WITH s AS (SELECT event_type, count(*) AS n, string_agg(n, ',' ORDER BY n) AS f FROM ({_sets}) GROUP BY event_type),
+o AS (SELECT *, row_number() OVER (ORDER BY event_type) AS i, count(*) OVER () AS k, '{{"kind":"' || event_type || '"}}' AS config FROM s)
+SELECT k - i + 1 AS place, substr(sha256(f || '|' || config), 1, 12) AS feature_set_id, f AS features, n AS n_features, config,
+  '2024-01-0' || i AS created_at FROM o
+"""
+SQL["comparison_csv"] = f"SELECT row_number() OVER (ORDER BY accuracy DESC) AS place, model, accuracy FROM ({SQL['metric_compare_models']})"
+SQL["scaler_round_trip"] = SQL["scale_standard"]
+SQL["report_round_trip"] = (
+    f"SELECT feature AS name, variance AS value FROM ({SQL['variance_filter']}) "
+    f"UNION ALL SELECT CAST(target AS VARCHAR), percentage FROM ({SQL['target_distribution']})"
+)
+SQL["store_metadata"] = raw.sql(
+    f"SELECT feature, true AS numeric, v >= 5000 AS selected FROM ({each('var_samp($x) AS v', STAT)})"
+)

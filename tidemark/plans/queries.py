@@ -32,6 +32,7 @@ from ..operators.models import (
 )
 from ..session import shared_dir, stored
 from ..sources import store as fs
+from ..sources import artifacts
 from ..sources.artifacts import class_counts, split_metadata
 from ..sources.feeds import FEEDS, MarketSource, select_feed
 from ..streaming.bars import bar_stream, expiry_stream, liquidation_stream, maintain_store
@@ -458,6 +459,21 @@ def _balanced(method: str, spark, sf_dir):
     return out.groupBy("target").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _balanced_rows(method: str, spark, sf_dir):
+    """Which rows a class has after balancing: how many different ones, strange ones, and how often each."""
+    rows = stored(_labelled(spark, sf_dir), "labelled")
+    out = balance.balance_classes(rows, "target", method).groupBy("target", "symbol", "ts").agg(F.count(F.lit(1)).alias("n"))
+    known = rows.select("target", "symbol", "ts", F.lit(1).alias("known"))
+    return out.join(known, ["target", "symbol", "ts"], "left").groupBy("target").agg(
+        F.count(F.lit(1)).alias("different"),
+        F.count_if(F.col("known").isNull()).alias("strange"),
+        F.min("n").alias("fewest"),
+        F.max("n").alias("most"),
+    )
+
+
+REGISTRY["balance_undersample_rows"] = partial(_balanced_rows, "undersample")
+REGISTRY["balance_oversample_rows"] = partial(_balanced_rows, "oversample")
 REGISTRY["balance_undersample"] = partial(_balanced, "undersample")
 REGISTRY["balance_oversample"] = partial(_balanced, "oversample")
 
@@ -843,6 +859,84 @@ def metric_compare_models(spark, sf_dir):
     return out.select("model", tidy("accuracy").alias("accuracy"))
 
 
+# ----------------------------------------------------------------- artifacts
+def _home(spark, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """A short catalogue with the place of each row."""
+    rows = [(n, *r) for n, r in enumerate(df.select(*columns).collect(), 1)]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    return df.sparkSession.createDataFrame(rows, f"place int, {kinds}")
+
+
+@register
+def dataset_round_trip(spark, sf_dir):
+    """Exported splits come back."""
+    home = _home(spark, "datasets")
+    artifacts.export_datasets(splits.ratio_split(_labelled(spark, sf_dir)), home, "a", ["close", "volume"])
+    out = artifacts.load_datasets(spark, home, "a")
+    return out.select("symbol", stamp(), tidy("close").alias("close"), tidy("volume").alias("volume"), "target", "split")
+
+
+@register
+def dataset_catalogue(spark, sf_dir):
+    """Newest first."""
+    home, df = _home(spark, "datasets"), splits.ratio_split(_labelled(spark, sf_dir))
+    artifacts.export_datasets(df, home, "old", ["close", "volume"], created_at="2024-01-01")
+    artifacts.export_datasets(df.where("split = 'test'"), home, "new", ["close"], created_at="2024-02-01")
+    return _in_order(artifacts.list_datasets(spark, home), "feature_set_id", "created_at", "n_samples", "n_features")
+
+
+@register
+def feature_set_catalogue(spark, sf_dir):
+    """Sets saved one by one, listed newest first."""
+    home = _home(spark, "sets")
+    for n, r in enumerate(_sets(spark, sf_dir).orderBy("event_type").collect(), 1):
+        config = '{"kind":"' + r["event_type"] + '"}'
+        artifacts.save_feature_set(artifacts.feature_set_record(spark, r["features"], config, f"2024-01-0{n}"), home)
+    found = artifacts.list_feature_sets(spark, home).withColumn("features", F.array_join("features", ","))
+    return _in_order(found, "feature_set_id", "features", "n_features", "config", "created_at")
+
+
+@register
+def comparison_csv(spark, sf_dir):
+    """The comparison of models as a CSV file, best first."""
+    home = _home(spark, "comparison")
+    artifacts.save_comparison(REGISTRY["metric_compare_models"](spark, sf_dir), home)
+    return _in_order(spark.read.schema("model string, accuracy double").option("header", True).csv(home), "model", "accuracy")
+
+
+@register
+def scaler_round_trip(spark, sf_dir):
+    """A scaler that was saved and loaded scales as before."""
+    df, home = splits.ratio_split(_numbers(spark, sf_dir)), _home(spark, "scaler")
+    scaling.save_scaler(scaling.fit_scaler(df.where("split = 'train'"), DENSE), home)
+    return show(scaling.apply_scaler(df, scaling.load_scaler(spark, home), DENSE), *DENSE)
+
+
+@register
+def report_round_trip(spark, sf_dir):
+    """Tables of a report come back."""
+    home = _home(spark, "report")
+    artifacts.save_report({"variance": REGISTRY["variance_filter"](spark, sf_dir), "balance": REGISTRY["target_distribution"](spark, sf_dir)}, home)
+    return spark.read.parquet(f"{home}/variance").selectExpr("feature AS name", "variance AS value").unionByName(
+        spark.read.parquet(f"{home}/balance").selectExpr("CAST(target AS STRING) AS name", "percentage AS value")
+    )
+
+
+@register
+def store_metadata(spark, sf_dir):
+    """Names, types and selection of features."""
+    df = _numbers(spark, sf_dir)
+    chosen = stats.variances(df, STAT_COLUMNS).selectExpr("feature", "variance >= 5000 AS selected")
+    kinds = spark.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in STAT_COLUMNS], "feature string, type string")
+    store = fs.FeatureStore(spark, _home(spark, "store"))
+    store.save_metadata("v1", kinds.join(chosen, "feature"))
+    return store.metadata("v1").select("feature", F.col("type").isin("double", "bigint").alias("numeric"), "selected")
+
+
 # --------------------------------------------------------------------- store
 def _map_rows(spark, sf_dir) -> DataFrame:
     bars = fs.as_map(_bars(spark, sf_dir), ["close", "volume"])
