@@ -114,13 +114,25 @@ def _all_cuts(model: langid.PieceModel, word: str, lang: int) -> float:
     if not word:
         return 1.0
     total = 0.0
-    for n in range(1, min(langid.LONGEST, len(word)) + 1):
+    for n in range(1, min(model.longest, len(word)) + 1):
         at = index.get(word[:n], len(model.pieces) if n == 1 else None)
         if at is not None:
             total += model.weights[at, lang] * _all_cuts(model, word[n:], lang)
     return total
 
 
+def test_long_runs_are_learnt_from_and_no_piece_is_left_out():
+    weights = np.array([[1e-4, 0.1], [1e-5, 0.2], [1e-4, 0.3], [1e-6, 0.1], [1e-3, 0.1], [1e-5, 0.1], [1e-7, 0.1]])
+    model = langid.PieceModel(["a", "ab", "b", "ba", "▁a", "▁ab"], ["x", "y"], weights)
+    lengths = np.array([len(p) for p in model.pieces] + [1])
+    for word in ("ab", "abba" * 10, "abba" * 400, "abq" * 100):  # the products of the third are below any double
+        for lang in (0, 1):
+            got = model.expected([word], np.array([3.0]), lang)
+            assert np.isfinite(got).all() and got @ lengths == pytest.approx(3 * (len(word) + 1))
+    pieces = langid.vocabulary_pieces()
+    assert max(map(len, pieces)) > 8 and langid.PieceModel(pieces, ["x"], np.ones((len(pieces) + 1, 1))).longest == max(map(len, pieces))
+
+
 def test_forward_sums_all_segmentations():
     weights = np.random.default_rng(3).random((7, 2))
     model = langid.PieceModel(["a", "ab", "b", "ba", "▁a", "▁ab"], ["x", "y"], weights)

@@ -37,7 +37,6 @@ from .common import replace_column
 
 UNDETERMINED = "und"
 START = "▁"
-LONGEST = 8
 KEPT_WORDS = 300_000
 WORDISH = re.compile(r"[^\W\d_]+")
 
@@ -58,7 +57,7 @@ def vocabulary_pieces(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public.path("piece_bpe_32k.model"))
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_byte(i))
-    keep = {p for p in pieces if (b := p.removeprefix(START)).isalpha() and b == b.lower() and len(p) <= LONGEST}
+    keep = {p for p in pieces if (b := p.removeprefix(START)).isalpha() and b == b.lower()}
     return sorted(keep)
 
 
@@ -80,23 +79,35 @@ class PieceModel:
         self.__init__(**state)
 
     def index(self) -> dict[str, int]:
+        """The number of each piece, -1 for what is only the end of a piece."""
         if not self._index:
-            self._index = {p: i for i, p in enumerate(self.pieces)}
+            self._index = {p[i:]: -1 for p in self.pieces for i in range(1, len(p))}
+            self._index.update((p, i) for i, p in enumerate(self.pieces))
         return self._index
 
+    @property
+    def longest(self) -> int:
+        """Letters of the longest piece, the mark of a start included."""
+        return max(map(len, self.pieces), default=1)
+
     def cut(self, words: list[str]) -> np.ndarray:
         """Piece numbers ``[word, end, length - 1]`` of words of one length; -1 where there is no piece."""
-        index, size = self.index(), len(words[0])
-        out = np.full((len(words), size, LONGEST), -1, dtype=np.int32)
-        unknown = len(self.pieces)
-        for row, word in zip(out, words):
+        find, size, longest = self.index().get, len(words[0]), self.longest
+        out = np.full((len(words), size, longest), -1, dtype=np.int32)
+        out[:, :, 0] = len(self.pieces)
+        rows, ends, lengths, numbers = [], [], [], []
+        for row, word in enumerate(words):
             for end in range(1, size + 1):
-                for length in range(1, min(LONGEST, end) + 1):
-                    at = index.get(word[end - length : end])
-                    if at is not None:
-                        row[end - 1, length - 1] = at
-                    elif length == 1:
-                        row[end - 1, 0] = unknown
+                for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                    at = find(word[start:end])
+                    if at is None:  # no piece ends like this, nor does a longer one
+                        break
+                    if at >= 0:
+                        rows.append(row)
+                        ends.append(end - 1)
+                        lengths.append(end - start - 1)
+                        numbers.append(at)
+        out[rows, ends, lengths] = numbers
         return out
 
     def forward(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +117,26 @@ class PieceModel:
         alpha = np.zeros((size + 1, n, len(self.langs)))
         scale = np.zeros((size + 1, n))
         alpha[0] = 1
+        scaled = False
         for end in range(1, size + 1):
             scale[end] = scale[end - 1]
-            for length in range(1, min(LONGEST, end) + 1):
-                before = end - length
-                shift = np.exp(scale[before] - scale[end])[:, None]
-                alpha[end] += alpha[before] * shift * padded[found[:, end - 1, length - 1]]
+            for length in range(1, min(found.shape[2], end) + 1):
+                before, piece = end - length, found[:, end - 1, length - 1]
+                some = np.flatnonzero(piece >= 0)
+                if not len(some):
+                    continue
+                if 2 * len(some) > n:
+                    some = slice(None)
+                step = alpha[before, some] * padded[piece[some]]
+                if scaled:
+                    step *= np.exp(scale[before, some] - scale[end, some])[:, None]
+                alpha[end, some] += step
             top = alpha[end].max(1)
             low = (top < 1e-100) & (top > 0)
             if low.any():  # keeps the products of long words within range
                 alpha[end][low] /= top[low, None]
                 scale[end][low] += np.log(top[low])
+                scaled = True
         return alpha, scale
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -152,27 +172,41 @@ class PieceModel:
     def expected(self, words: list[str], counts: np.ndarray, lang: int) -> np.ndarray:
         """Expected count of each piece in these words of one language and one length."""
         found = self.cut([START + w for w in words])
-        n, size = found.shape[:2]
+        n, size, longest = found.shape
         one = np.append(self.weights[:, lang], 0.0)
-        alpha = np.zeros((size + 1, n))
-        alpha[0] = 1
-        beta = np.zeros((size + 1, n))
-        beta[size] = 1
+        alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+        # common log scales of a place, as products of long words leave the range of doubles
+        up, down = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+        alpha[0], beta[size] = 1, 1
         for end in range(1, size + 1):
-            for length in range(1, min(LONGEST, end) + 1):
-                alpha[end] += alpha[end - length] * one[found[:, end - 1, length - 1]]
+            up[end] = up[end - 1]
+            for length in range(1, min(longest, end) + 1):
+                before = end - length
+                alpha[end] += alpha[before] * np.exp(up[before] - up[end]) * one[found[:, end - 1, length - 1]]
+            _rescale(alpha[end], up[end])
         for start in range(size - 1, -1, -1):
-            for length in range(1, min(LONGEST, size - start) + 1):
-                beta[start] += beta[start + length] * one[found[:, start + length - 1, length - 1]]
+            down[start] = down[start + 1]
+            for length in range(1, min(longest, size - start) + 1):
+                behind = start + length
+                beta[start] += beta[behind] * np.exp(down[behind] - down[start]) * one[found[:, behind - 1, length - 1]]
+            _rescale(beta[start], down[start])
         total = np.where(alpha[size] > 0, alpha[size], 1)
         out = np.zeros(len(one))
         for end in range(1, size + 1):
-            for length in range(1, min(LONGEST, end) + 1):
-                at = found[:, end - 1, length - 1]
-                np.add.at(out, at, counts * alpha[end - length] * one[at] * beta[end] / total)
+            for length in range(1, min(longest, end) + 1):
+                at, before = found[:, end - 1, length - 1], end - length
+                part = np.exp(up[before] + down[end] - up[size])
+                np.add.at(out, at, counts * alpha[before] * part * one[at] * beta[end] / total)
         return out[:-1]
 
 
+def _rescale(weights: np.ndarray, scale: np.ndarray) -> None:
+    """Move very small weights of a place into its log scale."""
+    low = (weights < 1e-100) & (weights > 0)
+    scale[low] += np.log(weights[low])
+    weights[low] = 1
+
+
 # ------------------------------------------------------------------ learning
 def train(
     docs: DataFrame,
@@ -219,8 +253,7 @@ def train(
             for batch in batches:
                 groups: dict[tuple[int, int], list[tuple[str, int]]] = {}
                 for x, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    if len(w) <= 40:  # longer ones are no words to learn from
-                        groups.setdefault((x, len(w)), []).append((w, n))
+                    groups.setdefault((x, len(w)), []).append((w, n))
                 for (x, _), found in groups.items():
                     totals[:, x] += model.expected([w for w, _ in found], np.array([n for _, n in found], float), x)
             at, x = np.nonzero(totals)
