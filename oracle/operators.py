@@ -802,3 +802,22 @@ SQL["report_round_trip"] = (
 SQL["store_metadata"] = raw.sql(
     f"SELECT feature, true AS numeric, v >= 5000 AS selected FROM ({each('var_samp($x) AS v', STAT)})"
 )
+
+# ----------------------------------------------------------------- facts of models
+SQL["prediction_facts"] = _ls.sql(
+    'SELECT model, count(*) AS "rows", count(*) AS sum_to_one, count(*) AS likeliest '
+    f"FROM {_lsn}, (VALUES ('boosted'), ('forest'), ('stacked')) m(model) WHERE split = 'test' GROUP BY model"
+)
+SQL["shapley_sums"] = _ls.sql(
+    'SELECT model, count(*) AS "rows", count(*) AS sums_hold, count(*) AS outputs_hold '
+    f"FROM {_lsn}, (VALUES ('boosted'), ('forest'), ('regressor')) m(model) GROUP BY model"
+)
+SQL["model_search_all"] = (
+    "SELECT model, true AS in_range, true AS scored "
+    "FROM (VALUES ('boosted_classifier'), ('forest_classifier'), ('boosted_regressor')) m(model)"
+)
+SQL["end_to_end"] = _ls.sql(
+    f'SELECT split AS artifact, count(*) AS "rows" FROM {_lsn} GROUP BY split '
+    f"UNION ALL SELECT 'predictions', count(*) FROM {_lsn} WHERE split = 'test' "
+    "UNION ALL SELECT * FROM (VALUES ('selection', 4), ('feature_sets', 1), ('comparison', 2), ('explanation', 8))"
+)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import balance, fill, metrics, models, quantiles, ranges, stats
+from tidemark.operators import balance, fill, importance, metrics, models, quantiles, ranges, stats, trees
 from tidemark.operators.indicators import macd
 from tidemark.operators.prefix import Series, row_index
 from tidemark.plans.feature_table import features_unfilled
@@ -200,3 +200,67 @@ def test_capped_rows_are_those_of_the_smallest_hashes(spark, monkeypatch, cut):
     assert balance.cap_rows(df, 45, ["k"]).count() == 45  # 30 rows of one hash, 15 of the next
     plan = balance.cap_rows(df, 500, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "TakeOrdered" not in plan
+
+
+def _labelled_vectors(spark, n: int, k: int = 5):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (n, k)).astype(float)
+    label = (x[:, 0] + x[:, 1] > 1).astype(float) + (x[:, 2] > 2)
+    frame = pd.DataFrame(x, columns=[f"x{i}" for i in range(k)]).assign(
+        symbol="a", ts=np.arange(n), label=label, target=x[:, 0] * x[:, -1]
+    )
+    columns = [f"x{i}" for i in range(k)]
+    schema = ", ".join(f"{c} double" for c in columns) + ", symbol string, ts long, label double, target double"
+    return models.assemble(spark.createDataFrame(frame, schema), columns, ["symbol", "ts", "label", "target"]), columns, x
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest", "regressor"])
+def test_walk_equals_a_score_of_every_step(spark, kind):
+    df, columns, x = _labelled_vectors(spark, 300)
+    make, y, output = {
+        "boosted": (models.BoostedClassifier(4, 3, leaf_rows=2), "label", "probabilities"),
+        "forest": (models.ForestClassifier(6, 5, column_share=0.5), "label", "probabilities"),
+        "regressor": (models.BoostedRegressor(4, 4, gain=0.01), "target", "prediction"),
+    }[kind]
+    model = make.fit(df, y)
+    rng = np.random.default_rng(4)
+    k = len(columns)
+    z = x[rng.permutation(len(x))]
+    enters = rng.random(x.shape).argsort(axis=1).argsort(axis=1) + 1
+    got = trees.walk(trees.read_trees(spark, model), x, z, enters)
+    steps = [np.where(enters <= j, x, z) for j in range(k + 1)]
+    flat = pd.DataFrame(np.concatenate(steps), columns=columns).assign(at=np.arange((k + 1) * len(x)))
+    scored = model.predict(models.assemble(spark.createDataFrame(flat), columns, ["at"]))
+    found = scored.select("at", output).toPandas().sort_values("at")[output].to_numpy()
+    want = np.stack([np.atleast_1d(v) for v in found]).reshape(k + 1, len(x), -1)
+    assert np.allclose(got, want.transpose(1, 0, 2), atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300])
+def test_shapley_values_of_few_rows(spark, n):
+    df, columns, _ = _labelled_vectors(spark, 300)
+    model = models.BoostedRegressor(3, 3).fit(df, "target")
+    some = df.where(F.col("ts") < n)
+    out = importance.shapley_values(model, model.predict(some), columns, keep=["prediction"]).collect()
+    assert len(out) == n
+    for r in out:
+        assert r["value"][0] == pytest.approx(r["prediction"], abs=1e-9)
+        assert sum(v[0] for v in r["phi"]) == pytest.approx(r["value"][0] - r["base"][0], abs=1e-9)
+    if n == 1:
+        assert out[0]["value"] == out[0]["base"]
+    again = importance.shapley_values(model, some.repartition(3), columns).collect()
+    assert {r["ts"]: r["phi"] for r in again} == {r["ts"]: r["phi"] for r in out}
+
+
+def test_a_stack_is_explained_by_steps(spark):
+    df, columns, _ = _labelled_vectors(spark, 60, 3)
+    stack = models.StackedClassifier([lambda: models.ForestClassifier(3, 3)], folds=2).fit(df, "label")
+    rows = importance.shapley_importance(stack, df, columns, permutations=1).collect()
+    assert {r["feature"] for r in rows} == set(columns) and all(r["importance"] >= 0 for r in rows)
+
+
+def test_growth_limits_reach_the_trees(spark):
+    df, _, _ = _labelled_vectors(spark, 300)
+    wide = models.ForestClassifier(3, 6).fit(df).model
+    assert sum(t.numNodes for t in models.ForestClassifier(3, 6, leaf_rows=40).fit(df).model.trees) < sum(t.numNodes for t in wide.trees)
+    assert all(t.numNodes == 1 for t in models.BoostedRegressor(2, 4, gain=1e6).fit(df, "target").model.trees)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import stats
 from .balance import cap_rows
 from .models import assemble
+from .trees import has_trees, read_trees, shapley_walks
 
 _PARTNERS = 1024  # expected rows per permutation group
 
@@ -108,7 +109,23 @@ def permutation_importance(
     return out.orderBy(F.desc("importance"), "feature")
 
 
-def shapley_importance(
+def _backgrounds(df: DataFrame, key: Sequence[str], number: int, seed: int, rows: int) -> DataFrame:
+    """``number`` other rows' feature arrays, joined in one array ``_z``.
+
+    They are the neighbours in a seeded hash order inside random groups of
+    bounded size.  A table of fewer rows repeats a neighbour; a single row is its own.
+    """
+    groups = max(rows // _PARTNERS, 1)
+    w = Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed + 1), *key), *key)
+    near = [F.lag("_x").over(w), F.lead("_x").over(w), F.col("_x")]
+    others = [
+        F.coalesce(F.lag("_x", i).over(w), F.lead("_x", i).over(w), *near) for i in range(1, number + 1)
+    ]
+    grouped = df.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(groups)))
+    return grouped.withColumn("_z", F.concat(*others)).drop("_g")
+
+
+def shapley_values(
     model,
     df: DataFrame,
     columns: Sequence[str],
@@ -116,14 +133,70 @@ def shapley_importance(
     max_rows: int | None = None,
     permutations: int = 4,
     seed: int = 42,
-    output: str = "probabilities",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Monte-Carlo Shapley values, mean |value| per feature.
+    """Monte-Carlo Shapley values of every row, for models made of trees.
 
     Features enter in a random order, replacing those of a random background
     row; each step's change of the output belongs to the entering feature.
-    All rows are explained; ``max_rows`` asks for a seeded sample of them.
+    Returns key and ``keep``, ``value`` (the model's output for the row), ``base``
+    (its mean over the backgrounds) and ``phi``, an array of outputs per feature,
+    whose sum over the features is ``value`` - ``base``.  All rows are explained;
+    ``max_rows`` asks for a seeded sample of them.  An empty table gives an empty one.
+    """
+    k = len(columns)
+    base = df.select(*key, *keep, vector_to_array("features").alias("_x"))
+    if max_rows is not None:
+        base = cap_rows(base, max_rows, key, seed)
+    rows = _backgrounds(base, key, permutations, seed, base.count())
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed + 7), *key))
+    ensemble = read_trees(df.sparkSession, model)
+    outputs = ensemble.value.shape[1]
+    out = shapley_walks(ensemble, rows, [*key, *keep], permutations, k)
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice("phi", i * outputs + 1, outputs)
+    )
+    return out.withColumn("phi", parts)
+
+
+def shapley_importance(
+    model,
+    df: DataFrame,
+    columns: Sequence[str],
+    key: Sequence[str] = ("symbol", "ts"),
+    max_rows: int | None = None,
+    permutations: int = 4,
+    seed: int = 42,
+    output: str = "probabilities",
+) -> DataFrame:
+    """Mean absolute Shapley value per feature, over rows and outputs.
+
+    Models made of trees are walked in blocks of rows (:func:`shapley_values`).
+    Any other model is scored at every step, each a row of its own.
     """
+    names = F.array(*[F.lit(c) for c in columns])
+    if has_trees(model):
+        values = shapley_values(model, df, columns, key, max_rows, permutations, seed)
+        phi = values.select(F.posexplode("phi").alias("_f", "_v")).select("_f", F.explode("_v").alias("phi"))
+    else:
+        phi = _scored_steps(model, df, columns, key, max_rows, permutations, seed, output)
+    out = phi.groupBy(names[F.col("_f")].alias("feature")).agg(
+        F.avg(F.abs("phi")).alias("importance")
+    )
+    return out.orderBy(F.desc("importance"), "feature")
+
+
+def _scored_steps(
+    model,
+    df: DataFrame,
+    columns: Sequence[str],
+    key: Sequence[str],
+    max_rows: int | None,
+    permutations: int,
+    seed: int,
+    output: str,
+) -> DataFrame:
+    """``phi`` by key, feature number and output, from a score of every step."""
     k = len(columns)
     base = df.select(*key, vector_to_array("features").alias("_x"))
     if max_rows is not None:
@@ -159,12 +232,7 @@ def shapley_importance(
         "_d", F.zip_with("_v", F.lag("_v").over(w), lambda a, b: a - b)
     )
     effects = moved.where("_j > 0").select(*key, "_f", F.posexplode("_d").alias("_c", "_e"))
-    phi = effects.groupBy(*key, "_f", "_c").agg(F.avg("_e").alias("phi"))
-    names = F.array(*[F.lit(c) for c in columns])
-    out = phi.groupBy(names[F.col("_f")].alias("feature")).agg(
-        F.avg(F.abs("phi")).alias("importance")
-    )
-    return out.orderBy(F.desc("importance"), "feature")
+    return effects.groupBy(*key, "_f", "_c").agg(F.avg("_e").alias("phi"))
 
 
 class _Predictor:

@@ -40,6 +40,17 @@ def _argmax(p: Column) -> Column:
     return (F.array_position(p, F.array_max(p)) - 1).cast("double")
 
 
+def _growth(model) -> dict:
+    """Limits of a tree's growth: share of columns a node tries, rows of a leaf, least gain."""
+    share = model.column_share
+    strategy = "auto" if share is None else "all" if share >= 1 else str(share)
+    return {
+        "featureSubsetStrategy": strategy,
+        "minInstancesPerNode": model.leaf_rows,
+        "minInfoGain": model.gain,
+    }
+
+
 @dataclass
 class BoostedClassifier:
     """K1/K2: one boosted binary model per class, probabilities normalised.
@@ -53,6 +64,9 @@ class BoostedClassifier:
     step: float = 0.05
     subsample: float = 0.8
     seed: int = 42
+    column_share: float = 1.0
+    leaf_rows: int = 1
+    gain: float = 0.0
     validation: str | None = None
     models: list = field(default_factory=list)
 
@@ -65,6 +79,7 @@ class BoostedClassifier:
                 stepSize=self.step,
                 subsamplingRate=self.subsample,
                 seed=self.seed,
+                **_growth(self),
             )
             if self.validation:
                 gbt = gbt.setValidationIndicatorCol(self.validation)
@@ -98,11 +113,14 @@ class ForestClassifier:
     trees: int = 100
     max_depth: int = 6
     seed: int = 42
+    column_share: float | None = None
+    leaf_rows: int = 1
+    gain: float = 0.0
     model: object = None
 
     def fit(self, df: DataFrame, label: str = "label") -> "ForestClassifier":
         forest = RandomForestClassifier(
-            labelCol=label, numTrees=self.trees, maxDepth=self.max_depth, seed=self.seed
+            labelCol=label, numTrees=self.trees, maxDepth=self.max_depth, seed=self.seed, **_growth(self)
         )
         self.model = forest.fit(df)
         return self
@@ -128,6 +146,9 @@ class BoostedRegressor:
     step: float = 0.05
     subsample: float = 0.8
     seed: int = 42
+    column_share: float = 1.0
+    leaf_rows: int = 1
+    gain: float = 0.0
     model: object = None
 
     def fit(self, df: DataFrame, label: str = "label") -> "BoostedRegressor":
@@ -138,6 +159,7 @@ class BoostedRegressor:
             stepSize=self.step,
             subsamplingRate=self.subsample,
             seed=self.seed,
+            **_growth(self),
         )
         self.model = gbt.fit(df)
         return self
@@ -289,8 +311,16 @@ CLASSIFIER_SPACE: Space = {
     "max_depth": (3, 10),
     "step": (0.01, 0.3, "log"),
     "subsample": (0.6, 1.0),
+    "column_share": (0.6, 1.0),
+    "leaf_rows": (1, 10),
+    "gain": (0.0, 0.5),
+}
+FOREST_SPACE: Space = {
+    "trees": (100, 500),
+    "max_depth": (3, 10),
+    "column_share": (0.6, 1.0),
+    "leaf_rows": (5, 50),
 }
-FOREST_SPACE: Space = {"trees": (100, 500), "max_depth": (3, 10)}
 
 
 def draw(space: Space, rng: random.Random) -> dict:
@@ -354,8 +384,10 @@ def search_all(
     target: str,
     trials: int = 20,
     seed: int = 42,
+    spaces: dict[str, Space] | None = None,
 ) -> DataFrame:
-    """Every model family; best trial of each."""
+    """Every model family; best trial of each.  ``spaces`` replaces ranges by family."""
+    spaces = spaces or {}
     jobs = {
         "boosted_classifier": (BoostedClassifier, CLASSIFIER_SPACE, label, "classification"),
         "forest_classifier": (ForestClassifier, FOREST_SPACE, label, "classification"),
@@ -363,6 +395,6 @@ def search_all(
     }
     best = []
     for name, (make, space, y, task) in jobs.items():
-        found = search(make, space, train, val, y, task, trials, seed)
+        found = search(make, spaces.get(name, space), train, val, y, task, trials, seed)
         best.append(found.limit(1).withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, best)

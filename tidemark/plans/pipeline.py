@@ -35,6 +35,7 @@ class TrainingResult:
     scaler: DataFrame
     predictions: dict[str, DataFrame] = field(default_factory=dict)
     regression: DataFrame | None = None
+    explanation: DataFrame | None = None
 
 
 def default_classifiers() -> dict[str, Callable[[], object]]:
@@ -55,8 +56,11 @@ def train(
     stack: bool = True,
     stack_folds: int = 5,
     method: str = "standard",
+    explain: bool = True,
+    permutations: int = 4,
 ) -> TrainingResult:
-    """Scale on train, fit and stack classifiers and regressors, evaluate on test, rank features.
+    """Scale on train, fit and stack classifiers and regressors, evaluate on test, rank
+    features, explain the first classifier's test predictions by mean absolute Shapley values.
 
     ``df`` carries ``split``.  The scaled and assembled rows are stored once
     and read by every fit.
@@ -101,7 +105,11 @@ def train(
         regression = reduce(DataFrame.unionByName, fit)
     first = next(iter(classifiers))
     ranking = importance.importance_table(df.sparkSession, features, models[first].importance())
-    return TrainingResult(models, scores, ranking.orderBy(F.desc("importance")), scaler, predictions, regression)
+    explanation = None
+    if explain:
+        explanation = importance.shapley_importance(models[first], test, features, permutations=permutations)
+    ranking = ranking.orderBy(F.desc("importance"))
+    return TrainingResult(models, scores, ranking, scaler, predictions, regression, explanation)
 
 
 def save_models(result: TrainingResult, path: str) -> None:
@@ -149,4 +157,6 @@ def run_all(
     result = train(split, chosen, **train_args)
     save_models(result, f"{path}/models")
     save_comparison(result.scores, f"{path}/comparison")
+    if result.explanation is not None:
+        result.explanation.write.mode("overwrite").parquet(f"{path}/explanation")
     return result

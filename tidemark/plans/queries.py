@@ -20,6 +20,8 @@ from ..operators.ewm import ewm
 from ..operators.features import feature_names
 from ..operators.prefix import Series, row_index
 from ..operators.models import (
+    CLASSIFIER_SPACE,
+    FOREST_SPACE,
     BoostedClassifier,
     BoostedRegressor,
     ForestClassifier,
@@ -28,6 +30,7 @@ from ..operators.models import (
     assemble,
     fold_summary,
     search,
+    search_all,
     walk_forward,
 )
 from ..session import shared_dir, stored
@@ -39,7 +42,7 @@ from ..streaming.bars import bar_stream, expiry_stream, liquidation_stream, main
 from .derived import DAILY, HOUR, Feeds, daily_bars, latest, table
 from .families import FAMILIES, family, show, stamp
 from .feature_table import engineer_all
-from .pipeline import train
+from .pipeline import run_all, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1227,6 +1230,101 @@ def model_search(spark, sf_dir):
     return found.select("trial", "score", p["trees"].alias("trees"), p["max_depth"].alias("depth"))
 
 
+# Search ranges of the queries: the library's, with fewer and flatter trees.
+_SMALL = {"max_iter": (3, 8), "max_depth": (2, 4)}
+_SMALL_SPACES = {
+    "boosted_classifier": CLASSIFIER_SPACE | _SMALL,
+    "forest_classifier": FOREST_SPACE | {"trees": (5, 20), "max_depth": (2, 5)},
+    "boosted_regressor": CLASSIFIER_SPACE | _SMALL,
+}
+
+
+def _split_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _vectors(_model_rows(spark, sf_dir))
+    return rows.where("split = 'train'"), rows.where("split = 'val'")
+
+
+@register
+def model_search_regressor(spark, sf_dir):
+    """Every trial, best first."""
+    fit_on, val = _split_vectors(spark, sf_dir)
+    space = _SMALL_SPACES["boosted_regressor"]
+    found = search(BoostedRegressor, space, fit_on, val, "future_return", "regression", trials=4)
+    p = F.col("params")
+    return found.select("trial", "score", *[p[name].alias(name) for name in space])
+
+
+@register
+def model_search_all(spark, sf_dir):
+    """The best trial of each family and whether its parameters lie in their ranges."""
+    fit_on, val = _split_vectors(spark, sf_dir)
+    found = search_all(fit_on, val, "label", "future_return", trials=2, spaces=_SMALL_SPACES)
+    params = F.col("params")
+    inside = reduce(
+        lambda whole, part: whole.when(F.col("model") == part[0], reduce(
+            lambda a, b: a & b, [params[k].between(*r[:2]) for k, r in part[1].items()]
+        )),
+        _SMALL_SPACES.items(),
+        F.when(F.lit(False), False),
+    )
+    return found.select("model", inside.alias("in_range"), F.col("score").isNotNull().alias("scored"))
+
+
+@register
+def prediction_facts(spark, sf_dir):
+    """K1, K3, K6, K8: test rows, those whose probabilities sum to 1, those that take the likeliest class."""
+    rows = _vectors(_model_rows(spark, sf_dir))
+    fit_on, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    makes = {
+        "boosted": _quick_boost,
+        "forest": _quick_forest,
+        "stacked": lambda: StackedClassifier([_quick_forest, partial(_quick_forest, seed=7)], folds=3),
+    }
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
+    likeliest = F.element_at(p, F.col("prediction").cast("int") + 1) == F.array_max(p)
+    parts = [
+        make().fit(fit_on, "label").predict(test).agg(
+            F.lit(name).alias("model"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.abs(total - 1) < 1e-9).alias("sum_to_one"),
+            F.count_if(likeliest).alias("likeliest"),
+        )
+        for name, make in makes.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def shapley_sums(spark, sf_dir):
+    """Rows whose effects sum to the change of the output, and whose output is the model's."""
+    rows = _vectors(_model_rows(spark, sf_dir))
+    fit_on = rows.where("split = 'train'")
+    makes = {"boosted": _quick_boost, "forest": _quick_forest, "regressor": _quick_regressor}
+    parts = []
+    for name, make in makes.items():
+        regression = name == "regressor"
+        model = make().fit(fit_on, "future_return" if regression else "label")
+        own = F.array("prediction") if regression else F.col("probabilities")
+        scored = model.predict(rows).withColumn("own", own)
+        found = importance.shapley_values(model, scored, DENSE, permutations=2, keep=["own"])
+        near = lambda a, b: F.forall(
+            F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 1e-9 * (1 + F.abs(y))), lambda ok: ok
+        )
+        summed = F.aggregate(
+            "phi", F.col("base"), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)
+        )
+        parts.append(
+            found.agg(
+                F.lit(name).alias("model"),
+                F.count(F.lit(1)).alias("rows"),
+                F.count_if(near(summed, F.col("value"))).alias("sums_hold"),
+                F.count_if(near(F.col("value"), F.col("own"))).alias("outputs_hold"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register
 def importance_forest(spark, sf_dir):
     return importance.forest_importance(
@@ -1272,16 +1370,59 @@ def train_pipeline(spark, sf_dir):
         classifiers={"forest": _quick_forest, "boosted": _quick_boost},
         regressor=_quick_regressor,
         stack_folds=2,
+        explain=False,
     )
     return result.scores
 
 
+@register
+def train_explanation(spark, sf_dir):
+    """Mean absolute effect of each feature on the test predictions."""
+    rows = _model_rows(spark, sf_dir).withColumn("target_return", F.col("future_return"))
+    result = train(
+        rows, DENSE, "label", classifiers={"forest": _quick_forest}, regressor=None, stack=False, permutations=2
+    )
+    return result.explanation
+
+
+@register
+def end_to_end(spark, sf_dir):
+    """Feeds to trained models; rows of the artifacts that the job left."""
+    f, home = _feeds(spark, sf_dir), _home(spark, "job")
+    feeds = {"ohlcv": f.ohlcv(), "open_interest": f.open_interest(), "ls_ratio": f.ls_ratio()}
+    result = run_all(
+        feeds,
+        home,
+        horizon=4,
+        threshold=0.5,
+        n_features=8,
+        trees=5,
+        classifiers={"forest": _quick_forest},
+        regressor=None,
+        stack_folds=2,
+        permutations=2,
+    )
+    set_id = artifacts.list_datasets(spark, home).first()["feature_set_id"]
+    parts = artifacts.load_datasets(spark, home, set_id)
+    tables = {
+        "selection": spark.read.parquet(f"{home}/selection_report"),
+        "feature_sets": artifacts.list_feature_sets(spark, home),
+        "comparison": spark.read.option("header", True).csv(f"{home}/comparison"),
+        "explanation": spark.read.parquet(f"{home}/explanation"),
+        "predictions": result.predictions["stacked"],
+    }
+    rows = F.count(F.lit(1)).alias("rows")
+    counts = [t.agg(rows).select(F.lit(n).alias("artifact"), "rows") for n, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts, parts.groupBy(F.col("split").alias("artifact")).agg(rows))
+
+
 @register
 def train_regressors(spark, sf_dir):
     """Test metrics of the regressor and of its stack."""
     rows = _model_rows(spark, sf_dir).withColumn("target_return", F.col("future_return"))
     result = train(
-        rows, DENSE, "label", classifiers={"forest": _quick_forest}, regressor=_quick_regressor, stack_folds=2
+        rows, DENSE, "label", classifiers={"forest": _quick_forest}, regressor=_quick_regressor, stack_folds=2,
+        explain=False,
     )
     return result.regression.select("model", "n", *[tidy(c).alias(c) for c in _REG])
 
