@@ -38,6 +38,8 @@ from .common import replace_column
 UNDETERMINED = "und"
 START = "▁"
 KEPT_WORDS = 300_000
+#: Letters of words of one language and length whose pieces are counted together.
+GROUP_LETTERS = 50_000
 WORDISH = re.compile(r"[^\W\d_]+")
 
 
@@ -69,6 +71,7 @@ class PieceModel:
     langs: list[str]
     weights: np.ndarray
     _index: dict[str, int] = field(default_factory=dict)
+    _steps: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
     _kept: dict[str, int] = field(default_factory=dict)
     _scores: np.ndarray | None = None
 
@@ -90,24 +93,45 @@ class PieceModel:
         """Letters of the longest piece, the mark of a start included."""
         return max(map(len, self.pieces), default=1)
 
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ends of pieces as a trie read backwards: its letters, sorted (state, letter) keys, the state each leads to, and a state's piece."""
+        if self._steps is None:
+            numbers = self.index()
+            ends = sorted(numbers, key=len)
+            state = {"": 0, **{end: i + 1 for i, end in enumerate(ends)}}
+            letters = np.unique([ord(end[0]) for end in ends]).astype(np.int64)
+            codes = np.searchsorted(letters, [ord(end[0]) for end in ends])
+            keys = np.array([state[end[1:]] for end in ends], dtype=np.int64) * len(letters) + codes
+            order = np.argsort(keys)
+            self._steps = letters, keys[order], order + 1, np.array([-1, *map(numbers.get, ends)], dtype=np.int32)
+        return self._steps
+
     def cut(self, words: list[str]) -> np.ndarray:
         """Piece numbers ``[word, end, length - 1]`` of words of one length; -1 where there is no piece."""
-        find, size, longest = self.index().get, len(words[0]), self.longest
+        size, longest = len(words[0]), self.longest
         out = np.full((len(words), size, longest), -1, dtype=np.int32)
         out[:, :, 0] = len(self.pieces)
-        rows, ends, lengths, numbers = [], [], [], []
-        for row, word in enumerate(words):
-            for end in range(1, size + 1):
-                for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                    at = find(word[start:end])
-                    if at is None:  # no piece ends like this, nor does a longer one
-                        break
-                    if at >= 0:
-                        rows.append(row)
-                        ends.append(end - 1)
-                        lengths.append(end - start - 1)
-                        numbers.append(at)
-        out[rows, ends, lengths] = numbers
+        letters, keys, target, number = self.steps()
+        if not len(keys):
+            return out
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        code = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+        code[letters[code] != text] = -1
+        code = code.reshape(len(words), size)
+        # all ends of all words at once, one letter further back a level
+        row, end = np.divmod(np.arange(len(words) * size), size)
+        state = np.zeros(len(row), dtype=np.int64)
+        for length in range(1, min(longest, size) + 1):
+            inside = end >= length - 1
+            row, end, state = row[inside], end[inside], state[inside]
+            letter = code[row, end - length + 1]
+            sought = state * len(letters) + letter
+            at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            alive = (letter >= 0) & (keys[at] == sought)
+            row, end, state = row[alive], end[alive], target[at[alive]]
+            piece = number[state]
+            some = piece >= 0
+            out[row[some], end[some], length - 1] = piece[some]
         return out
 
     def forward(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,38 +197,60 @@ class PieceModel:
         """Expected count of each piece in these words of one language and one length."""
         found = self.cut([START + w for w in words])
         n, size, longest = found.shape
-        one = np.append(self.weights[:, lang], 0.0)
+        weights = self.weights[:, lang]
+        arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        for end in range(1, size + 1):
+            for length in range(1, min(longest, end) + 1):
+                piece = found[:, end - 1, length - 1]
+                some = np.flatnonzero(piece >= 0)
+                if len(some):
+                    arcs[end].append((end - length, some, piece[some]))
         alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
         # common log scales of a place, as products of long words leave the range of doubles
         up, down = np.zeros((size + 1, n)), np.zeros((size + 1, n))
         alpha[0], beta[size] = 1, 1
+        scaled = False
         for end in range(1, size + 1):
             up[end] = up[end - 1]
-            for length in range(1, min(longest, end) + 1):
-                before = end - length
-                alpha[end] += alpha[before] * np.exp(up[before] - up[end]) * one[found[:, end - 1, length - 1]]
-            _rescale(alpha[end], up[end])
+            for before, some, piece in arcs[end]:
+                step = alpha[before, some] * weights[piece]
+                if scaled:
+                    step *= np.exp(up[before, some] - up[end, some])
+                alpha[end, some] += step
+            scaled |= _rescale(alpha[end], up[end])
+        ways: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        for end in range(1, size + 1):
+            for before, some, piece in arcs[end]:
+                ways[before].append((end, some, piece))
+        scaled_down = False
         for start in range(size - 1, -1, -1):
             down[start] = down[start + 1]
-            for length in range(1, min(longest, size - start) + 1):
-                behind = start + length
-                beta[start] += beta[behind] * np.exp(down[behind] - down[start]) * one[found[:, behind - 1, length - 1]]
-            _rescale(beta[start], down[start])
-        total = np.where(alpha[size] > 0, alpha[size], 1)
-        out = np.zeros(len(one))
+            for behind, some, piece in ways[start]:
+                step = beta[behind, some] * weights[piece]
+                if scaled_down:
+                    step *= np.exp(down[behind, some] - down[start, some])
+                beta[start, some] += step
+            scaled_down |= _rescale(beta[start], down[start])
+        share = counts / np.where(alpha[size] > 0, alpha[size], 1)
+        parts, pieces = [np.zeros(0)], [np.zeros(0, dtype=np.int32)]
         for end in range(1, size + 1):
-            for length in range(1, min(longest, end) + 1):
-                at, before = found[:, end - 1, length - 1], end - length
-                part = np.exp(up[before] + down[end] - up[size])
-                np.add.at(out, at, counts * alpha[before] * part * one[at] * beta[end] / total)
-        return out[:-1]
+            for before, some, piece in arcs[end]:
+                part = share[some] * alpha[before, some] * weights[piece] * beta[end, some]
+                if scaled or scaled_down:
+                    part *= np.exp(up[before, some] + down[end, some] - up[size, some])
+                parts.append(part)
+                pieces.append(piece)
+        return np.bincount(np.concatenate(pieces), np.concatenate(parts), len(weights))
 
 
-def _rescale(weights: np.ndarray, scale: np.ndarray) -> None:
-    """Move very small weights of a place into its log scale."""
+def _rescale(weights: np.ndarray, scale: np.ndarray) -> bool:
+    """Move very small weights of a place into its log scale; whether there were any."""
     low = (weights < 1e-100) & (weights > 0)
+    if not low.any():
+        return False
     scale[low] += np.log(weights[low])
     weights[low] = 1
+    return True
 
 
 # ------------------------------------------------------------------ learning
@@ -250,12 +296,19 @@ def train(
 
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             totals = np.zeros_like(model.weights)
+            groups: dict[tuple[int, int], list[tuple[str, int]]] = {}
+
+            def add(x: int, found: list[tuple[str, int]]) -> None:
+                totals[:, x] += model.expected([w for w, _ in found], np.array([n for _, n in found], float), x)
+
             for batch in batches:
-                groups: dict[tuple[int, int], list[tuple[str, int]]] = {}
                 for x, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    groups.setdefault((x, len(w)), []).append((w, n))
-                for (x, _), found in groups.items():
-                    totals[:, x] += model.expected([w for w, _ in found], np.array([n for _, n in found], float), x)
+                    found = groups.setdefault((x, len(w)), [])
+                    found.append((w, n))
+                    if len(found) * len(w) >= GROUP_LETTERS:
+                        add(x, groups.pop((x, len(w))))
+            for (x, _), found in groups.items():
+                add(x, found)
             at, x = np.nonzero(totals)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(totals[at, x])], ["piece", "lang", "n"]
