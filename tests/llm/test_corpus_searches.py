@@ -75,6 +75,15 @@ def test_phrases_equal_their_definition(spark, per_part, monkeypatch):
     assert sorted(got) == _collocations(rows, 5, 20) and len(got) > 30
 
 
+def test_no_phrase_begins_at_a_word_out_of_reach(spark):
+    # frequent pairs whose neighbours are not: they leave the shards between two runs that stay
+    rows = [(f"a b c h x{i % 10} y{i % 10} d e f g", "en") for i in range(100)]
+    rows += [(f"a b c x{i % 10} y{i % 10} d e f{i // 10}", "de") for i in range(100)] + [(f"e f{i % 10}", "de") for i in range(250)]
+    rows += [(f"x{i % 10} y{i % 10}", lang) for i in range(250) for lang in ("en", "de")]
+    got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), least=30)
+    assert sorted(tuple(r) for r in got.collect()) == _collocations(rows, 30, 2000)
+
+
 def test_phrases_of_odd_rows(spark, odd_docs, no_docs):
     got = phrases.collocations(odd_docs, least=2)
     rows = [(r["text"], r["lang"]) for r in odd_docs.collect()]

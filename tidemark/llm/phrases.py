@@ -282,7 +282,7 @@ def mark(shards: DataFrame, tries: Iterator, n: int, k: int) -> DataFrame:
                     np.add.at(reach, at + k, -1)
                     ids = np.where(np.cumsum(reach[:-1]) > 0, ids, 0)
                     kept = (ids > 0) | (np.append(0, ids[:-1]) > 0)  # one 0 between runs
-                    ids, marks = ids[kept], marks[kept]
+                    ids, marks = ids[kept], (marks & (ids > 0))[kept]  # no phrase begins at a word that went
                 if len(ids):
                     columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids, np.packbits(marks))]
                     yield pa.RecordBatch.from_arrays(columns, ["ids", "live"])
