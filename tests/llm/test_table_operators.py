@@ -169,6 +169,21 @@ def test_near_copies_by_any_edit_are_found(spark):
     assert kept == {i for i, _ in rows} - lost
 
 
+def test_near_copies_meet_by_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    rows, close = [], set()
+    for i in range(12):
+        words = [f"w{w}" for w in rng.integers(0, 5000, 3000)]
+        texts = [" ".join(words), " ".join([*words[:50], "changed", *words[51:]])]
+        rows += [(10 * i + j, t) for j, t in enumerate(texts)]
+        if (int.__xor__(*map(simhash.of_shingles(5), texts))).bit_count() <= 3:
+            close.add(10 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {"threshold": 0.99, "rows": 1500, "miss": 1 - 1e-7}  # a band that brings hardly any pair together
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs, **one).collect()}
+    assert len(close) > 6 and not kept & close and len(kept) >= 12
+
+
 @pytest.mark.parametrize("block", [256, 9])
 def test_near_links_connect_families_as_all_pairs_do(spark, block):
     rng = np.random.default_rng(3)

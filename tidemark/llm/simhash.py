@@ -257,6 +257,12 @@ def linked_sets(sets: list[np.ndarray], parts: np.ndarray, threshold: float) ->
     return i, j
 
 
+def print_groups(told: DataFrame, key: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """``group, key``: rows whose fingerprints links of at most ``radius`` bits connect; a group of its own for each component."""
+    marked = near_duplicates(told, key, text, shingle, radius)
+    return marked.select(F.xxhash64(F.lit("prints"), "component_id").alias("group"), F.col("doc_id").alias("key")).distinct()
+
+
 def near_links(met: DataFrame, sets: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """``a, b``: links that connect the keys as all pairs of one ``group`` with a similarity of ``threshold`` do.
 
@@ -321,14 +327,17 @@ def drop_near_copies(
     threshold: float = 0.8,
     rows: int = 4,
     miss: float = 1e-4,
+    radius: int = 3,
 ) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies.
 
     Near copies have a Jaccard similarity of ``threshold`` or more between their
-    sets of ``shingle``-word runs.  Texts meet if one of several bands of minima
-    of these sets is equal; there are enough bands that a pair at the threshold
+    sets of ``shingle``-word runs.  Texts meet if covering masks link their SimHash
+    fingerprints at ``radius`` bits (``near_duplicates``).  As fingerprints of many
+    pairs at the threshold lie farther apart, texts also meet if one of several bands of
+    minima of these sets is equal; there are enough bands that a pair at the threshold
     is not met with a chance of ``miss`` at most, whatever kind of edit made it.
-    Texts of a band are compared on the whole sets until all their links are found
+    Texts that meet are compared on the whole sets until all their links are found
     (``near_links``), so no text goes for its fingerprint alone.  Of verified links the row with the smallest id stays, null ids last;
     rows that repeat id and text are one text and stay or go together.
     """
@@ -337,7 +346,9 @@ def drop_near_copies(
     told = docs.select(who.alias("who"), F.col(text).alias("text"))
     bands = shingle_bands(told, "who", "text", shingle, band_count(threshold, rows, miss), rows)
     bands = stored(bands.dropDuplicates(["who"]), "near-bands")
+    prints = told.select(F.col("who.key").alias("key"), "text")
     met = bands.select(F.explode("bands").alias("group"), F.col("who.key").alias("key"))
+    met = met.unionByName(print_groups(prints, "key", "text", shingle, radius))
     several = met.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     met = stored(met.join(several, "group"), "near-met")
     members = stored(met.select("key").distinct(), "near-members")
