@@ -7,9 +7,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bpe, elias_fano, langid, ngram_lm, queries, token_counts
@@ -224,6 +226,40 @@ def test_lm_of_odd_rows_and_windows(odd_docs, no_docs, monkeypatch):
     assert [p[1:] for p in parts] == [[b"a", b"b", b"c"], [b"d", b"e", b"f"], [b"g", ngram_lm.END]] and parts[1][0] == b"c"
 
 
+def _lm_rows(texts, keys, shards, hot):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["text", "key"])
+    for t, found in ngram_lm._flushes(iter([batch])):
+        yield from (ngram_lm._record([m]) for m in ngram_lm._messages(t, np.array(found) if keys else None, shards, hot))
+
+
+def test_lm_shards_are_merged_by_ranges_of_words(monkeypatch):
+    rng, hot = np.random.default_rng(9), np.zeros(0, dtype=np.uint64)
+    monkeypatch.setattr(ngram_lm, "FLUSH_TOKENS", 300)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 40) % 200) for _ in range(60)]
+    shared = ngram_lm.Counts(60 * 41, 200, 1, {}, 20.0)
+    found = []
+    for most in (1_000_000, 37):
+        monkeypatch.setattr(ngram_lm, "MERGED", most)
+        found.append(ngram_lm._trie_of(list(ngram_lm._rows(_lm_rows(texts, False, 1, hot))), shared))
+    assert found[0].keys() == found[1].keys() and all(np.array_equal(found[0][k], found[1][k]) for k in found[0])
+
+
+def test_lm_holds_numbers_not_words():
+    text = " ".join(f"w{i % 1000}" for i in range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 1000)], ["text"])
+    tracemalloc.start()
+    tokens = sum(len(t.word) for t, _ in ngram_lm._flushes(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens == 1_001_000 and peak < 40 * tokens  # 50 and more as words
+
+
+def test_lm_batches_are_bounded(spark, no_docs):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    ngram_lm.train(no_docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_lm_without_training_rows(odd_docs, no_docs):
     shared, tries = ngram_lm.train(no_docs)
     rows = ngram_lm.score(odd_docs, shared, tries).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +32,11 @@ def bit_parts(total: int, per_part: int, least: int = 1, most: int = 1 << 20) ->
     return max(least, min(most, math.ceil(total / max(1, per_part))))
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of this session hold about ``most`` bytes, however long their rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def replace_column(df: DataFrame, name: str) -> DataFrame:
     """``df`` without a column of this name, so that an operator can add its own."""
     return df.drop(name) if name in df.columns else df

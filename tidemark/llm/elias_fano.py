@@ -136,14 +136,17 @@ class Trie:
         words: np.ndarray, counts: np.ndarray, runs: np.ndarray, contexts: np.ndarray, values: np.ndarray
     ) -> dict[str, np.ndarray]:
         """Arrays of a trie: sorted words with counts and numbers of contexts, then contexts sorted in each run."""
-        names, ids = np.unique(contexts, return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(runs)]).astype(np.int64)
-        last = ids[starts[1:] - 1] if len(runs) else np.zeros(0, dtype=np.int64)
-        base = np.concatenate([[0], np.cumsum(last + 1)[:-1]]) if len(runs) else last
-        pairs = np.repeat(base, runs) + ids
         least, most = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
         step = (most - least) / 65535 or 1.0
         out = {"codes": np.round((values - least) / step).astype(np.uint16), "scale": np.array([least, step])}
+        names = np.unique(contexts)
+        ids = np.empty(len(contexts), dtype=np.int32)
+        for at in range(0, len(ids), 1 << 19):
+            ids[at : at + (1 << 19)] = np.searchsorted(names, contexts[at : at + (1 << 19)])
+        starts = np.concatenate([[0], np.cumsum(runs)]).astype(np.int64)
+        last = ids[starts[1:] - 1].astype(np.int64) if len(runs) else np.zeros(0, dtype=np.int64)
+        base = np.concatenate([[0], np.cumsum(last + 1)[:-1]]) if len(runs) else last
+        pairs = np.repeat(base, runs) + ids
         levels = {
             "words": words,
             "contexts": names,

@@ -20,17 +20,18 @@ are found by counting all words first.
 Tokens travel in bulk: a task sorts a few million tokens, and sends each shard
 the distinct words, the distinct words in front of each (48 bits of their hash,
 as they are only told apart behind one word), and the documents they stand in.
-No task holds more than a few million tokens or one shard.
+No task holds more than a few million tokens or one shard: words become numbers
+as they are read, a shard's pairs are merged range by range of the words, and the
+tokens to be scored are answered message by message, behind their trie.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections import Counter as Tally
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,14 @@ from pyspark.sql import functions as F
 from tidemark.session import stored
 
 from .bpe import _slices
-from .common import bit_parts, whole
+from .common import bit_parts, bound_batches, whole
 from .elias_fano import Trie, from_file, to_bytes
 
 #: No words: they contain a space.
 END, START = b" end", b" start"
 FLUSH_TOKENS, FLUSH_DOCS, WINDOW = 2_500_000, 60_000, 1_000_000
+#: Pairs of a shard that are merged at a time.
+MERGED = 500_000
 MESSAGE = "shard int, flush long, model binary, keys binary, words binary, runs binary, contexts binary, counts binary, docs binary"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,27 +68,25 @@ def windows(text: bytes) -> Iterator[list[bytes]]:
 class Tokens:
     """Tokens of some windows as numbers of a sorted vocabulary of hashes."""
 
-    def __init__(self, parts: list[list[bytes]]):
-        flat = list(chain.from_iterable(parts))
-        met = defaultdict(count().__next__)  # numbers words as they come, one look-up a token
-        ids = np.fromiter(map(met.__getitem__, flat), dtype=np.int64, count=len(flat))
+    def __init__(self, met: dict[bytes, int], parts: list[np.ndarray]):
+        """``met`` numbers the words, ``parts`` has the numbers of each window."""
         hashes = np.fromiter(map(word_hash, met), dtype=np.uint64, count=len(met))
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        ids = place[ids]
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        ids = place[np.concatenate(parts)]
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        is_token = np.ones(len(flat), dtype=bool)
+        is_token = np.ones(len(ids), dtype=bool)
         is_token[np.cumsum(sizes) - sizes] = False  # what only stands in front of a token
-        at = np.flatnonzero(is_token)
-        self.word, self.before = ids[at], ids[at - 1]
-        self.doc = np.repeat(np.arange(len(parts)), sizes - 1)
+        self.word, self.before = ids[is_token], ids[:-1][is_token[1:]]
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), sizes - 1)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[bytes]], list]]:
-    """Windows with the second column's value (if there is one), a few million tokens at a time."""
-    parts: list[list[bytes]] = []
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, list]]:
+    """Tokens of windows with the second column's value (if there is one), a few million tokens at a time."""
+    met: dict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come, one look-up a token
+    parts: list[np.ndarray] = []
     keys: list = []
     held = 0
     for full in batches:
@@ -93,14 +94,15 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[byte
             values = batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * batch.num_rows
             for text, key in zip(batch.column(0).cast(pa.binary()).to_pylist(), values):
                 for part in windows(text):
-                    parts.append(part)
+                    parts.append(np.fromiter(map(met.__getitem__, part), dtype=np.int32, count=len(part)))
                     keys.append(key)
                     held += len(part)
                     if held > FLUSH_TOKENS or len(parts) >= FLUSH_DOCS:
-                        yield parts, keys
-                        parts, keys, held = [], [], 0
+                        done = Tokens(met, parts), keys
+                        met, parts, keys, held = defaultdict(count().__next__), [], [], 0
+                        yield done
     if parts:
-        yield parts, keys
+        yield Tokens(met, parts), keys
 
 
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -122,30 +124,34 @@ def _six(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+def _from_six(data: pa.Buffer) -> np.ndarray:
+    out = np.zeros((data.size // 6, 8), dtype=np.uint8)
     out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
-def _messages(
-    parts: list[list[bytes]], keys: np.ndarray | None, shards: int, hot: np.ndarray
-) -> Iterator[dict[str, object]]:
+def _messages(t: Tokens, keys: np.ndarray | None, shards: int, hot: np.ndarray) -> Iterator[dict[str, object]]:
     """The tokens of some documents, for each shard; with ``keys`` also where they stand."""
-    t = Tokens(parts)
-    code = (t.word.astype(np.uint64) << np.uint64(24 if keys is None else 42)) | (
-        t.before.astype(np.uint64) << np.uint64(0 if keys is None else 20)
-    )
+    code = t.word.astype(np.uint64)
     if keys is None:
-        code, n = np.unique(code, return_counts=True)
-        word, before = (code >> np.uint64(24)).astype(np.int64), (code & np.uint64((1 << 24) - 1)).astype(np.int64)
+        code <<= np.uint64(24)
+        code |= t.before.astype(np.uint64)
+        code.sort()
+        first = _runs(code)
+        n = np.diff(np.append(first, len(code)))
+        code = code[first]
+        word, before = (code >> np.uint64(24)).astype(np.int32), (code & np.uint64((1 << 24) - 1)).astype(np.int32)
         doc = None
     else:
-        code = np.sort(code | t.doc.astype(np.uint64))
-        word = (code >> np.uint64(42)).astype(np.int64)
-        before = (code >> np.uint64(20) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        code <<= np.uint64(42)
+        code |= t.before.astype(np.uint64) << np.uint64(20)
+        code |= t.doc.astype(np.uint64)
+        code.sort()
+        word = (code >> np.uint64(42)).astype(np.int32)
+        before = (code >> np.uint64(20) & np.uint64((1 << 22) - 1)).astype(np.int32)
         doc = (code & np.uint64((1 << 20) - 1)).astype(np.uint16)
         n = None
+    del code
     by_word = _shard_of(t.hashes, shards)
     shard = by_word[word]
     is_hot = np.isin(t.hashes, hot)[word]
@@ -193,12 +199,19 @@ def to_shards(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartitionById(shards, F.col("shard"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
+    """Messages one by one, their arrays as buffers of the batch."""
+    for batch in batches:
+        columns = [(name, c, pa.types.is_binary(c.type)) for name, c in zip(batch.schema.names, batch.columns)]
+        for i in range(batch.num_rows):
+            yield {name: (c[i].as_buffer() if c[i].is_valid else None) if binary else c[i].as_py() for name, c, binary in columns}
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
     """Messages by shard; a partition holds one, or a few where there are more shards than partitions."""
     out: dict[int, list[dict]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            out.setdefault(row["shard"], []).append(row)
+    for row in _rows(batches):
+        out.setdefault(row["shard"], []).append(row)
     return out
 
 
@@ -229,10 +242,9 @@ def count_words(docs: DataFrame, text: str, tokens_per_shard: int, mu: float) ->
     limit = tokens_per_shard // 4
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, _ in _flushes(batches):
-            found = Tally(chain.from_iterable(islice(p, 1, None) for p in parts))  # not what stands in front
-            hashes = np.fromiter(map(word_hash, found), dtype=np.uint64, count=len(found))
-            n = np.fromiter(found.values(), dtype=np.uint32, count=len(found))
+        for t, _ in _flushes(batches):
+            n = np.bincount(t.word, minlength=len(t.hashes))
+            hashes, n = t.hashes[n > 0], n[n > 0].astype(np.uint32)  # not what only stands in front
             shard = _shard_of(hashes, shards)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -257,6 +269,41 @@ def count_words(docs: DataFrame, text: str, tokens_per_shard: int, mu: float) ->
     return Counts(totals["n"] if totals else 0, totals["types"] if totals else 0, shards, hot, mu)
 
 
+def _merged(rows: list[dict], low: int, high: int) -> tuple[np.ndarray, ...]:
+    """Words with hashes in ``[low, high)``, how many contexts each has, and the contexts with their counts."""
+    words, contexts, n = [], [], []
+    for r in rows:
+        names, runs = np.frombuffer(r["words"], dtype=np.uint64), np.frombuffer(r["runs"], dtype=np.uint32)
+        a, b = (int(np.searchsorted(names, np.uint64(x))) if x < 1 << 64 else len(names) for x in (low, high))
+        start, end = int(runs[:a].sum(dtype=np.int64)), int(runs[:b].sum(dtype=np.int64))
+        words.append(np.repeat(names[a:b], runs[a:b]))
+        contexts.append(_from_six(r["contexts"][6 * start : 6 * end]))
+        n.append(np.frombuffer(r["counts"], dtype=np.uint32)[start:end])
+    word, context, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(n)
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    first = _runs(word, context)
+    n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
+    word, context = word[first], context[first]
+    start = _runs(word)
+    return word[start], np.diff(np.append(start, len(word))), context, n
+
+
+def _trie_of(rows: list[dict], shared: Counts) -> dict[str, np.ndarray]:
+    """The arrays of a shard's trie; the pairs of its messages are merged some ranges of words after the other."""
+    ranges = max(1, -(-sum(r["contexts"].size for r in rows) // (6 * MERGED)))
+    bounds = [(i << 64) // ranges for i in range(ranges + 1)]
+    parts = [_merged(rows, low, high) for low, high in zip(bounds[:-1], bounds[1:])]
+    rows.clear()
+    names, runs, contexts, n = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    starts = np.cumsum(runs) - runs
+    counts = shared.of_words(names, np.add.reduceat(n, starts) if len(starts) else n)
+    values = np.log10(n + np.repeat(shared.mu * (counts + 1) / shared.z, runs))
+    del n
+    return Trie.build(names, counts, runs, contexts, values)
+
+
 def train(
     docs: DataFrame, text: str = "text", mu: float = 20.0, tokens_per_shard: int = 8_000_000
 ) -> tuple[Counts, DataFrame]:
@@ -264,33 +311,19 @@ def train(
 
     All words and pairs of all rows count; null texts are empty documents.
     """
+    bound_batches(docs.sparkSession)
     shared = count_words(docs, text, tokens_per_shard, mu)
     data = docs.select(whole(text).alias("__text"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, _ in _flushes(batches):
-            yield _record(list(_messages(parts, None, shared.shards, shared.hot)))
+        for t, _ in _flushes(batches):
+            for message in _messages(t, None, shared.shards, shared.hot):
+                yield _record([message])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches).items():
-            words, contexts, n = [], [], []
-            for r in rows:
-                names = np.frombuffer(r["words"], dtype=np.uint64)
-                words.append(np.repeat(names, np.frombuffer(r["runs"], dtype=np.uint32)))
-                contexts.append(_from_six(r["contexts"]))
-                n.append(np.frombuffer(r["counts"], dtype=np.uint32).astype(np.int64))
-            rows.clear()
-            word, context, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(n)
-            names, number = np.unique(word, return_inverse=True)
-            order = np.lexsort((context, number))
-            number, context, n = number[order], context[order], n[order]
-            first = _runs(number, context)
-            n = np.add.reduceat(n, first)
-            number, context = number[first], context[first]
-            counts = shared.of_words(names, np.bincount(number, weights=n).astype(np.int64))
-            values = np.log10(n + shared.mu * (counts[number] + 1) / shared.z)
-            runs = np.bincount(number, minlength=len(names))
-            blob = to_bytes(Trie.build(names, counts, runs, context, values))
+        found = _by_shard(batches)
+        for shard in list(found):
+            blob = to_bytes(_trie_of(found.pop(shard), shared))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], ["shard", "model"]
             )
@@ -300,10 +333,8 @@ def train(
 
 
 # ------------------------------------------------------------------- scoring
-def _mapped(blob: bytes | None) -> Trie | None:
+def _mapped(blob: pa.Buffer) -> Trie:
     """The trie of a block, mapped from a file of the task's own that has no name any more."""
-    if blob is None:
-        return None
     handle, path = tempfile.mkstemp(prefix="trie-")
     with os.fdopen(handle, "wb") as file:
         file.write(blob)
@@ -330,7 +361,7 @@ def _scored(row: dict, trie: Trie | None, shared: Counts) -> list[np.ndarray]:
     pair = np.where(np.isnan(value), np.repeat(unseen, runs), value) - np.repeat(ahead, runs)
     repeats = np.frombuffer(row["counts"], dtype=np.uint32)
     docs = np.frombuffer(row["docs"], dtype=np.uint16)
-    n = len(row["keys"]) // 8
+    n = row["keys"].size // 8
     of_token = np.repeat(np.repeat(np.arange(len(words)), runs), repeats)
     total = lambda w: np.bincount(docs, weights=w, minlength=n)
     base = np.log10((counts + 1) / shared.z)
@@ -345,21 +376,26 @@ def score(docs: DataFrame, shared: Counts, tries: DataFrame, doc_id: str = "doc_
     ``base_score`` that of words by their counts alone, one added.  A null or
     empty text has one token, the end.  Rows that repeat id and text count each.
     """
+    bound_batches(docs.sparkSession)
     key = F.xxhash64(F.col(doc_id), whole(text))
     data = docs.select(whole(text).alias("__text"), key.alias("key"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, keys in _flushes(batches):
-            yield _record(list(_messages(parts, np.array(keys, dtype=np.int64), shared.shards, shared.hot)))
+        for t, keys in _flushes(batches):
+            for message in _messages(t, np.array(keys, dtype=np.int64), shared.shards, shared.hot):
+                yield _record([message])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_shard(batches).values():
-            trie = _mapped(next((r["model"] for r in rows if r["model"] is not None), None))
-            for row in rows:
-                if row["words"] is not None:
-                    data = [[row["keys"]], *([x.tobytes()] for x in _scored(row, trie, shared))]
-                    columns = [pa.array([row["flush"]], pa.int64()), *(pa.array(d, pa.binary()) for d in data)]
-                    yield pa.RecordBatch.from_arrays(columns, ["flush", "key", *(name for name, _ in SUMS)])
+        shard, trie = None, None
+        for row in _rows(batches):  # the trie of a shard is its first row
+            if row["shard"] != shard:
+                shard, trie = row["shard"], None
+            if row["model"] is not None:
+                trie = _mapped(row["model"])
+            else:
+                data = [[row["keys"].to_pybytes()], *([x.tobytes()] for x in _scored(row, trie, shared))]
+                columns = [pa.array([row["flush"]], pa.int64()), *(pa.array(d, pa.binary()) for d in data)]
+                yield pa.RecordBatch.from_arrays(columns, ["flush", "key", *(name for name, _ in SUMS)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What all shards say of the documents of a flush, together."""
@@ -374,7 +410,8 @@ def score(docs: DataFrame, shared: Counts, tries: DataFrame, doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays(columns, ["key", *(name for name, _ in SUMS)])
 
     sent = data.mapInArrow(send, MESSAGE).unionByName(tries, allowMissingColumns=True)
-    answers = to_shards(sent, shared.shards).mapInArrow(
+    ordered = to_shards(sent, shared.shards).sortWithinPartitions("shard", F.col("model").isNull())
+    answers = ordered.mapInArrow(
         answer, "flush long, key binary, tokens binary, known binary, base binary, score binary"
     )
     answers = answers.repartition(shared.shards, "flush").mapInArrow(
