@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, langid, mixing, simhash
-from tidemark.llm.common import crc_mod
+from tidemark.llm.common import bound_batches, crc_mod
 from tidemark.session import stored
 
 #: Language ID, SimHash fingerprints, a seeded mix and BPE are beyond SQL: tests compare with brute force.
@@ -26,6 +26,7 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 def _small_batches(spark: SparkSession) -> None:
     """Rows hold whole texts: fewer of them in an Arrow batch, so that workers stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bound_batches(spark)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and whether they decode to it."""
     _small_batches(spark)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), "text", "ids")
-    both = bpe.decode(coded, "ids", "decoded")
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), "text", "ids", "decoded")
     return both.select(
         "doc_id",
         "lang",

@@ -6,6 +6,8 @@ import collections
 
 import pytest
 
+from tidemark.llm import bpe
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -83,3 +85,17 @@ def test_empty_table_and_clashing_columns(spark, odd_docs, no_docs, sf_dir):
             out = stage(spark, docs, sf_dir)
             assert name == "byte_bpe" or out.columns == docs.columns
             assert docs is odd_docs or out.count() == 0
+
+
+def test_tokens_take_one_small_worker_a_task(spark, odd_docs, sf_dir):
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    out = pipeline.tokenise(spark, docs, sf_dir)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    want = sorted(((r["doc_id"], list(r["ids"])) for r in both.collect()), key=str)
+    assert sorted(((r["doc_id"], list(r["ids"])) for r in out.collect()), key=str) == want and out.where("NOT round_trip").count() == 0
+    coder = bpe.ByteBPE.load(*bpe.default_files())
+    coder.encode(["some unheardof words"])
+    assert coder.kept
+    coder.forget()
+    assert not coder.kept and not coder.kept_pieces

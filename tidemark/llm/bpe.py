@@ -193,10 +193,14 @@ class ByteBPE:
                 out.update((p, ids.tobytes()) for (p, _), ids in zip(part, done))
         return out
 
+    def forget(self) -> None:
+        """Drop what was encoded so far."""
+        self.kept, self.kept_pieces = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The int32 token ids of each text, as bytes."""
         if len(self.kept) > KEPT_CHUNKS:
-            self.kept, self.kept_pieces = {}, {}
+            self.forget()
         cut = [CHUNK.findall(text) for text in texts]
         new = set().union(*cut) - self.kept.keys()
         parts = {c: self.split.findall(c) for c in new}
@@ -241,6 +245,34 @@ def _slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at, rows)
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], bpe: ByteBPE, text: str, out: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the ids of ``text``."""
+    for whole in batches:
+        for batch in _slices(whole):
+            coded = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
+            ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
+            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], tokens: list[bytes], ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of ``ids``."""
+    get = tokens.__getitem__
+    for whole in batches:
+        for batch in _slices(whole):
+            lists = batch.column(ids)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            data = [b"".join(map(get, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+            column = pa.array(data, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
+
+
 def encode(
     docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None
 ) -> DataFrame:
@@ -253,20 +285,8 @@ def encode(
     known = default_files()
     path, pattern = path or known[0], pattern or known[1]
     rest = replace_column(docs, out)
-    schema = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
-        for whole in batches:
-            for batch in _slices(whole):
-                coded = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
-
-    return rest.mapInArrow(run, schema)
+    schema = T.StructType([*rest.schema.fields, _ids_field(out)])
+    return rest.mapInArrow(lambda batches: _encoded(batches, encoder(path, pattern), text, out), schema)
 
 
 def decode(
@@ -276,15 +296,25 @@ def decode(
     path = path or default_files()[0]
     rest = replace_column(docs, out)
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.BinaryType(), False)])
+    rest = rest.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))
+    return rest.mapInArrow(lambda batches: _decoded(batches, token_bytes(path), ids, out), schema)
+
+
+def round_trip(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """What ``decode`` of ``encode`` gives, by both steps in one worker a task instead of one worker a step.
+
+    What was encoded is dropped behind a task, so a worker that waits for later stages is small.
+    """
+    known = default_files()
+    path, pattern = path or known[0], pattern or known[1]
+    rest = replace_column(replace_column(docs, ids), decoded)
+    schema = T.StructType([*rest.schema.fields, _ids_field(ids), T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = token_bytes(path).__getitem__
-        for whole in batches:
-            for batch in _slices(whole):
-                lists = batch.column(ids)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                data = [b"".join(map(get, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
-                column = pa.array(data, pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
-
-    return rest.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>"))).mapInArrow(run, schema)
+        bpe = encoder(path, pattern)
+        yield from _decoded(_encoded(batches, bpe, text, ids), token_bytes(path), ids, decoded)
+        bpe.forget()
+
+    return rest.mapInArrow(run, schema)
