@@ -84,6 +84,36 @@ def test_no_phrase_begins_at_a_word_out_of_reach(spark):
     assert sorted(tuple(r) for r in got.collect()) == _collocations(rows, 30, 2000)
 
 
+def test_candidates_are_the_frequent_phrases(spark, monkeypatch):
+    # many different pairs, few of them frequent: what the driver broadcasts must not grow with the different ones
+    built = []
+    monkeypatch.setattr(phrases, "DoubleArray", lambda keys, digits: built.append(keys.shape) or DoubleArray(keys, digits))
+    for size in ("SORTED", "SLICE"):
+        monkeypatch.setattr(phrases, size, 500, raising=False)
+    rng = np.random.default_rng(11)
+    rows = [(" ".join(f"w{i}" for i in rng.integers(0, 300, 100)) + (" x y z" if i % 4 == 0 else ""), "en") for i in range(200)]
+    got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), least=4, per_part=10)
+    assert sorted(tuple(r) for r in got.collect()) == _collocations(rows, 4, 2000)
+    seen = collections.Counter(g for text, _ in rows for k in (2, 3, 4) for g in zip(*(text.split()[i:] for i in range(k))))
+    for k in (2, 3, 4):
+        frequent = sum(n >= 4 for g, n in seen.items() if len(g) == k)
+        assert sum(n for n, words in built if words == k) == frequent < 200
+
+
+@pytest.mark.parametrize("k, bits", [(2, 4), (2, 31), (3, 21), (3, 30), (4, 17)])
+def test_different_phrases_and_their_sums(k, bits):
+    rng = np.random.default_rng(k)
+    some = rng.integers(1, 1 << bits, 4)
+    words = [rng.choice(some, 500).astype(np.int32) for _ in range(k)]
+    n = rng.integers(1, 9, 500)
+    for weights in (None, n):
+        grams, total = phrases.different(words, weights, bits)
+        want = collections.Counter()
+        for g, x in zip(zip(*(w.tolist() for w in words)), (n if weights is not None else np.ones(500, int)).tolist()):
+            want[g] += x
+        assert list(zip(zip(*(w.tolist() for w in grams)), total.tolist())) == sorted(want.items())
+
+
 def test_phrases_of_odd_rows(spark, odd_docs, no_docs):
     got = phrases.collocations(odd_docs, least=2)
     rows = [(r["text"], r["lang"]) for r in odd_docs.collect()]

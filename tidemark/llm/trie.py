@@ -26,8 +26,6 @@ class DoubleArray:
 
     def __init__(self, keys: np.ndarray, digits: int, seed: int = 3):
         self.digits, self.length, self.keys = digits, keys.shape[1], len(keys)
-        places = [(keys >> (BITS * (digits - 1 - d))) & (WIDE - 1) for d in range(digits)]
-        signs = np.stack(places, axis=2).reshape(len(keys), self.length * digits)  # one column a level
         rng = np.random.default_rng(seed)
         self.base = np.zeros(4 * WIDE, dtype=np.int32)
         self.check = np.full(4 * WIDE, -1, dtype=np.int32)
@@ -35,12 +33,16 @@ class DoubleArray:
         differs = np.zeros(max(len(keys) - 1, 0), dtype=bool)
         node = np.zeros(len(keys), dtype=np.int64)
         at = np.zeros(min(len(keys), 1), dtype=np.int32)  # the place of every node of the level
-        for level in range(signs.shape[1]):
-            differs |= signs[1:, level] != signs[:-1, level]
+        for level in range(self.length * digits):
+            sign = (keys[:, level // digits] >> (BITS * (digits - 1 - level % digits))) & (WIDE - 1)
+            differs |= sign[1:] != sign[:-1]
             child = np.concatenate([[0], np.cumsum(differs)]) if len(keys) else node
             first = np.flatnonzero(np.diff(child, prepend=-1))
-            at = self._place(at, node[first], signs[first, level], rng)
+            at = self._place(at, node[first], sign[first], rng)
             node = child
+            if level + 1 == digits:  # a number's own place says where it leads from the root; the last is for those beyond
+                self.heads = np.full(int(keys[-1, 0]) + 2 if len(keys) else 1, -1, dtype=np.int32)
+                self.heads[keys[first, 0]] = at
         self.leaf = np.full(len(self.base), -1, dtype=np.int32)
         self.leaf[at] = np.arange(len(keys))
 
@@ -93,8 +95,9 @@ class DoubleArray:
 
     def walk(self, text: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All positions at once, level by level: those where a key begins, and the key's row."""
-        state = np.zeros(len(positions), dtype=np.int32)
-        for word in range(self.length):
+        state = self.heads[np.minimum(text[positions], len(self.heads) - 1)]
+        positions, state = positions[state >= 0], state[state >= 0]
+        for word in range(1, self.length):
             for d in range(self.digits):
                 sign = (text[positions + word] >> (BITS * (self.digits - 1 - d))) & (WIDE - 1)
                 target = self.base[state] + sign
